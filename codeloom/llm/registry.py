@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .licenses import op7_license_scan
 from .quality_rules import op10_quality_rules
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op7_license_scan, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
