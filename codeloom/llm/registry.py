@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .language_id import op1_language_id
 from .licenses import op7_license_scan
 from .quality_rules import op10_quality_rules
 
-QUERIES = {f.__name__: f for f in (op7_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op7_license_scan, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
