@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .chat import op5_chat_format
+from .html_text import op3_html_extract
 from .language_id import op1_language_id
 from .licenses import op7_license_scan
 from .packing import op2_best_fit_packing
 from .quality_rules import op10_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op5_chat_format, op7_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_html_extract, op5_chat_format, op7_license_scan, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
