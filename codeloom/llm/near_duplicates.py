@@ -17,10 +17,12 @@ that were counted over all documents, so that empty subsets and those of widespr
 passages alone are not probed. The estimate bears on speed alone.
 
 Rows that share a key make a bucket. A bucket is never expanded into all pairs:
-its members are first compared with one of them, exactly; then, after linked
-documents have merged into components, remaining pairs between different
-components are compared, so that no link between components is lost. Exact copies
-merge beforehand by the hash of their set.
+its members are first compared with one of them, exactly; linked documents merge
+into components. What remains are pairs of a bucket between different components.
+They are looked at in blocks of bounded size by sketches of 1024 parity bits: as
+many bits as two sketches differ in, the sets differ in at least. Only pairs that
+pass this bound, which loses no link, come out and are compared exactly. Exact
+copies merge beforehand by the hash of their set.
 
 Texts that are null or have no words have an empty set and are linked with
 nothing. Shorter texts than a shingle have one shingle, all their words. Rows with
@@ -37,7 +39,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -52,6 +54,9 @@ SLACK = 1.12
 #: Shingles that so many documents of a slice of a few megabytes have are counted as frequent, the most frequent of them kept.
 FREQUENT, MOST_FREQUENT = 3, 200_000
 KEY_BITS = 48
+SKETCH_BITS = 1024
+#: Rows of a bucket that are compared with each other or with as many others in one step.
+CHUNK = 2048
 #: Words whose hash a Python worker keeps.
 CACHE = 400_000
 #: Roles of a bucket's rows, in the order of preference as its centre: probing whole, probing less one, indexed whole, indexed less one.
@@ -214,13 +219,72 @@ def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the documents with these ids."""
+    """(doc_id, size, sketch, shingles) of the documents with these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in of_text(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "size", "sketch", "shingles"])
+
+    return docs.select("doc_id", "text").join(common.broadcast_if_small(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, size long, sketch binary, shingles binary")
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """For each of SKETCH_BITS classes of shingles, whether the set has an odd number of them."""
+    return np.packbits(np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1 == 1).tobytes()
+
+
+def near_by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by block, the pairs of a block that may link and have different roots."""
+    names = ("key", "low", "high", "chunk", "a", "role", "root", "size")
+    block: tuple | None = None
+    parts: list[dict] = []
+
+    def pairs() -> Iterator[pa.RecordBatch]:
+        rows = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        if len(rows["a"]) < 2 or (rows["root"] == rows["root"][0]).all():
+            return
+        whole, probe = np.isin(rows["role"], (PROBE, INDEX)), rows["role"] <= PROBE_LESS
+        within = block[1] == block[2]
+        left = np.arange(len(rows["a"])) if within else np.flatnonzero(rows["chunk"] == block[1])
+        right = left if within else np.flatnonzero(rows["chunk"] == block[2])
+        for k in range(0, len(left), 128):
+            i, j = left[k : k + 128, None], right[None, :]
+            small, large = np.minimum(rows["size"][i], rows["size"][j]), np.maximum(rows["size"][i], rows["size"][j])
+            ok = (rows["root"][i] != rows["root"][j]) & (whole[i] | whole[j]) & (probe[i] | probe[j]) & (5 * small >= 4 * large)
+            if within:
+                ok &= i < j
+            x, y = np.nonzero(ok)
+            x, y = i[x, 0], j[0, y]
+            apart = np.bitwise_count(rows["sketch"][x] ^ rows["sketch"][y]).sum(1, dtype=np.int64)
+            near = 9 * apart <= rows["size"][x] + rows["size"][y]
+            if near.any():
+                x, y = rows["a"][x[near]], rows["a"][y[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    return docs.select("doc_id", "text").join(common.broadcast_if_small(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+        columns["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+        changes = np.flatnonzero((np.diff(columns["key"], prepend=-1) != 0) | (np.diff(columns["low"], prepend=-1) != 0) | (np.diff(columns["high"], prepend=-1) != 0))
+        for start, stop in zip([0, *changes[changes > 0]], [*changes[changes > 0], batch.num_rows]):
+            this = tuple(int(columns[c][start]) for c in ("key", "low", "high"))
+            if this != block:
+                if parts:
+                    yield from pairs()
+                block, parts = this, []
+            parts.append({c: v[start:stop] for c, v in columns.items()})
+    if parts:
+        yield from pairs()
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """Deals the rows of each key into chunks, and each chunk into a block with itself and with every other chunk."""
+    key = Window.partitionBy("key")
+    rows = rows.withColumn("chunk", ((F.row_number().over(key.orderBy("a")) - 1) / CHUNK).cast("int")).withColumn("chunks", F.floor((F.count("*").over(key) - 1) / CHUNK).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "chunks")))
+    rows = rows.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "a", "role", "root", "size", "sketch")
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,10 +353,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # then the rest of each bucket that still spans components
     own = members.select("key", F.col("node").alias("a"), "role").join(common.broadcast_if_small(found).select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     spans = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    own = common.checkpoint(own.join(spans, "key", "left_semi"))
-    other = own.select("key", F.col("a").alias("b"), F.col("role").alias("role_b"), F.col("root").alias("root_b"))
-    allowed = f"a < b and root <> root_b and (role in ({PROBE}, {INDEX}) or role_b in ({PROBE}, {INDEX})) and (role <= {PROBE_LESS} or role_b <= {PROBE_LESS})"
-    rest = own.join(other, "key").filter(allowed).select("a", "b").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    own = own.join(common.broadcast_if_small(spans), "key", "left_semi").join(sets.select(F.col("doc_id").alias("a"), "size", "sketch").dropDuplicates(["a"]), "a")
+    rest = blocks(own).mapInArrow(near_by_sketch, "a long, b long").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
     found = common.components(links.union(verify(rest, sets)))
 
     # every document by its first copy
