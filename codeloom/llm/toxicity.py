@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BITS = 18
-#: Bounds of the sample: so many toxic and so many clean documents, drawn by a hash of doc_id, and what of one text is learned from.
+#: Bounds of the training sample: so many toxic and so many clean documents, drawn by a hash of doc_id, none longer than this.
 TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1500, 2500, 20_000
 #: A word or beginning marks toxic tokens if so many toxic documents have it, with these log odds; in many of them it does by itself.
 LEAST_DOCS, LEAST_ODDS, MANY_DOCS, MANY_SHARE = 3, 3.0, 10, 0.01
@@ -106,7 +106,7 @@ def collect_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     sizes = {r["toxic"]: r["count"] for r in truth.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, TOXIC_DOCS / max(sizes.get(1, 0), TOXIC_DOCS)).otherwise(CLEAN_DOCS / max(sizes.get(0, 0), CLEAN_DOCS))
     drawn = truth.filter(common.hash_share("doc_id", 5) < share)
-    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(common.broadcast_if_small(drawn), "doc_id").filter("text is not null").orderBy("doc_id", "text").limit(2 * (TOXIC_DOCS + CLEAN_DOCS)).collect()
+    rows = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS).join(common.broadcast_if_small(drawn), "doc_id").orderBy("doc_id", "text").limit(2 * (TOXIC_DOCS + CLEAN_DOCS)).collect()
     return sorted({r["text"]: r["toxic"] for r in rows}.items())  # a repeated text says nothing more
 
 
