@@ -9,9 +9,10 @@ from .language_id import op1_language_id
 from .licenses import op7_license_scan
 from .near_duplicates import op6_jaccard_join
 from .packing import op2_best_fit_packing
+from .quality_classifier import op4_quality_classifier
 from .quality_rules import op10_quality_rules
 from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_html_extract, op5_chat_format, op6_jaccard_join, op7_license_scan, op8_decontaminate, op9_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_html_extract, op4_quality_classifier, op5_chat_format, op6_jaccard_join, op7_license_scan, op8_decontaminate, op9_toxicity, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL}
