@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ("operators.search",)
+MODULES = ("operators.search", "operators.traversal", "plans.rules")
 
 
 def _load() -> None:
