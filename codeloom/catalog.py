@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ("operators.search", "operators.traversal", "plans.rules")
+MODULES = ("operators.search", "operators.traversal", "plans.rules", "plans.commands", "operators.vectors", "operators.topology", "streaming.maintenance", "sources.discovery", "sources.python_code", "sources.resolution")
 
 
 def _load() -> None:

@@ -43,12 +43,12 @@ def in_scope(path: Column, scope: str) -> Column:
 
 def ancestors(path: Column) -> Column:
     """Directories above the path, nearest last, without the root."""
-    parts = F.split(F.ltrim(F.lit("/"), path), "/")
+    parts = F.split(F.ltrim(path, F.lit("/")), "/")
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")))
 
 
 def slug(name: Column) -> Column:
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(name), "[^a-z0-9_-]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9_-]+", "-"), F.lit("-"))
 
 
 def property_text(value: Column, most: int = 4096) -> Column:
