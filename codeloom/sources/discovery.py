@@ -59,14 +59,14 @@ def code_or_structural(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, root: str, patterns: list[str] = (), code_only: bool = True) -> DataFrame:
-    """(path, relative, language, content) of the files below root."""
+    """(path, relative, language, text) of the files below root; empty files, which hold nothing, are not listed."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
     base = root.removeprefix("file:").rstrip("/") + "/"
     relative = F.element_at(F.split(F.regexp_replace("path", "^file:/*", "/"), re.escape(base)), -1)
     rows = rows.withColumn("relative", relative).filter(~fn.under(F.concat(F.lit("/"), F.lower("relative"))) & ~ignored(F.col("relative"), list(patterns)))
     if code_only:
         rows = rows.filter(code_or_structural(F.col("path")))
-    return rows.select("path", "relative", language(F.col("path")).alias("language"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return rows.select("path", "relative", language(F.col("path")).alias("language"), F.decode("content", "UTF-8").alias("text"))
 
 
 def main_language(paths: DataFrame) -> DataFrame:
