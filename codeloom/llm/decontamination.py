@@ -5,7 +5,7 @@ parameters were changed has the template it had. A name is a capitalised word
 or several behind a lower-case letter or a comma, semicolon or colon; a unit is a
 known one behind a digit. What remains is put in lower case and cut into words.
 Hashes of windows of ten words join the windows of the benchmark with those of
-all documents. For each hit, the values of the placeholders on both sides must
+all documents that have the window's longest word in its place. For each hit, the values of the placeholders on both sides must
 stand in a consistent one-to-one relation; a window of fewer than six other words
 must have the same values.
 
@@ -58,25 +58,30 @@ def placeholders(words: Column) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(NUMBER, NAME, UNIT)))
 
 
-def windows(texts: DataFrame, key: str, width: int) -> DataFrame:
-    """(key, at, hash) of the windows of this many words."""
-    # no filter on the words: it would be pushed below and compute them again for each window
-    cut = texts.select(key, words(F.col("text")).alias("words"))
-    hashes = F.transform(F.sequence(F.lit(0), F.size("words") - width), lambda i: F.xxhash64(F.slice("words", i + 1, width)))
-    return cut.select(key, F.when(F.size("words") >= width, hashes).alias("hashes")).select(key, F.posexplode_outer("hashes").alias("at", "hash")).filter("hash is not null")
+def windows(benchmark: DataFrame) -> DataFrame:
+    """(hash, width, item_id, item_at, anchor, shift) of the benchmark's windows. The anchor of a window is its longest word, the first of equals; shift is the anchor's place in it."""
+    cut = benchmark.select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") >= LEAST_ITEM).withColumn("width", F.least(F.size("words"), F.lit(WINDOW)))
+    places = cut.select("item_id", "words", "width", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("width"))).alias("item_at"))
+    places = places.withColumn("window", F.slice("words", F.col("item_at") + 1, F.col("width")))
+    lengths = F.transform("window", lambda w: F.length(w))
+    places = places.withColumn("shift", (F.array_position(lengths, F.array_max(lengths)) - 1).cast("int"))
+    return places.groupBy(F.xxhash64("window").alias("hash"), "width", "item_id").agg(F.min("item_at").alias("item_at"), F.min(F.get("window", F.col("shift"))).alias("anchor"), F.min("shift").alias("shift"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, at, item_id, item_at, width): windows of documents with the template of one of the benchmark's."""
-    docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
-    sizes = benchmark.select(F.least(F.size(words(F.col("text"))), F.lit(WINDOW)).alias("n")).filter(F.col("n") >= LEAST_ITEM).distinct()
-    found = None
-    for width in sorted({WINDOW} | {r["n"] for r in sizes.collect()}):  # at most six widths
-        items = benchmark if width == WINDOW else benchmark.filter(F.size(words(F.col("text"))) == width)
-        asked = windows(items, "item_id", width).groupBy("item_id", "hash").agg(F.min("at").alias("item_at"))
-        one = windows(docs, "doc_id", width).join(common.broadcast_if_small(asked), "hash").select("doc_id", "at", "item_id", "item_at", F.lit(width).alias("width"))
-        found = one if found is None else found.union(one)
-    return found
+    """(doc_id, at, item_id, item_at, width): windows of documents with the template of one of the benchmark's.
+
+    A document's window is hashed where a word is the anchor of some benchmark
+    window, which every window that matches has; the hash then meets the windows.
+    """
+    asked = common.checkpoint(windows(benchmark.select("item_id", "text")))
+    anchors = asked.select("anchor", "shift", "width").distinct()
+    # outer: the filter that an inner one implies would be pushed below and compute the words twice
+    cut = docs.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", "words", F.posexplode_outer("words").alias("place", "anchor"))
+    met = cut.join(common.broadcast_if_small(anchors), "anchor").withColumn("at", F.col("place") - F.col("shift"))
+    met = met.filter((F.col("at") >= 0) & (F.col("at") + F.col("width") <= F.size("words")))
+    met = met.select("doc_id", "at", "width", F.xxhash64(F.slice("words", F.col("at") + 1, F.col("width"))).alias("hash"))
+    return met.join(common.broadcast_if_small(asked.select("hash", "width", "item_id", "item_at")), ["hash", "width"]).select("doc_id", "at", "item_id", "item_at", "width")
 
 
 def consistent(found: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
