@@ -171,3 +171,24 @@ def test_only_reading_statements(sql):
 
 def test_quoted_words_are_no_commands():
     assert facade.read_only("SELECT 'drop it', replace(a, 'x', 'y') FROM t;") == "SELECT 'drop it', replace(a, 'x', 'y') FROM t"
+
+
+def test_layout_of_parsed_files(spark):
+    from codeloom.sources import layout
+
+    elements = python_code.parse(spark.createDataFrame([("/r/app.py", SOURCE)], "path string, text string"))
+    assert {(r.outer, r.name) for r in layout.contained(elements).collect()} == {("Box", "open"), ("Box", "close")}
+    assert {(r.name, r.arg) for r in layout.parameters_of(elements).filter("name in ('close', 'twice')").collect()} == {("close", "self"), ("close", "n"), ("twice", "n")}
+    assert {(r.module, r.alias) for r in layout.import_edges(elements).collect()} == {("os.path", "p"), ("util.text.clean", None)}
+    resolved = resolution.resolve_calls(elements, python_code.symbol_index(elements))
+    assert ("close", 16) in {(r.name, r.defined_at) for r in layout.call_edges(resolved, elements).collect()}
+    chain = layout.directory_chain(spark.createDataFrame([("/r/a/x.py",), ("/r/a/y.py",)], "path string"))
+    assert {tuple(r) for r in chain.collect()} == {("/r", "/r/a", "directory"), ("/r/a", "/r/a/x.py", "file"), ("/r/a", "/r/a/y.py", "file")}
+
+
+def test_embedding_skips_what_is_there(spark):
+    from codeloom.operators import hybrid
+
+    rows = spark.createDataFrame([(1, "a b", [1.0]), (2, "a b", None), (3, " ", None)], "id long, name string, embedding array<double>")
+    found = {r.id: r.embedding for r in hybrid.embedded(rows, F.col("name")).collect()}
+    assert found[1] == [1.0] and len(found[2]) == hybrid.SIZE and found[3] is None
