@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker expands at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_500_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = shared.value
-        for batch in common.slices(batches, limit=1_500_000):
+        for batch in common.slices(batches, limit=700_000):
             every = common.texts(batch)
             lettered = np.array([bool(LETTER.search(x)) for x in every])
             if not langs:

@@ -39,7 +39,7 @@ TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1500, 2500, 20_000
 LEAST_DOCS, LEAST_ODDS, MANY_DOCS, MANY_SHARE = 3, 3.0, 10, 0.01
 BEGINNINGS = (3, 4, 5, 6)
 ROUNDS, RATE, DECAY = 25, 0.5, 1e-6
-CACHE = 400_000
+CACHE = 200_000
 STRIP = b".,;:!?\"'()[]{}*#%&$|<>-_"
 
 
