@@ -88,10 +88,12 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 
 def within(seeds: DataFrame, edges: DataFrame, depth: int, least: int = 0) -> DataFrame:
-    """(id, hops): nodes up to `depth` edges from a seed, with the fewest hops. One lazy plan: each level comes from the one before."""
+    """(id, hops): nodes up to `depth` edges from a seed, with the fewest hops. One plan: each level comes from the one before. From three levels on, the edges are written once and read by each."""
     level = seeds.select("id").distinct()
     found = level.withColumn("hops", F.lit(0)) if least == 0 else None
     edges = edges.select("src", "dst").distinct()
+    if depth > 2:
+        edges = checkpoint(edges)
     for k in range(1, depth + 1):
         level = hop(level, edges)
         step = level.withColumn("hops", F.lit(k))

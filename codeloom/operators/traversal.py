@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import on_graph, on_tables
-from .graph import Graph, hop, reach, reversed_edges, top, within
+from .graph import Graph, checkpoint, hop, reach, reversed_edges, top, within
 
 
 def seeds_of(g: Graph, least: int, most: int) -> DataFrame:
@@ -33,10 +33,10 @@ def chains(starts: DataFrame, ends: DataFrame, edges: DataFrame, depth: int) ->
     A level is extended only by edges from which an end can still be reached in
     the steps that are left.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = checkpoint(edges.select("src", "dst").distinct())
     near = [ends.select("id").distinct()]
     for _ in range(depth - 1):
-        near.append(near[-1].union(hop(near[-1], reversed_edges(edges))).distinct())
+        near.append(checkpoint(near[-1].union(hop(near[-1], reversed_edges(edges))).distinct()))
     level = starts.select(F.array("id").alias("path"), F.col("id").alias("at"))
     found = None
     for k in range(1, depth + 1):
