@@ -57,39 +57,80 @@ KEY_BITS = 48
 SKETCH_BITS = 1024
 #: Rows of a bucket that are compared with each other or with as many others in one step.
 CHUNK = 2048
-#: Words whose hash a Python worker keeps.
-CACHE = 400_000
 #: Roles of a bucket's rows, in the order of preference as its centre: probing whole, probing less one, indexed whole, indexed less one.
 PROBE, PROBE_LESS, INDEX, INDEX_LESS = range(4)
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+#: A random value of each byte, and the base of the polynomial that joins the bytes of a word, with its inverse modulo 2**64.
+BYTES = common.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BASE = 0xD1342543DE82EF95
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes that are hashed at a time; longer only where a word is.
+PIECE = 1 << 20
 
 
-def shingles(text: str, hashes: Hashes) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    if len(hashes) > CACHE:
-        hashes.clear()
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    size = min(n, WORDS)
-    out = np.zeros(n - size + 1, np.uint64)
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = np.array([[BASE], [INVERSE]], np.uint64).repeat(n, 1)
+    out[:, 0] = 1
+    return tuple(np.cumprod(out, axis=1, dtype=np.uint64))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the data start, and their hashes."""
+    starts, hashes, at = [], [], 0
+    every = np.frombuffer(data, np.uint8)
+    while at < len(data):
+        stop = min(at + PIECE, len(data))
+        if stop < len(data):
+            ends = np.flatnonzero(SPACES[every[at:stop]])
+            if len(ends):
+                stop = at + int(ends[-1]) + 1
+            else:  # a word longer than a piece
+                while stop < len(data) and not SPACES[every[stop]]:
+                    stop += 1
+        piece = every[at:stop]
+        up, down = powers(1 << max(10, int(stop - at - 1).bit_length()))
+        edges = np.flatnonzero(np.diff(SPACES[piece], prepend=True, append=True))
+        begin, end = edges[::2], edges[1::2]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[piece] * up[: len(piece)])))
+        hashes.append(common.mix64((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)))
+        starts.append(begin + at)
+        at = stop
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.empty(0, np.int64), np.empty(0, np.uint64))
+
+
+def joined(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` words."""
+    n = max(len(h) - size + 1, 0)
+    out = np.zeros(n, np.uint64)
     for k in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : n - size + 1 + k]
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : n + k]
         out ^= out >> np.uint64(29)
-    return np.unique(common.mix64(out + np.uint64(size)))
+    return common.mix64(out + np.uint64(size))
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of each text."""
+    data = [x.encode("utf-8", "surrogatepass").lower() for x in texts]
+    starts, h = word_hashes(b"\n".join(data))
+    bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(x) + 1 for x in data])))).tolist()
+    runs = joined(h, WORDS)
+    sets = []
+    for a, b in zip(bounds, bounds[1:]):
+        if b - a >= WORDS:
+            s = np.sort(runs[a : b - WORDS + 1])
+            sets.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+        else:
+            sets.append(joined(h[a:b], b - a) if b > a else h[a:b])
+    return sets
 
 
 def of_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    hashes = Hashes()
     for batch in common.slices(batches):
-        yield batch, [shingles(x, hashes) for x in common.texts(batch)]
+        yield batch, shingle_sets(common.texts(batch))
 
 
 def set_hash(s: np.ndarray) -> int | None:
