@@ -181,3 +181,23 @@ def test_names_and_paths(spark):
 def test_replay_counts_only_comparable_events(spark):
     rows = spark.createDataFrame([(40, 400), (0, 100)], "packet_chars long, raw_chars long")
     assert tuple(commands.replay(rows).first()) == (10, 100, 1, 90.0)
+
+
+def test_label_propagation_and_cross_edges(spark):
+    pairs = edges(spark, (1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4))
+    member = spark.createDataFrame([(k, 1 if k < 4 else 4) for k in range(1, 7)], "id long, community long")
+    assert [(r.src, r.dst) for r in topology.cross_edges(pairs, member).collect()] == [(3, 4)]
+    assert topology.label_propagation(pairs).count() == 6
+
+
+def test_projection_keeps_the_main_axis(spark):
+    rng = np.random.default_rng(0)
+    m = np.column_stack((rng.normal(0, 5, 200), rng.normal(0, 1, 200), rng.normal(0, 0.1, 200)))
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "vec_id long, embedding array<double>")
+    found = topology.pca(rows).orderBy("vec_id").toPandas()
+    assert abs(np.corrcoef(found["x"], m[:, 0])[0, 1]) > 0.99 and abs(np.corrcoef(found["y"], m[:, 1])[0, 1]) > 0.99
+
+
+def test_advice_has_an_id_of_the_hour():
+    said = commands.advise("lock", {"path": "a.py"}, "2024010112")
+    assert said["text"].startswith("Another lane has locked a.py") and said["id"].startswith("adv_2024010112_")

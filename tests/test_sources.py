@@ -192,3 +192,19 @@ def test_embedding_skips_what_is_there(spark):
     rows = spark.createDataFrame([(1, "a b", [1.0]), (2, "a b", None), (3, " ", None)], "id long, name string, embedding array<double>")
     found = {r.id: r.embedding for r in hybrid.embedded(rows, F.col("name")).collect()}
     assert found[1] == [1.0] and len(found[2]) == hybrid.SIZE and found[3] is None
+
+
+def test_latest_bundle_of_each_name(spark):
+    rows = spark.createDataFrame([("a", "2024-01-01", "u1"), ("a", "2024-02-01", "u2"), ("b", "2023-01-01", "u3")], "name string, generated_at string, url string")
+    assert [r.url for r in bundle.latest_bundles(rows).collect()] == ["u2", "u3"]
+
+
+def test_upsert_replaces_by_key(spark):
+    old = spark.createDataFrame([("x", 1), ("y", 2)], "path string, n long")
+    new = spark.createDataFrame([("y", 5), ("z", 6)], "path string, n long")
+    assert {tuple(r) for r in bundle.merged(old, new, "path").collect()} == {("x", 1), ("y", 5), ("z", 6)}
+
+
+def test_main_language(spark):
+    rows = spark.createDataFrame([("a.py",), ("b.py",), ("c.go",), ("d.zip",)], "path string")
+    assert tuple(discovery.main_language(rows).first()) == ("python", 2)
