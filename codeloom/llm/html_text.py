@@ -31,7 +31,7 @@ from . import common
 #: Bound of the labelled sample, drawn by a hash of page_id.
 SAMPLE_PAGES = 2000
 
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "textarea", "select", "title", "head", "xmp", "noembed", "noframes")
+RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "textarea", "select", "title", "xmp", "noembed", "noframes")
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button label fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input label button".split())
@@ -52,6 +52,7 @@ TOKEN = re.compile(
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
+    r"|<[a-z][^>]*(?:>|\Z)"  # a quote that is not closed
     r"|(?P<text>[^<]+|<)",
     re.I | re.S,
 )

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+
 
 from codeloom.llm import chat, common, decontamination, html_text, language_id, licenses, near_duplicates, packing, quality_classifier, quality_rules, toxicity
 from codeloom.llm.registry import QUERIES
@@ -171,6 +171,7 @@ WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit"
         (f"<div class='ad'>buy</div><div id=c><p>{WORDS}</p><script>if (a<b) '</p>'</script><aside>side</aside><p>{WORDS}</p></div><div class='comments'><p>I say {WORDS}</p></div>", f"{WORDS}\n{WORDS}"),
         (f"<main><p>{WORDS}</p><form><p>mail</p></form><table><tr><td>a</td><td>b</td></tr></table></main>", f"{WORDS}\na\nb"),
         (f"<article><p>{WORDS} cut &am", f"{WORDS} cut &am"),
+        (f"<head><meta charset=utf-8><title>t</title><body><p>{WORDS}</p><a href='/cut", WORDS),
         (f"<article><p>a<em>b</em>c &lt;{WORDS}&gt;<!-- <p>no</p> --></p></article>", f"abc <{WORDS}>"),
     ],
 )
@@ -518,3 +519,18 @@ def test_rules_of_odd_rows(odd, empty):
     assert found[1].n_words == 0 and not found[1].kept and found[1].perplexity is None
     assert found[8].base_failed and found[8].n_dup_lines == 29
     assert quality_rules.quality_rules(empty).count() == 0
+
+
+def test_rows_without_an_id(spark, odd):
+    """They are scored, packed and scanned like others, and linked as exact copies only."""
+    docs = odd.union(spark.createDataFrame([(None, "same words here again and again\n" * 30, None, None, None, None, None), (None, None, None, None, None, None, None)], DOCS))
+    n = docs.count()
+    labels = spark.createDataFrame([(4, 1, 1), (8, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert language_id.identify(docs, language_id.train(docs)).count() == n
+    assert packing.pack(docs).filter("piece = 0").count() == n
+    assert quality_classifier.quality(docs, labels).count() == n
+    assert licenses.license_scan(docs).count() == n
+    assert toxicity.score(docs, toxicity.fit(toxicity.collect_sample(docs, labels))).count() == n
+    assert quality_rules.quality_rules(docs).count() == n
+    assert sorted((r.component_id or 0) for r in near_duplicates.near_duplicates(docs).filter("doc_id is null").collect()) == [0, 8]
+    decontamination.decontaminate(docs, spark.createDataFrame([(None, "same words here again and again"), (1, None)], "item_id long, text string")).count()
