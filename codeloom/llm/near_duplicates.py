@@ -26,7 +26,8 @@ copies merge beforehand by the hash of their set.
 
 Texts that are null or have no words have an empty set and are linked with
 nothing. Shorter texts than a shingle have one shingle, all their words. Rows with
-the same doc_id are one document, whichever of their texts a partner matches.
+the same doc_id are one document, whichever of their texts a partner matches; a
+row without doc_id is linked to its exact copies only.
 Other columns are ignored; an empty table gives an empty result. Shingles are
 compared by 64-bit hashes, sets of exact copies too.
 """
@@ -223,7 +224,7 @@ def keys_of(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFra
             keys, roles, nodes = [], [], []
             for node, s in zip(batch.column("doc_id").to_pylist(), sets, strict=True):
                 h = set_hash(s)
-                if h is None or h in seen:
+                if h is None or h in seen or node is None:
                     continue
                 seen.add(h)
                 cost = np.ones(len(s))
@@ -288,8 +289,8 @@ def near_by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         within = block[1] == block[2]
         left = np.arange(len(rows["a"])) if within else np.flatnonzero(rows["chunk"] == block[1])
         right = left if within else np.flatnonzero(rows["chunk"] == block[2])
-        for k in range(0, len(left), 128):
-            i, j = left[k : k + 128, None], right[None, :]
+        for k in range(0, len(left), 16):
+            i, j = left[k : k + 16, None], right[None, :]
             small, large = np.minimum(rows["size"][i], rows["size"][j]), np.maximum(rows["size"][i], rows["size"][j])
             ok = (rows["root"][i] != rows["root"][j]) & (whole[i] | whole[j]) & (probe[i] | probe[j]) & (5 * small >= 4 * large)
             if within:
@@ -329,7 +330,7 @@ def blocks(rows: DataFrame) -> DataFrame:
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.slices(batches, "x"):
         linked = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
