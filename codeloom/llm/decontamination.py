@@ -10,7 +10,8 @@ stand in a consistent one-to-one relation; a window of fewer than six other word
 must have the same values.
 
 Items shorter than a window are windows of their own if they have five words.
-Null and empty texts have no windows. Rows with one doc_id are one document; other
+Null and empty texts have no windows. Rows with one doc_id are one document, rows
+without one are not reported; other
 columns are ignored; an empty table on either side gives an empty result.
 """
 
