@@ -5,14 +5,14 @@ parameters were changed has the template it had. A name is a capitalised word
 or several behind a lower-case letter or a comma, semicolon or colon; a unit is a
 known one behind a digit. What remains is put in lower case and cut into words.
 Hashes of windows of ten words join the windows of the benchmark with those of
-all documents that have the window's longest word in its place. For each hit, the values of the placeholders on both sides must
-stand in a consistent one-to-one relation; a window of fewer than six other words
-must have the same values.
+all documents that have the window's longest word in its place. For each hit, the
+values of the placeholders on both sides must stand in a consistent one-to-one
+relation; a window of fewer than six other words must have the same values.
 
 Items shorter than a window are windows of their own if they have five words.
 Null and empty texts have no windows. Rows with one doc_id are one document, rows
-without one are not reported; other
-columns are ignored; an empty table on either side gives an empty result.
+without one are not reported; other columns are ignored; an empty table on either
+side gives an empty result.
 """
 
 from __future__ import annotations
