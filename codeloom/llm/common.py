@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +44,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(int(np.searchsorted(ends, before + limit, "right")), start + 1)
             yield batch.slice(start, stop - start)
             start = stop
+    release()
+
+
+def release() -> None:
+    """Gives a worker's free memory back to the system: workers live on between stages, beside the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
