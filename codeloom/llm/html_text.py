@@ -31,10 +31,12 @@ from . import common
 #: Bound of the labelled sample, drawn by a hash of page_id.
 SAMPLE_PAGES = 2000
 
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "textarea", "select", "title", "xmp", "noembed", "noframes")
+RAW = ("script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "textarea", "select", "title", "xmp", "noembed", "noframes")
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button label fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input label button".split())
+#: Elements of formulas: part of the line they stand in, and neither for nor against a region.
+MATH = frozenset("math mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr mstyle mpadded mphantom menclose mfenced merror maction maligngroup malignmark semantics annotation annotation-xml".split())
 #: Elements that an end tag of these closes.
 CONTAINERS = frozenset("article main section div body html table ul ol dl td th tr li blockquote figure details".split()) | BOILERPLATE
 #: Whole words of class, id and role that name boilerplate.
@@ -44,7 +46,10 @@ NAMES = re.compile(
 #: Containers of everything, named after what they also hold; headers of the text; and articles that are none.
 WRAPPER = re.compile(r"wrap|container|layout|grid|(?:^|[\s_-])(?:has|with|no|page)-|(?:article|entry|post|content|story)[_-]?_?header", re.I)
 ASIDE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|related|teaser|promo\w*|ads?|advert\w*|sponsor\w*)(?:$|[\s_-])", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Tags without it need not be read for attributes that hide.
+HIDDEN = re.compile(r"hidden|display\s*:\s*none", re.I)
+HIDING_STYLE = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
+ANY_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|data-role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -80,6 +85,17 @@ def named(rest: str) -> tuple[str, str]:
     return " ".join(names), prop
 
 
+def hidden(rest: str) -> bool:
+    """Whether an attribute of the tag hides it: hidden itself, aria-hidden that is true, or a style."""
+    if not HIDDEN.search(rest):
+        return False
+    for m in ANY_ATTRIBUTE.finditer(rest):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and HIDING_STYLE.search(value):
+            return True
+    return False
+
+
 def tokens(page: str) -> list[Token]:
     out: list[Token] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, left out, names the content
@@ -97,7 +113,7 @@ def tokens(page: str) -> list[Token]:
                 block += m["raw"].lower() in ("textarea", "select", "iframe", "object")
             continue
         tag = tag.lower()
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in MATH:
             block += 1
         left_out, content = stack[-1][1:] if stack else (False, False)
         if m["end"]:
@@ -113,7 +129,7 @@ def tokens(page: str) -> list[Token]:
             content = True
         elif tag in BOILERPLATE and not (tag == "header" and content):
             left_out = True
-        if names and (ASIDE_ARTICLE.search(names) if tag in ("article", "main") else tag not in ("html", "body") and NAMES.search(names) and not WRAPPER.search(names)) or rest and HIDDEN.search(rest):
+        if names and (ASIDE_ARTICLE.search(names) if tag in ("article", "main") else tag not in ("html", "body") and NAMES.search(names) and not WRAPPER.search(names)) or rest and hidden(rest):
             left_out = True
         out.append(Token(f"{tag} out" if left_out else tag, None, left_out, block, content))
         if tag not in VOID and not rest.endswith("/"):
@@ -168,8 +184,8 @@ def main_text(page: str, weight: dict[str, float]) -> str:
     found = tokens(page)
     if any(t.content and not t.out and t.words for t in found):  # what lies outside a named content element is none of it
         found = [t if t.content or t.text is None else Token("out", t.text, True, t.block, False, t.words) for t in found]
-    # left-out words and the tags of a named content element neither lengthen nor split the region
-    scores = [weight["word"] * t.words * (not t.out) if t.text is not None else 0.0 if t.content else weight.get(t.kind, -0.5) for t in found]
+    # left-out words, the tags of formulas and those of a named content element neither lengthen nor split the region
+    scores = [weight["word"] * t.words * (not t.out) if t.text is not None else 0.0 if t.content or t.kind.removeprefix("/") in MATH else weight.get(t.kind, -0.5) for t in found]
     a, b = best_region(scores)
     return read(found[a:b])
 

@@ -179,6 +179,20 @@ def test_main_text(page, want):
     assert html_text.main_text(page, WEIGHTS) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body class='overflow-hidden'><article class=\"overflow-hidden\"><p>{WORDS}</p></article>", WORDS),
+        (f"<div aria-hidden='false' title='a hidden gem'><p>{WORDS} <a href='/the-hidden-cost'>the cost</a> {WORDS}</p></div>", f"{WORDS} the cost {WORDS}"),
+        (f"<article><p>{WORDS} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {WORDS}</p></article>", f"{WORDS} x=2 {WORDS}"),
+        (f"<div><p>{WORDS} <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> {WORDS}</p></div>", f"{WORDS} x=2 {WORDS}"),
+        (f"<article><p hidden>a</p><p HIDDEN=''>b</p><p aria-hidden=true>c</p><p style='color:red; display : none'>d</p><p style=visibility:hidden>e</p><p>{WORDS}</p></article>", WORDS),
+    ],
+)
+def test_only_hidden_elements_are_left_out(page, want):
+    assert html_text.main_text(page, WEIGHTS) == want
+
+
 def test_best_region_is_the_best():
     rng = random.Random(3)
     for _ in range(200):
