@@ -1,12 +1,13 @@
 """Licence scans by a positional index of rare licence words.
 
-Templates are short licence sentences. For each file the scan looks up its
-licence words of the highest inverse document frequency (counted over all
-documents), intersects the postings of the templates by relative position (the
-place in the file less the place in the template must agree) and keeps a
-template whose agreeing words cover enough of it and whose mandatory key phrase
-stands in the file. The phrases of the base rule are templates too, so that each
-of their places comes out of the same index, verified word for word.
+Templates are short licence sentences. Each key phrase has an anchor, its word of
+the highest inverse document frequency (counted over all documents), which is
+looked up in every file and verified word for word. Around each place of a key
+phrase the postings of its templates are intersected by relative position (the
+place in the file less the place in the template must agree), and a template is
+kept whose agreeing words cover enough of it. The frequencies only choose and
+order anchors: what a file is labelled depends on that file alone. The phrases of
+the base rule have anchors of the same kind, so each of their places is found.
 
 Null texts count as empty: no words, no labels, score 0. Repeated rows are each
 scanned; other columns are ignored; an empty table gives an empty result.
@@ -55,12 +56,10 @@ TEMPLATES = [
     ("this is free and unencumbered software released into the public domain", "unlicense", ("unencumbered software",)),
 ]
 
-#: A file's licence words that are looked up, those of the highest IDF first.
-RAREST = 12
-#: Not looked up are words that over this share of the documents have, if half of the licence words are rarer.
-COMMON = 0.1
 #: Share of a template's words that must agree on one relative position.
 COVER = 0.6
+#: Words before and behind a template's place in which its key phrase may stand too.
+AROUND = 3
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z to lower case, characters outside words to a blank.
@@ -85,26 +84,37 @@ class Index:
             for k, w in enumerate(words):
                 self.postings[w].append((i, k))
         self.idf: dict[bytes, float] = {}
+        # key phrase -> its templates; template -> word -> places
+        self.keys: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
+        self.inside: dict[int, dict[bytes, list[int]]] = {}
+        for i, (words, _, keys) in self.templates.items():
+            for phrase in dict.fromkeys(keys):
+                self.keys[phrase].append(i)
+            self.inside[i] = {w: [k for k, x in enumerate(words) if x == w] for w in words}
 
     def vocabulary(self) -> frozenset[bytes]:
-        return frozenset(self.postings)
+        return frozenset(self.postings).union(*self.keys)
 
     def weigh(self, frequencies: dict[bytes, int], n: int) -> None:
-        self.idf = {w: log((1 + n) / (1 + frequencies.get(w, 0))) for w in self.postings}
-        there = sorted(frequencies.values())
-        most = max(COMMON * n, there[len(there) // 2] if there else 0)
-        self.rare = frozenset(w for w in self.postings if frequencies.get(w, 0) <= most)
-        # the rarest word of a base phrase finds its places
+        self.idf = {w: log((1 + n) / (1 + frequencies.get(w, 0))) for w in self.vocabulary()}
+        # the rarest word of a phrase finds its places
         self.anchors: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for i, (words, _) in self.base.items():
-            k = max(range(len(words)), key=lambda k: (self.idf[words[k]], -k))
+            k = self.rarest(words)
             self.anchors[words[k]].append((i, k))
+        self.key_anchors: dict[bytes, list[tuple[tuple[bytes, ...], int]]] = defaultdict(list)
+        for phrase in self.keys:
+            k = self.rarest(phrase)
+            self.key_anchors[phrase[k]].append((phrase, k))
+
+    def rarest(self, words: tuple[bytes, ...]) -> int:
+        return max(range(len(words)), key=lambda k: (self.idf[words[k]], -k))
 
     def scan(self, words: list[bytes], present: set[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """Base places with their labels, and the method's labels with the share of the template found."""
-        rare = sorted(present & self.rare, key=lambda w: (-self.idf[w], w))[:RAREST]
-        anchors, sought = present & self.anchors.keys(), set(rare)
-        places: dict[bytes, list[int]] = {w: [] for w in sought | anchors}
+        phrases = [(w, phrase, k) for w in present & self.key_anchors.keys() for phrase, k in self.key_anchors[w] if present.issuperset(phrase)]
+        anchors = present & self.anchors.keys()
+        places: dict[bytes, list[int]] = {w: [] for w in anchors.union(w for w, *_ in phrases)}
         for w in places:
             at = -1
             for _ in range(words.count(w)):
@@ -115,23 +125,27 @@ class Index:
             for i, k in self.anchors[w]:
                 phrase, label = self.base[i]
                 base += [(p - k, label) for p in places[w] if p >= k and tuple(words[p - k : p - k + len(phrase)]) == phrase]
-        votes: Counter = Counter()
-        for w in rare:
-            for i, k in self.postings[w]:
-                if i in self.templates:
-                    votes.update((i, p - k) for p in places[w])
         found: dict[str, float] = {}
-        for (i, shift), n in votes.items():
-            template, label, keys = self.templates[i]
-            # of a template's rare words that were looked up, at least half agree on this place
-            if 2 * n < sum(w in sought for w in set(template)) or n < 2:
-                continue
-            agree = sum(0 <= shift + k < len(words) and words[shift + k] == w for k, w in enumerate(template)) / len(template)
-            span = words[max(0, shift - 3) : shift + len(template) + 3]
-            if agree >= COVER and any(tuple(span[j : j + len(p)]) == p for p in keys for j in range(len(span) - len(p) + 1)):
-                found[label] = max(found.get(label, 0), agree)
+        for w, phrase, k in phrases:
+            for p in places[w]:
+                if p >= k and tuple(words[p - k : p - k + len(phrase)]) == phrase:
+                    for i in self.keys[phrase]:
+                        label = self.templates[i][1]
+                        if found.get(label, 0) < 1 and (agree := self.cover(i, words, p - k, len(phrase))) >= COVER:
+                            found[label] = max(found.get(label, 0), agree)
         return base, found
 
+    def cover(self, i: int, words: list[bytes], start: int, size: int) -> float:
+        """The largest share of a template's words that agree on one place in whose reach the key phrase of `size` words at `start` lies."""
+        length, inside = len(self.templates[i][0]), self.inside[i]
+        first, last = start + size - length - AROUND, start + AROUND
+        votes: Counter = Counter()
+        for q in range(max(0, first), min(len(words), last + length)):
+            for k in inside.get(words[q], ()):
+                if first <= q - k <= last:
+                    votes[q - k] += 1
+        return max(votes.values(), default=0) / length
+
 
 def license_scan(docs: DataFrame, index: Index | None = None) -> DataFrame:
     index = index or Index()

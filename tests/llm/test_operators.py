@@ -400,6 +400,15 @@ def test_license_templates(spark):
     assert found[5].labels == "apache,apache-2.0" and found[6].n_words == 0
 
 
+def test_licence_labels_depend_on_the_file_alone(spark):
+    every = ". ".join(t for t, *_ in licenses.TEMPLATES)
+    rows = [(k, "Licensed under CC BY 4.0 by me" if k % 3 == 0 else "plain words of prose") for k in range(60)] + [(60, every), (61, "x " * 5000 + every.upper())]
+    found = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {found[k] for k in range(0, 60, 3)} == {"cc-by-4.0"} and {found[k] for k in range(60) if k % 3} == {""}
+    labels = {label for _, label, _ in licenses.TEMPLATES} | set(licenses.BASE.values())
+    assert set(found[60].split(",")) == set(found[61].split(",")) == labels
+
+
 def test_licenses_of_odd_rows(odd, empty):
     assert licenses.license_scan(odd).count() == len(ODD) and licenses.license_scan(empty).count() == 0
 
