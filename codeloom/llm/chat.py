@@ -6,14 +6,17 @@ what a turn adds behind the output so far is its span. Where an output does not
 begin with the one before, the template rewrote history; the conversation is
 flagged and its spans come from the longest common prefix instead.
 
-To keep long conversations linear, prefixes are rendered in windows: each window
+A template may look at any turn, so every prefix is rendered whole, at a cost that
+grows with the square of a conversation. Only for a template declared turn-local
+(`turn_local`), as the one of this module is, which marks turns one by one, are
+prefixes rendered in windows, to keep long conversations linear: each window
 starts with the last `overlap` turns before it, and what the first new turn adds
-is checked to be what the same turn adds in the window before. The
-template of this module marks turns one by one, so windows change nothing; for a
-template whose rendering differs between windows the whole prefix is rendered.
+is checked to be what the same turn adds in the window before. A declared
+template that fails this is an error.
 
-Rows of a conversation meet by conv_id, sorted by (turn, role, text), and are
-streamed: a task holds one window and the running digests, never a conversation.
+Rows of a conversation meet by conv_id, sorted by (turn, role, text). With a
+turn-local template they are streamed: a task holds one window and the running
+digests, never a conversation; with others it holds the turns of one.
 Null texts and roles count as empty. Repeated rows are turns of their own, a null
 conv_id is a conversation of its own, other columns are ignored, and an empty
 table gives an empty result.
@@ -24,7 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain, groupby, islice
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -44,6 +47,12 @@ ESCAPES = (("\\", "\\\\"), ("###", "\\h"), ("</turn>", "\\e"), (": ", "\\c"))
 ASSISTANT = "assistant"
 
 
+def turn_local(template: Template) -> Template:
+    """Declares that what a turn adds to the template's output depends on that turn alone."""
+    template.turn_local = True
+    return template
+
+
 def escape(text: str) -> str:
     for plain, coded in ESCAPES:
         text = text.replace(plain, coded)
@@ -62,6 +71,7 @@ def unescape(text: str) -> str:
     return "".join(out)
 
 
+@turn_local
 def default_template(turns: list[Turn]) -> str:
     """`### role: text </turn>` a line, each role capitalised as it comes."""
     return "".join(f"{OPEN}{escape(role)}: {escape(text)}{CLOSE}\n" for role, text in turns)
@@ -76,29 +86,58 @@ def parse_span(span: str) -> Turn:
 @dataclass
 class Span:
     text: str
+    start: int  # in the output that ends with it
     rewrites: bool = False
 
 
+def added(before: str, after: str, start: int = 0) -> Span:
+    """What a prefix adds to the output of the one before, of which `start` characters more stand before both."""
+    rewrites = not after.startswith(before)
+    same = len(commonprefix([before, after])) if rewrites else len(before)
+    return Span(after[same:], start + same, rewrites)
+
+
+def prefixes(turns: Iterable[Turn], template: Template) -> Iterator[Span]:
+    """What each turn adds to the output, every prefix rendered whole."""
+    kept: list[Turn] = []
+    before = ""
+    for turn in turns:
+        kept.append(turn)
+        after = template(kept)
+        yield added(before, after)
+        before = after
+
+
 def spans(turns: Iterable[Turn], template: Template, window: int = WINDOW, overlap: int = OVERLAP) -> Iterator[Span]:
-    """What each turn adds to the output. Ends early, with a rewriting span, at a template that rewrites history between windows."""
+    """What each turn adds to the output of a turn-local template, by windows. If windows differ, whole prefixes from there on; an error if the template was declared turn-local."""
+    declared = getattr(template, "turn_local", False)
+    every: list[Turn] = []  # all turns so far, of an undeclared template only
     kept: list[Turn] = []
-    before, last = "", None
+    before, last, start = "", None, 0
+    turns = iter(turns)
     for turn in turns:
         if len(kept) >= window:
+            end = start + len(before)
             kept = kept[-overlap:]
             shorter, before = template(kept[:-1]), template(kept)
             if not before.startswith(shorter) or before[len(shorter) :] != last:
-                yield Span("", True)
+                if declared:
+                    raise ValueError("a template declared turn-local renders a turn differently in another window")
+                yield from islice(prefixes(chain(every, (turn,), turns), template), len(every), None)
                 return
+            start = end - len(before)
         kept.append(turn)
+        if not declared:
+            every.append(turn)
         after = template(kept)
-        if after.startswith(before):
-            last = after[len(before) :]
-            yield Span(last)
-        else:
-            last = after[len(commonprefix([before, after])) :]
-            yield Span(last, True)
-        before = after
+        span = added(before, after, start)
+        last, before = span.text, after
+        yield span
+
+
+def rendered(turns: Iterable[Turn], template: Template) -> Iterator[Span]:
+    """By windows where the template is declared turn-local, else by whole prefixes."""
+    return (spans if getattr(template, "turn_local", False) else prefixes)(turns, template)
 
 
 SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean"
@@ -116,15 +155,14 @@ def by_conversation(conversations: DataFrame) -> DataFrame:
 
 
 def format_turns(conversations: DataFrame, template: Template = default_template, parse: Callable[[str], Turn] = parse_span) -> DataFrame:
-    """A row for each turn: its span in the conversation's output and whether loss falls on it. With a template that rewrites history, rows end at the turn that does."""
+    """A row for each turn: its span in the conversation's output and whether loss falls on it. The span of a turn that rewrites history begins where the outputs differ and takes the place of what stood there; it has no role."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv_id, rows in groupby(sorted_rows(batches), key=lambda r: r[0]):
-            at, out = 0, []
-            for k, span in enumerate(spans(((role, text) for _, role, text in rows), template)):
+            out = []
+            for k, span in enumerate(rendered(((role, text) for _, role, text in rows), template)):
                 role = "" if span.rewrites else parse(span.text)[0]
-                out.append((conv_id, k, at, at + len(span.text), role, role == ASSISTANT, span.rewrites, span.text))
-                at += len(span.text)
+                out.append((conv_id, k, span.start, span.start + len(span.text), role, role == ASSISTANT, span.rewrites, span.text))
                 if len(out) == WINDOW:
                     yield turn_batch(out)
                     out = []
@@ -140,20 +178,20 @@ def turn_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def digests(conversations: DataFrame, template: Template = default_template, parse: Callable[[str], Turn] = parse_span) -> DataFrame:
-    """A row for each conversation, from what is read back from its output."""
+    """A row for each conversation, from what is read back from its output. Turns that rewrite history count as turns but cannot be read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for conv_id, rows in groupby(sorted_rows(batches), key=lambda r: r[0]):
             n = loss_chars = chars = 0
             rewrites, turns, loss = False, hashlib.sha256(), hashlib.sha256()
-            for span in spans(((role, text) for _, role, text in rows), template):
-                chars += len(span.text)
+            for span in rendered(((role, text) for _, role, text in rows), template):
+                chars = span.start + len(span.text)
+                n += 1
                 if span.rewrites:
                     rewrites = True
                     continue
                 role, text = parse(span.text)
-                n += 1
                 turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 if role == ASSISTANT:
                     loss_chars += len(text)

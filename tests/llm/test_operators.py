@@ -276,6 +276,32 @@ def test_templates_that_rewrite_history_are_detected():
     assert [s.rewrites for s in chat.spans([("user", "abc"), ("assistant", "def")], last_only)] == [False, True]
 
 
+def test_templates_beyond_a_window(spark):
+    def numbered(turns):
+        return "".join(f"{k} {r}: {x}\n" for k, (r, x) in enumerate(turns))
+
+    def folded(turns):
+        """Rewrites turn 1 once there are 30."""
+        return "".join(f"0 {r}: {'...' if k == 1 and len(turns) >= 30 else x}\n" for k, (r, x) in enumerate(turns))
+
+    turns = [("assistant" if k % 2 else "user", f"text {k}") for k in range(40)]
+    rows = spark.createDataFrame([(1, k, *turn) for k, turn in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    parse = lambda span: tuple(span.split(" ", 1)[1][:-1].split(": ", 1))
+    found = chat.digests(rows, numbered, parse).first()
+    assert (found.n_turns, found.rewrites, found.formatted_chars) == (40, False, len(numbered(turns)))
+    assert found.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+    output = numbered(turns)
+    of = chat.format_turns(rows, numbered, parse).orderBy("turn_no").collect()
+    assert len(of) == 40 and all(output[r.start : r.end] == r.formatted and not r.rewrites and r.role == turns[r.turn_no][0] for r in of)
+    assert "".join(s.text for s in chat.spans(turns, numbered)) == output
+    of = chat.format_turns(rows, folded, parse).orderBy("turn_no").collect()
+    assert [r.turn_no for r in of if r.rewrites] == [29] and len(of) == 40 and of[-1].end == len(folded(turns))
+    found = chat.digests(rows, folded, parse).first()
+    assert (found.n_turns, found.rewrites, found.formatted_chars) == (40, True, len(folded(turns)))
+    with pytest.raises(ValueError):
+        list(chat.spans(turns, chat.turn_local(lambda given: numbered(given))))
+
+
 def test_conversation_digests(spark, small, result):
     rows = {}
     for r in spark.read.parquet(f"{small}/conversations.parquet").orderBy("conv_id", "turn").collect():
