@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,6 @@ from ..registry import on_graph, on_tables
 from .graph import Graph, checkpoint, top
 from .vectors import embeddings
 
-SEED, RESOLUTION, FINER = 42, 1.0, 1.5
 #: A community of more than this share of the nodes (and more than three) is cut again.
 LARGE_SHARE = 0.25
 
@@ -31,76 +31,161 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
-def louvain(edges: list[tuple[int, int]], resolution: float = RESOLUTION) -> dict[int, int]:
-    """Community of each node of an undirected multigraph by moves that raise modularity, level after level."""
-    weight: dict[tuple[int, int], float] = defaultdict(float)
-    for a, b in edges:
-        weight[min(a, b), max(a, b)] += 1.0
-    names = sorted({x for e in weight for x in e})
-    of = {x: x for x in names}
-    while True:
-        near: dict[int, dict[int, float]] = defaultdict(dict)
-        degree: dict[int, float] = defaultdict(float)
-        for (a, b), w in weight.items():
-            degree[a] += w
-            degree[b] += w
-            if a != b:
-                near[a][b] = near[a].get(b, 0.0) + w
-                near[b][a] = near[b].get(a, 0.0) + w
-        total = sum(weight.values()) or 1.0
-        home, size = {x: x for x in degree}, dict(degree)
-        order = list(np.random.default_rng(SEED).permutation(sorted(degree)))
-        moved, improved = True, False
-        while moved:
-            moved = False
-            for x in order:
-                here, gains = home[x], defaultdict(float)
-                for y, w in near[x].items():
-                    gains[home[y]] += w
-                size[here] -= degree[x]
-                best = max(sorted({here, *gains}), key=lambda c: (gains[c] - resolution * degree[x] * size[c] / (2 * total), c == here))
-                size[best] += degree[x]
-                if best != here:
-                    home[x], moved, improved = best, True, True
-        of = {x: home[c] for x, c in of.items()}
-        if not improved:
-            return of
-        merged: dict[tuple[int, int], float] = defaultdict(float)
-        for (a, b), w in weight.items():
-            a, b = sorted((home[a], home[b]))
-            merged[a, b] += w
-        weight = merged
+def coin(node: int, turn: int) -> int:
+    return crc32(f"{node}:{turn}".encode())
+
 
+def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, depth: int = 0) -> dict[int, int]:
+    """Community of each node of an undirected graph, with edges a < b of weight w, by moves that raise modularity, level after level.
 
-def communities_of(edges: list[tuple[int, int]]) -> dict[int, int]:
-    """Louvain communities; those that are too large are cut again at a finer resolution. Named by their least node."""
-    found = louvain(edges)
+    All nodes of a round choose by the same state: the neighbouring community of the highest gain, their own
+    and then the smaller one in a tie. Of those that want to move a share does, drawn by a hash, the one with the
+    least hash always. A round that does not raise modularity is taken back and the share halved; one that does
+    doubles it, to a half at the most. A level ends when no node wants to move. Whole numbers only, so that
+    `louvain_of` gets the same from joins. The resolution is (3/2)**depth.
+    """
+    up, down = 3**depth, 2**depth
+    names, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    w = np.concatenate((w, w))
+    x, y = ends, np.roll(ends, len(a))
+    k = np.bincount(x, w, len(names)).astype(np.int64)
+    of, total = np.arange(len(names)), int(k.sum())  # names are sorted, so that the order of places is theirs
+    ids = names
+    while True:
+        n, home = len(ids), np.arange(len(ids))
+
+        def value(home: np.ndarray) -> int:
+            size = np.bincount(home, k, n).astype(np.int64)
+            return total * down * int(w[home[x] == home[y]].sum()) - up * int((size * size).sum())
+
+        best_value, turn, refused, moved = value(home), 0, 0, False
+        while True:
+            size = np.bincount(home, k, n).astype(np.int64)
+            pairs, inverse = np.unique(np.concatenate((x * n + home[y], np.arange(n) * n + home)), return_inverse=True)
+            links = np.bincount(inverse, np.concatenate((w, np.zeros(n, np.int64)))).astype(np.int64)
+            node, to = pairs // n, pairs % n
+            stays = home[node] == to
+            gain = total * down * links - up * k[node] * (size[to] - k[node] * stays)
+            order = np.lexsort((to, ~stays, -gain, node))
+            first = order[np.unique(node[order], return_index=True)[1]]
+            want = first[~stays[first]]
+            if not len(want):
+                break
+            coins = np.array([coin(i, turn) for i in ids[node[want]].tolist()])
+            goes = coins % (2 << refused) == 0
+            goes[np.lexsort((ids[node[want]], coins))[0]] = True
+            there = home.copy()
+            there[node[want[goes]]] = to[want[goes]]
+            now = value(there)
+            if now > best_value:
+                home, best_value, refused, moved = there, now, max(0, refused - 1), True
+            else:
+                refused += 1
+            turn += 1
+        of = home[of]
+        if not moved:
+            return dict(zip(names.tolist(), ids[of].tolist(), strict=True))
+        kept, places = np.unique(home, return_inverse=True)
+        ids, of = ids[kept], np.searchsorted(kept, of)
+        k = np.bincount(places, k, len(kept)).astype(np.int64)
+        x, y = places[x], places[y]
+        pairs, inverse = np.unique((x * len(kept) + y)[x != y], return_inverse=True)
+        w = np.bincount(inverse, w[x != y]).astype(np.int64)
+        x, y = pairs // len(kept), pairs % len(kept)
+
+
+def communities_of(edges: list[tuple[int, int]], depth: int = 0) -> dict[int, int]:
+    """Louvain communities; those that are too large are cut again at a finer resolution, and so on. Named by their least node."""
+    weight = Counter((min(e), max(e)) for e in edges if e[0] != e[1])
+    found = {x: x for e in edges for x in e}
+    if weight:
+        pairs = np.array(sorted(weight), np.int64)
+        found |= louvain(pairs[:, 0], pairs[:, 1], np.array([weight[e] for e in sorted(weight)], np.int64), depth)
     groups: dict[int, list[int]] = defaultdict(list)
     for x, c in found.items():
         groups[c].append(x)
     out: dict[int, int] = {}
-    for nodes in groups.values():
-        inside = set(nodes)
-        parts = [nodes]
-        if len(nodes) > max(3, LARGE_SHARE * len(found)):
-            finer = louvain([e for e in edges if e[0] in inside and e[1] in inside], RESOLUTION * FINER)
-            split: dict[int, list[int]] = defaultdict(list)
-            for x in nodes:
-                split[finer.get(x, x)].append(x)
-            parts = list(split.values())
-        for part in parts:
-            out |= dict.fromkeys(part, min(part))
+    for c, nodes in groups.items():
+        if len(nodes) > max(3, int(LARGE_SHARE * len(found))):
+            out |= {x: x for x in nodes} | communities_of([e for e in edges if e[0] != e[1] and found[e[0]] == found[e[1]] == c], depth + 1)
+        else:
+            out |= dict.fromkeys(nodes, min(nodes))
     return out
 
 
-#: Edges that one task may hold for Louvain; larger graphs go to label propagation.
+def louvain_of(edges: DataFrame, depth: int = 0) -> DataFrame:
+    """`louvain` by joins, for graphs of any size: (id, community) from edges (a, b, w) with a < b."""
+    up, down = 3**depth, 2**depth
+    near = checkpoint(edges.select("a", "b", "w").union(edges.select("b", "a", "w")))
+    nodes = checkpoint(near.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")))
+    total = int(nodes.agg(F.sum("k")).first()[0])
+    of = nodes.select("id", F.col("id").alias("community"))
+    while True:
+        home = nodes.select("id", "k", F.col("id").alias("c"))
+
+        def placed(home: DataFrame) -> DataFrame:
+            return near.join(home.select(F.col("id").alias("b"), F.col("c").alias("to")), "b").select("a", "to", "w")
+
+        def value(home: DataFrame) -> int:
+            inside = placed(home).join(home.select(F.col("id").alias("a"), F.col("c").alias("to")), ["a", "to"]).agg(F.sum("w")).first()[0]
+            size = home.groupBy("c").agg(F.sum("k").cast("decimal(19,0)").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
+            return total * down * int(inside or 0) - up * int(size)
+
+        best_value, turn, refused, moved = value(home), 0, 0, False
+        while True:
+            links = placed(home).union(home.select("id", "c", F.lit(0).cast("long"))).groupBy("a", "to").agg(F.sum("w").alias("w"))
+            size = home.groupBy(F.col("c").alias("to")).agg(F.sum("k").alias("size"))
+            choice = links.join(home.select(F.col("id").alias("a"), "k", "c"), "a").join(size, "to")
+            stays = F.col("to") == F.col("c")
+            gain = F.lit(total * down) * F.col("w") - F.lit(up) * F.col("k") * (F.col("size") - F.when(stays, F.col("k")).otherwise(0))
+            best = choice.groupBy(F.col("a").alias("id")).agg(F.max_by(F.struct("to", "c"), F.struct(gain, stays, -F.col("to"))).alias("x"))
+            want = checkpoint(best.filter("x.to <> x.c").select("id", F.col("x.to").alias("to"), F.crc32(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(turn))).cast("binary")).alias("coin")))
+            least = want.agg(F.min(F.struct("coin", "id")).alias("x")).first()[0]
+            if least is None:
+                break
+            goes = want.filter((F.col("coin") % (2 << refused) == 0) | (F.col("id") == least.id)).select("id", "to")
+            there = checkpoint(home.join(goes, "id", "left").select("id", "k", F.coalesce("to", "c").alias("c")))
+            now = value(there)
+            if now > best_value:
+                home, best_value, refused, moved = there, now, max(0, refused - 1), True
+            else:
+                refused += 1
+            turn += 1
+        if not moved:
+            return of
+        of = checkpoint(of.join(home.select(F.col("id").alias("community"), "c"), "community").select("id", F.col("c").alias("community")))
+        near = checkpoint(placed(home).join(home.select(F.col("id").alias("a"), "c"), "a").filter("c <> to").groupBy(F.col("c").alias("a"), F.col("to").alias("b")).agg(F.sum("w").alias("w")))
+        nodes = checkpoint(home.groupBy(F.col("c").alias("id")).agg(F.sum("k").alias("k")))
+
+
+def cut_again(edges: DataFrame, depth: int = 0) -> DataFrame:
+    """`communities_of` by joins."""
+    weighed = checkpoint(edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("w")))
+    every = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    if not weighed.isEmpty():
+        found = every.join(louvain_of(weighed, depth), "id", "left").select("id", F.coalesce("community", "id").alias("c"))
+    else:
+        found = every.select("id", F.col("id").alias("c"))
+    found = checkpoint(found)
+    groups = found.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("community"))
+    out = checkpoint(found.join(groups, "c").select("id", "c", "n", "community"))
+    most = max(3, int(LARGE_SHARE * out.count()))
+    for c in [r.c for r in out.filter(F.col("n") > most).select("c").distinct().collect()]:  # three at the most
+        inside = out.filter(F.col("c") == c).select("id")
+        part = edges.filter("src <> dst").join(inside.withColumnRenamed("id", "src"), "src", "left_semi").join(inside.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+        finer = cut_again(part, depth + 1).withColumnRenamed("community", "finer")
+        out = checkpoint(out.join(finer, "id", "left").select("id", "c", "n", F.coalesce("finer", F.when(F.col("c") == c, F.col("id")), "community").alias("community")))
+    return out.select("id", "community")
+
+
+#: Edges up to which one task gets the same result sooner.
 LOUVAIN_EDGES = 500_000
 
 
-def communities(edges: DataFrame) -> DataFrame:
-    """(id, community). Louvain within one task while the graph has a bounded number of edges, label propagation beyond."""
-    if edges.limit(LOUVAIN_EDGES + 1).count() > LOUVAIN_EDGES:
-        return label_propagation(edges)
+def communities(edges: DataFrame, in_one_task: int = LOUVAIN_EDGES) -> DataFrame:
+    """(id, community). Louvain by joins; within one task, with the same result, while the graph has few edges."""
+    if edges.limit(in_one_task + 1).count() > in_one_task:
+        return cut_again(edges)
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         found = communities_of(sorted(zip(batch["src"].tolist(), batch["dst"].tolist(), strict=True)))

@@ -125,6 +125,19 @@ def test_two_triangles_fall_apart():
     assert found == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
 
 
+def test_communities_are_the_same_at_every_size(spark):
+    rng = np.random.default_rng(5)
+    cliques = [(10 * c + i, 10 * c + j) for c in range(8) for i in range(6) for j in range(i)]
+    pairs = cliques + [(int(a), int(b)) for a, b in 10 * rng.integers(0, 8, (12, 2)) + rng.integers(0, 6, (12, 2))] + [(500, 500)]
+    one = {(r.id, r.community) for r in topology.communities(edges(spark, *pairs)).collect()}
+    joined = {(r.id, r.community) for r in topology.communities(edges(spark, *pairs), 0).collect()}
+    assert joined == one and len({c for _, c in one}) == 9
+    star = [(0, k) for k in range(1, 9)]  # one community at first, of more than a quarter
+    one = {(r.id, r.community) for r in topology.communities(edges(spark, *star)).collect()}
+    assert one == {(r.id, r.community) for r in topology.communities(edges(spark, *star), 0).collect()}
+    assert len({c for _, c in one}) > 1
+
+
 def test_density_clusters_of_two_clouds():
     rng = np.random.default_rng(0)
     points = np.concatenate((rng.normal(0, 0.1, (20, 2)), rng.normal(5, 0.1, (20, 2)), [[50.0, 50.0]]))
