@@ -2,9 +2,10 @@
 
 Two logistic classifiers see different views of a document: one its text (shares
 of kinds of characters, repetition, word lengths), one its metadata (source,
-language, length). Over some rounds each labels the unlabelled documents of which
-it is most sure, as many of either class as the labels have in proportion, and
-the other learns from them too. Each view is then calibrated on labelled
+language, length). Over some rounds each labels all unlabelled documents of which
+it is sure, and the other learns from them too: the classes weigh what they do
+among the labels, and all together no more than a number that grows by round. The
+unlabelled documents stay in Spark; a fit takes sums over them. Each view is then calibrated on labelled
 documents that it did not learn from, and the two log odds add up, less the prior
 that both contain; a document is rejected where the combined probability of good
 quality is under a half.
@@ -17,8 +18,9 @@ each scored; other columns pass by; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 from operator import eq
 
 import numpy as np
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bounds of the samples of labelled and of unlabelled documents, drawn by a hash of doc_id.
-LABELLED, UNLABELLED = 6000, 4000
+#: Bound of the sample of labelled documents, drawn by a hash of doc_id.
+LABELLED = 6000
+#: Rounds, how sure a view must be, and the weight of the documents labelled so in the first round.
 ROUNDS, SURE, EACH_ROUND = 5, 0.95, 200
 THRESHOLD = 0.5
 RIDGE = 1.0
@@ -82,18 +85,81 @@ class Logistic:
         return np.clip(np.column_stack(((x - self.mean) / self.scale, np.ones(len(x)))) @ self.beta, -15, 15)
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Logistic:
-    """Ridge logistic regression by Newton steps."""
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-    z = np.column_stack(((x - mean) / scale, np.ones(len(x))))
-    beta, ridge = np.zeros(z.shape[1]), np.append(np.full(z.shape[1] - 1, RIDGE), 1e-3)
+Views = tuple[np.ndarray, np.ndarray]
+#: Sums over all unlabelled documents of what a function makes of their views.
+Pool = Callable[[Callable[[Views], np.ndarray]], np.ndarray]
+
+
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.column_stack(((x - mean) / scale, np.ones(len(x))))
+
+
+def sure(teacher: Logistic, x: np.ndarray) -> list[np.ndarray]:
+    """The rows that a view is sure are of label 0, and of label 1."""
+    p = 1 / (1 + np.exp(-teacher.odds(x)))
+    return [1 - p >= SURE, p >= SURE]
+
+
+def moments(views: Views, teachers: list[Logistic]) -> np.ndarray:
+    """For each view and label that the other view is sure of: the number of rows, their sum and that of squares."""
+    out = []
+    for v in (0, 1):
+        for rows in sure(teachers[1 - v], views[1 - v]):
+            x = views[v][rows]
+            out += [[float(len(x))], x.sum(0), (x * x).sum(0)]
+    return np.concatenate(out)
+
+
+def slopes(z: np.ndarray, y: np.ndarray, weight: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Second derivatives and gradient of the log likelihood, in one row."""
+    p = 1 / (1 + np.exp(-np.clip(z @ beta, -15, 15)))
+    return np.concatenate((((z * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ z).ravel(), z.T @ (weight * (y - p))))
+
+
+def pool_slopes(views: Views, teachers: list[Logistic], models: list[Logistic], weights: list[list[float]]) -> np.ndarray:
+    out = []
+    for v in (0, 1):
+        bad, good = sure(teachers[1 - v], views[1 - v])
+        rows = bad | good
+        y = good[rows].astype(float)
+        out.append(slopes(standard(views[v][rows], models[v].mean, models[v].scale), y, np.where(y == 1, weights[v][1], weights[v][0]), models[v].beta))
+    return np.concatenate(out)
+
+
+def fit_views(views: tuple[np.ndarray, ...], y: np.ndarray, teachers: list[Logistic] | None = None, pool: Pool | None = None, mass: tuple[float, float] = (0.0, 0.0)) -> list[Logistic]:
+    """Ridge logistic regressions by Newton steps, one a view, of labelled rows and of those in the pool that the other view's teacher is sure of: at most `mass` a label, shared evenly by all of them."""
+    found, weights = [], [[0.0, 0.0] for _ in views]
+    sums = pool(partial(moments, teachers=teachers)) if pool else None
+    for v, x in enumerate(views):
+        n, first, second = float(len(x)), x.sum(0), (x * x).sum(0)
+        if sums is not None:
+            for label in (0, 1):
+                m, one, two = sums[0], sums[1 : 1 + x.shape[1]], sums[1 + x.shape[1] : 1 + 2 * x.shape[1]]
+                sums = sums[1 + 2 * x.shape[1] :]
+                w = weights[v][label] = min(1.0, mass[label] / m) if m else 0.0
+                n, first, second = n + w * m, first + w * one, second + w * two
+        mean = first / n
+        found.append(Logistic(mean, np.maximum(np.sqrt(np.maximum(second / n - mean**2, 0)), 1e-3), np.zeros(x.shape[1] + 1)))
+    z = [standard(x, m.mean, m.scale) for x, m in zip(views, found, strict=True)]
     for _ in range(20):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -15, 15)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * beta)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-5:
+        more = pool(partial(pool_slopes, teachers=teachers, models=found, weights=weights)) if pool else None
+        largest = 0.0
+        for k, m in enumerate(found):
+            size = len(m.beta)
+            both = slopes(z[k], y, np.ones(len(y)), m.beta)
+            if more is not None:
+                both, more = both + more[: len(both)], more[len(both) :]
+            ridge = np.append(np.full(size - 1, RIDGE), 1e-3)
+            step = np.linalg.solve(both[: size * size].reshape(size, size) + np.diag(ridge), both[size * size :] - ridge * m.beta)
+            m.beta = m.beta + np.clip(step, -5, 5)
+            largest = max(largest, np.abs(step).max())
+        if largest < 1e-5:
             break
-    return Logistic(mean, scale, beta)
+    return found
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> Logistic:
+    return fit_views((x,), y)[0]
 
 
 @dataclass
@@ -111,29 +177,19 @@ class Model:
         return tuple(1 / (1 + np.exp(-v)) for v in (a + b - self.prior, a, b))
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, free: tuple[np.ndarray, np.ndarray]) -> Model | None:
-    """views: text and metadata of labelled documents; free: of unlabelled ones."""
+def co_train(views: Views, y: np.ndarray, free: Views | Pool) -> Model | None:
+    """views: text and metadata of labelled documents; free: of unlabelled ones, or sums over them."""
     if len(set(y.tolist())) < 2:
         return None
     fold = np.arange(len(y)) % 4 == 0  # calibrates, and is not learned from
     if len(set(y[fold].tolist())) < 2 or len(set(y[~fold].tolist())) < 2:
         fold = np.zeros(len(y), bool)
-    given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view learns from
-    models: list[Logistic] = []
-    for round_ in range(ROUNDS + 1):
-        models = []
-        for v in (0, 1):
-            at = list(given[v])
-            x = np.concatenate((views[v][~fold], free[v][at])) if at else views[v][~fold]
-            models.append(fit(x, np.concatenate((y[~fold], [given[v][k] for k in at]))))
-        if round_ == ROUNDS or not len(free[0]):
-            break
-        share = y.mean()
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-models[v].odds(free[v])))
-            for label, sure, n in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                best = np.argsort(-sure, kind="stable")[: int(np.ceil(EACH_ROUND * n * (round_ + 1)))]
-                given[1 - v].update((int(k), label) for k in best if sure[k] >= SURE)
+    pool = free if callable(free) else lambda job: job(free)
+    learned, share = tuple(v[~fold] for v in views), float(y.mean())
+    models = fit_views(learned, y[~fold])
+    for round_ in range(1, ROUNDS + 1):
+        mass = EACH_ROUND * round_
+        models = fit_views(learned, y[~fold], models, pool, (mass * (1 - share), mass * share))
     held = fold if fold.any() else np.ones(len(y), bool)
     calibrated = [fit(m.odds(x[held])[:, None], y[held]) for m, x in zip(models, views, strict=True)]
     return Model(*models, *calibrated, float(np.log(y[held].mean() / (1 - y[held].mean()))))
@@ -149,24 +205,42 @@ def view_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     truth = labels.filter("quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    n, total = truth.count(), docs.count()
+    n = truth.count()
     drawn = truth.filter(common.hash_share("doc_id", 7) < LABELLED / max(n, LABELLED))
-    pool = docs.select("doc_id").filter(common.hash_share("doc_id", 8) < UNLABELLED / max(total, UNLABELLED)).join(truth, "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int"))
-    wanted = drawn.union(pool).dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, text, meta in view_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(list(text)), pa.array(list(meta))], names=["doc_id", "quality", "text_view", "meta_view"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(text)), pa.array([np.flatnonzero(m).astype(np.int32) for m in meta], pa.list_(pa.int32()))], names=["doc_id", "text_view", "meta_view"])
 
-    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").filter("text is not null").join(common.broadcast_if_small(wanted), "doc_id")
-    rows = rows.mapInArrow(run, "doc_id long, quality int, text_view array<double>, meta_view array<double>")
-    found = rows.toPandas()  # about LABELLED + UNLABELLED rows of numbers
+    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").filter("text is not null")
+    rows = common.checkpoint(rows.mapInArrow(run, "doc_id long, text_view array<double>, meta_view array<int>"))  # fifteen numbers a document
+    found = rows.join(common.broadcast_if_small(drawn), "doc_id").toPandas()  # about LABELLED rows of numbers
     if found.empty:
         return None
     found = found.assign(key=[str(list(v)) for v in found["text_view"]]).sort_values(["doc_id", "key"])
-    known = found["quality"].notna().to_numpy()
-    views = [np.stack(found[c].to_list()) for c in ("text_view", "meta_view")]
-    return co_train(tuple(v[known] for v in views), found["quality"].to_numpy(float)[known], tuple(v[~known] for v in views))
+    free = common.checkpoint(rows.join(common.broadcast_if_small(truth.select("doc_id")), "doc_id", "left_anti").select("text_view", "meta_view"))
+
+    def pool(job: Callable[[Views], np.ndarray]) -> np.ndarray:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    part = job((np.stack(batch.column("text_view").to_numpy(zero_copy_only=False)), dense(batch.column("meta_view").to_numpy(zero_copy_only=False))))
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total])], names=["sums"])
+
+        parts = [np.array(r.sums) for r in free.mapInArrow(sums, "sums array<double>").collect()]  # a row for each task
+        return np.sum(parts, axis=0) if parts else job((np.zeros((0, TEXT_SIZE)), np.zeros((0, META_SIZE))))
+
+    return co_train((np.stack(found["text_view"].to_list()), dense(found["meta_view"].to_list())), found["quality"].to_numpy(float), pool)
+
+
+def dense(places) -> np.ndarray:
+    out = np.zeros((len(places), META_SIZE))
+    for row, at in zip(out, places, strict=True):
+        row[at] = 1.0
+    return out
 
 
 def classify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -236,6 +236,20 @@ def test_views_learn_from_each_other():
     assert right[0] > 0.85 and right[0] >= max(right[1:]) - 0.02
 
 
+def test_every_unlabelled_document_is_learned_from(spark, monkeypatch):
+    seen, given = [], quality_classifier.co_train
+
+    def co_train(views, y, free):
+        seen.append(free(lambda v: np.array([float(len(v[0])), float(v[1].sum())])).tolist() if callable(free) else [float(len(free[0])), float(free[1].sum())])
+        return given(views, y, free)
+
+    monkeypatch.setattr(quality_classifier, "co_train", co_train)
+    docs = spark.createDataFrame([(k, f"some words number {k}" if k % 2 else "## || @@ %% 11", "en", "a", 20) for k in range(9000)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(100)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.train(docs, labels) is not None
+    assert seen == [[8900.0, 3 * 8900.0]]
+
+
 def test_quality_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     found = {r.doc_id: r.kept for r in quality_classifier.quality(odd, labels).collect()}
