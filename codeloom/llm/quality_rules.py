@@ -1,44 +1,56 @@
 """Quality rules: counting rules and a character n-gram language model.
 
-The model is an interpolated modified Kneser-Ney model of the characters within
-a word, one per language. Spark counts the n-grams of every document. Each
-n-gram is a hash of 20 bits an order, salted by its language, so that the tables
-have at most 2**20 entries an order whatever the corpus: their size is bounded,
-while their counts cover all documents. The driver turns the counts into sorted
-hash arrays of probabilities and back-off weights, which go to every task.
+The model is an interpolated modified Kneser-Ney model of characters, of order
+five and across words (blanks between words count as one), for each language.
+Spark counts the n-grams of all whole documents in two folds, dealt by a hash of
+the text, and derives the lower orders, discounts and back-off weights by joins:
+the tables grow with the corpus and stay in Spark. A document is scored by the
+fold that it is not in, so that no text vouches for itself.
+
+Scoring looks n-grams up by 64-bit hashes in one sorted array of probabilities and
+one of back-off weights. The arrays are broadcast if they were counted to have at
+most `broadcast` entries. Beyond that, documents are dealt into groups of bounded
+size, each asks the tables by a join for the n-grams it has, and is scored with
+the answers: the same numbers, by another way.
 
 Two bands for each language, from quantiles of all its documents that pass the
-counting rules, reject documents of too low or too high a perplexity.
+counting rules, reject documents of too low or too high a perplexity. So near the
+median as LEAST_SPREAD says every document is kept.
 
 Null texts count as empty: no words, so the rules reject them. A null language is
-a language of its own. Repeated rows are scored alike and all kept; other columns
+a language of its own; where the other fold has no text of it, the perplexity is
+null and the counting rules decide. Repeated rows are scored alike and all kept;
+ties at a band's edge are inside. Very long texts are read in pieces. Other columns
 of the input are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-ORDER, BITS = 4, 20
+ORDER = 5
 START, END = "\x02", "\x03"
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: A band reaches so many times as far from the median as these quantiles.
-REACH, LOW, HIGH, LEAST_SPREAD = 8.0, 0.05, 0.95, 0.05
-#: Words whose score a Python worker keeps, and different words of a language that it counts before it passes their n-grams on.
-CACHE, COUNTED_WORDS = 200_000, 80_000
+REACH, LOW, HIGH, LEAST_SPREAD = 5.0, 0.05, 0.95, 0.05
+#: Characters that a worker expands at a time; bits of a character's number in a packed n-gram; n-grams it gathers before it merges them.
+PIECE, SYMBOL_BITS, GATHERED = 1 << 16, 12, 2_000_000
+#: Entries of the arrays that may be broadcast (12 bytes each), and bytes of text in a group of documents beyond that.
+BROADCAST_ENTRIES, GROUP_BYTES = 8_000_000, 32_000_000
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+MODEL_KEYS = ["fold", "lang"]
 
 
 def words_of(text: str) -> list[bytes]:
@@ -78,174 +90,347 @@ def count_rules(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]
     )
 
 
-def grams(words: list[str], seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order: the number of the word of each n-gram, its last place, its key, its suffix's and its context's, and whether it begins a word."""
-    points = common.code_points("".join(f"{START}{w}{END}" for w in words)).astype(np.uint64)
-    begins = points == ord(START)
-    of, n = np.cumsum(begins) - 1, len(points)
-    place = np.arange(n)
-    since = place - np.maximum.accumulate(np.where(begins, place, 0))  # places since the word's start
-    sums, power, keys = np.zeros(n, np.uint64), np.uint64(1), [np.full(n, key_of(np.zeros(1, np.uint64), 0, seed)[0])]
-    for order in range(1, ORDER + 1):
-        sums = sums.copy()
-        sums[order - 1 :] += points[: n - order + 1] * power
-        power = np.uint64(int(power) * 1_000_003 & 0xFFFFFFFFFFFFFFFF)
-        keys.append(key_of(sums, order, seed))
-        at = np.flatnonzero((since >= order - 1) & (since > 0))  # the start mark itself is never predicted
-        yield order, of[at], at, keys[order][at], keys[order - 1][at], keys[order - 1][at - 1], since[at] == order - 1
-
-
-def key_of(sums: np.ndarray, order: int, seed: int) -> np.ndarray:
-    salt = np.uint64((seed * 0x9E3779B97F4A7C15 + order * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)
-    return (common.mix64(sums + salt) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def seed_of(lang: str | None) -> int:
-    return 1 + common.zlib.crc32((lang or "").encode())
+def plain(words: list[bytes]) -> str:
+    """What the model reads of a text: its words, a blank between two. A null character would be lost at an n-gram's end."""
+    return b" ".join(words).decode("utf-8", "surrogatepass").replace("\0", "�")
+
+
+def fold_of(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) & 1
+
+
+def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Code points of texts with their marks, ORDER - 1 before and one behind, at most about PIECE at a time, and the number of the text of each that is predicted (-1 for those that are context only)."""
+    points, owners, n = [], [], 0
+    for k, text in enumerate(texts):
+        every = common.code_points(START * (ORDER - 1) + text + END)
+        for at in range(ORDER - 1, len(every), PIECE):
+            part = every[at - ORDER + 1 : at + PIECE]
+            owner = np.full(len(part), k, np.int32)
+            owner[: ORDER - 1] = -1
+            points.append(part)
+            owners.append(owner)
+            n += len(part)
+            if n >= PIECE:
+                yield np.concatenate(points), np.concatenate(owners)
+                points, owners, n = [], [], 0
+    if points:
+        yield np.concatenate(points), np.concatenate(owners)
+
+
+class Counter:
+    """Counts n-grams exactly, packed as numbers of the characters met so far."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.number = np.zeros(0x110000, np.uint16)
+        self.alphabet = np.zeros(1, np.uint32)
+        self.parts: dict[tuple[int, str], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def add(self, of: tuple[int, str], points: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fresh = np.unique(points[self.number[points] == 0])
+        if len(self.alphabet) + len(fresh) > 1 << SYMBOL_BITS:
+            if len(self.alphabet) > 1:  # a new alphabet
+                yield from self.emit()
+                yield from self.add(of, points, owner)
+            else:  # more characters than numbers
+                half = len(points) // 2
+                yield from self.add(of, points[:half], owner[:half])
+                later = owner[half - ORDER + 1 :].copy()
+                later[: ORDER - 1] = -1
+                yield from self.add(of, points[half - ORDER + 1 :], later)
+            return
+        self.number[fresh] = np.arange(len(self.alphabet), len(self.alphabet) + len(fresh))
+        self.alphabet = np.concatenate((self.alphabet, fresh))
+        ids = self.number[points].astype(np.uint64)
+        n = len(points) - ORDER + 1
+        keys = np.zeros(n, np.uint64)
+        for k in range(ORDER):
+            keys = keys << np.uint64(SYMBOL_BITS) | ids[k : k + n]
+        parts = self.parts.setdefault(of, [])
+        parts.append(summed(keys[owner[ORDER - 1 :] >= 0]))
+        if len(parts) > 1 and sum(len(k) for k, _ in parts[1:]) > min(GATHERED, max(len(parts[0][0]), 1 << 18)):
+            self.parts[of] = [merged(parts)]
+        if sum(len(p[0][0]) for p in self.parts.values()) > 2 * GATHERED:
+            yield from self.emit()
+
+    def emit(self) -> Iterator[pa.RecordBatch]:
+        shifts = np.arange(ORDER - 1, -1, -1, dtype=np.uint64) * np.uint64(SYMBOL_BITS)
+        for (fold, lang), parts in self.parts.items():
+            keys, counts = merged(parts)
+            for at in range(0, len(keys), 1 << 18):
+                some = keys[at : at + (1 << 18)]
+                grams = self.alphabet[(some[:, None] >> shifts & np.uint64((1 << SYMBOL_BITS) - 1)).astype(np.int64)]
+                grams = np.ascontiguousarray(grams).view(f"<U{ORDER}").ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), fold, np.int32)), pa.array([lang] * len(some), pa.string()), pa.array(grams.tolist(), pa.string()), pa.array(counts[at : at + (1 << 18)])], names=["fold", "lang", "gram", "n"])
+        self.clear()
+
+
+def summed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys.sort()
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.diff(starts, append=len(keys))
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[starts], np.add.reduceat(counts, starts)
+
+
+def by_model(batch: pa.RecordBatch) -> dict[tuple[int, str], list[int]]:
+    """The rows of a batch by the fold and language of their texts."""
+    found: dict[tuple[int, str], list[int]] = {}
+    for k, (text, lang) in enumerate(zip(common.texts(batch), batch.column("lang").to_pylist(), strict=True)):
+        found.setdefault((fold_of(text), lang or ""), []).append(k)
+    return found
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, Counter] = {}
+    counter = Counter()
     for batch in common.slices(batches):
-        for text, lang in zip(common.texts(batch), batch.column("lang").to_pylist(), strict=True):
-            counter = found.setdefault(lang or "", Counter())
-            counter.update(words_of(text))
-            if len(counter) > COUNTED_WORDS:
-                yield from gram_counts(lang or "", found.pop(lang or ""))
-    for lang, counter in found.items():
-        if counter:
-            yield from gram_counts(lang, counter)
-
-
-def gram_counts(lang: str, counter: Counter) -> Iterator[pa.RecordBatch]:
-    weight = np.fromiter(counter.values(), np.int64, len(counter))
-    for order, of, _, key, suffix, context, begins in grams([w.decode("utf-8", "surrogatepass") for w in counter], seed_of(lang)):
-        n = np.bincount(key, weights=weight[of], minlength=1 << BITS).astype(np.int64)
-        first = np.bincount(key, weights=begins, minlength=1 << BITS) > 0
-        least = np.full((2, 1 << BITS), 1 << BITS, np.int32)
-        np.minimum.at(least[0], key, suffix.astype(np.int32))
-        np.minimum.at(least[1], key, context.astype(np.int32))
-        keys = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(keys)), pa.array(np.full(len(keys), order, np.int32)), pa.array(keys.astype(np.int32)), pa.array(least[0][keys]), pa.array(least[1][keys]), pa.array(first[keys]), pa.array(n[keys])],
-            names=["lang", "n", "key", "suffix", "context", "begins", "count"],
-        )
+        every = common.texts(batch)
+        for of, rows in by_model(batch).items():
+            texts = [x for x in (plain(words_of(every[k])) for k in rows) if x]
+            for points, owner in pieces(texts):
+                yield from counter.add(of, points, owner)
+    yield from counter.emit()
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(fold, lang, gram, n): how often each n-gram of the highest order stands in the documents of a fold and language."""
+    return docs.select("text", "lang").mapInArrow(count_grams, "fold int, lang string, gram string, n long").groupBy(*MODEL_KEYS, "gram").agg(F.sum("n").alias("n"))
+
+
+def levels(grams: DataFrame) -> DataFrame:
+    """(fold, lang, gram, n, size) of all orders. Below the highest an n-gram counts the kinds of characters before it."""
+    parts = [grams]
+    for _ in range(ORDER - 1):
+        parts.append(common.checkpoint(parts[-1].groupBy(*MODEL_KEYS, F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))))
+    every = parts[0].withColumn("size", F.lit(ORDER))
+    for k, part in enumerate(parts[1:], 1):
+        every = every.union(part.withColumn("size", F.lit(ORDER - k)))
+    return every
+
+
+def discounts(every: DataFrame) -> DataFrame:
+    """A row for each fold, language and order: what is taken off counts of one, two, and three or more."""
+    sizes = [F.count(F.when(F.col("n") == k, 1)).alias(f"t{k}") for k in (1, 2, 3, 4)]
+    t = [F.greatest(F.col(f"t{k}"), F.lit(1)) for k in (1, 2, 3, 4)]
+    y = t[0] / (t[0] + 2 * t[1])
+    cuts = [1 - 2 * y * t[1] / t[0], 2 - 3 * y * t[2] / t[1], 3 - 4 * y * t[3] / t[2]]
+    bounded = [F.least(F.greatest(c, F.lit(0.05)), F.lit(top)).alias(f"d{k}") for k, (c, top) in enumerate(zip(cuts, (0.95, 1.9, 2.8), strict=True), 1)]
+    return every.groupBy(*MODEL_KEYS, "size").agg(F.count("*").alias("kinds"), *sizes).select(*MODEL_KEYS, "size", "kinds", *bounded)
+
+
+def model_table(grams: DataFrame) -> DataFrame:
+    """(fold, lang, gram, back, log): the probability of each n-gram and, where back is true, the back-off weight of each context.
+
+    The rows of a context are bounded by the alphabet. The back-off weight of the empty
+    context is already multiplied with the share of one unknown character.
+    """
+    every = levels(grams)
+    of_context = Window.partitionBy(*MODEL_KEYS, "size", "context")
+    rows = every.join(common.broadcast_if_small(common.checkpoint(discounts(every)), 10_000), [*MODEL_KEYS, "size"])
+    rows = rows.withColumn("cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("context", F.expr("substring(gram, 1, size - 1)"))
+    rows = rows.withColumn("total", F.sum("n").over(of_context)).withColumn("back", F.sum("cut").over(of_context) / F.col("total") / F.when(F.col("size") == 1, F.col("kinds") + 1).otherwise(1))
+    rows = common.checkpoint(rows.select(*MODEL_KEYS, "size", "gram", "context", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"), "back", (F.row_number().over(of_context.orderBy("gram")) == 1).alias("first")))
+    out = rows.filter("first").select(*MODEL_KEYS, F.col("context").alias("gram"), F.lit(True).alias("back"), F.log("back").alias("log"))
+    lower = None
+    for size in range(1, ORDER + 1):
+        level = rows.filter(F.col("size") == size)
+        if lower is not None:
+            level = level.withColumn("suffix", F.expr("substring(gram, 2)")).join(lower.withColumnRenamed("gram", "suffix"), [*MODEL_KEYS, "suffix"])
+        p = level.select(*MODEL_KEYS, "gram", (F.col("own") + F.col("back") * (F.col("p") if size > 1 else 1)).alias("p"))
+        lower = common.checkpoint(p) if size < ORDER else p
+        out = out.union(lower.select(*MODEL_KEYS, "gram", F.lit(False).alias("back"), F.log("p").alias("log")))
+    return out
+
+
+#: Multipliers of the characters of an n-gram, the last one first.
+FACTORS = [pow(0xD1342543DE82EF95, k + 1, 1 << 64) for k in range(ORDER)]
+
+
+def salt(fold: int, lang: str, order: int, back: bool) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(f"{fold} {order} {int(back)} {lang}".encode("utf-8", "surrogatepass")))
+
+
+def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        grams, out = batch.column("gram").to_pylist(), np.zeros(batch.num_rows, np.uint64)
+        names = list(zip(batch.column("fold").to_pylist(), batch.column("lang").to_pylist(), map(len, grams), batch.column("back").to_pylist(), strict=True))
+        salts = {x: salt(*x) for x in set(names)}
+        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+        points, ends = common.code_points("".join(grams)).astype(np.uint64), np.cumsum(sizes)
+        for k in range(ORDER):
+            some = np.flatnonzero(sizes > k)
+            out[some] += points[ends[some] - 1 - k] * np.uint64(FACTORS[k])
+        out = common.mix64(out + np.fromiter(map(salts.__getitem__, names), np.uint64, len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(batch.column("log").to_numpy().astype(np.float32))], names=["key", "log"])
+
+
+def entries(table: DataFrame) -> DataFrame:
+    """(key, log): n-grams and contexts of a model by their hashes."""
+    return table.mapInArrow(hashed, "key long, log float")
 
 
 class Model:
-    """Sorted hash arrays by order: keys, log probabilities; and back-off weights of contexts."""
-
-    def __init__(self, counts) -> None:
-        self.keys, self.logs, self.contexts, self.backs = {}, {}, {}, {}
-        self.unseen = {}
-        by = {(n, lang): rows for (n, lang), rows in counts.groupby(["n", "lang"], sort=True, observed=True)}
-        for lang in sorted(set(counts["lang"])):
-            lower = np.zeros(1 << BITS)
-            for n in range(1, ORDER + 1):
-                if (n, lang) not in by:
-                    continue
-                rows = by[n, lang]
-                c = rows["count"].to_numpy().astype(float)
-                if n < ORDER:  # kinds of characters before it, unless it begins a word
-                    after = by.get((n + 1, lang))
-                    kinds = np.zeros(1 << BITS)
-                    if after is not None:
-                        np.add.at(kinds, after["suffix"].to_numpy(), 1)
-                    c = np.where(rows["begins"].to_numpy() | (kinds[rows["key"]] == 0), c, kinds[rows["key"]])
-                t = [max(1, int((c == k).sum())) for k in (1, 2, 3, 4)]
-                y = t[0] / (t[0] + 2 * t[1])
-                d = np.clip([0, 1 - 2 * y * t[1] / t[0], 2 - 3 * y * t[2] / t[1], 3 - 4 * y * t[3] / t[2]], [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.8])
-                cut = d[np.minimum(c, 3).astype(int)]
-                contexts, inverse = np.unique(rows["context"].to_numpy(), return_inverse=True)
-                total, freed = np.bincount(inverse, weights=c), np.bincount(inverse, weights=cut)
-                back = freed / total
-                below = np.full(len(c), 1 / (len(c) + 1)) if n == 1 else lower[rows["suffix"]]
-                p = (c - cut) / total[inverse] + back[inverse] * below
-                if n == 1:
-                    self.unseen[lang] = back[0] / (len(c) + 1)
-                lower = np.full(1 << BITS, self.unseen[lang])
-                lower[rows["key"]] = p
-                self.keys.setdefault(n, []).append(rows["key"].to_numpy())
-                self.logs.setdefault(n, []).append(np.log(p))
-                self.contexts.setdefault(n, []).append(contexts)
-                self.backs.setdefault(n, []).append(np.log(back))
-        for keys, values in ((self.keys, self.logs), (self.contexts, self.backs)):
-            for n in keys:
-                k, first = np.unique(np.concatenate(keys[n]), return_index=True)
-                keys[n], values[n] = k.astype(np.int32), np.concatenate(values[n])[first].astype(np.float32)
-        self.unseen = {lang: float(np.log(p)) for lang, p in self.unseen.items()}
-
-    def spread(self) -> None:
-        """Lays the sorted arrays out by key, NaN where there is none: 4 MB an order, in a worker's memory only."""
-        self.wide = {}
-        for n in self.keys:
-            for what, keys, values in (("log", self.keys[n], self.logs[n]), ("back", self.contexts[n], self.backs[n])):
-                self.wide[what, n] = np.full(1 << BITS, np.nan, np.float32)
-                self.wide[what, n][keys] = values
-
-    def score(self, words: list[str], lang: str | None) -> np.ndarray:
-        """The sum of log probabilities of each word's characters and its end."""
-        levels = list(grams(words, seed_of(lang)))
-        n = sum(map(len, words)) + 2 * len(words)
-        total, weight = np.full(n, np.nan), np.zeros(n)
-        for order, _, at, key, _, context, _ in reversed(levels):
-            if order not in self.keys:
-                continue
-            fresh = np.flatnonzero(np.isnan(total[at]))
-            value = self.wide["log", order][key[fresh]]
-            total[at[fresh]] = weight[at[fresh]] + value
-            miss = fresh[np.isnan(value)]
-            weight[at[miss]] += np.nan_to_num(self.wide["back", order][context[miss]])
-        used = levels[0][2]
-        rest = used[np.isnan(total[used])]
-        total[rest] = weight[rest] + self.unseen.get(lang or "", -12.0)
-        return np.bincount(levels[0][1], weights=total[used], minlength=len(words))
-
-
-def train(docs: DataFrame) -> Model:
-    """Counts the n-grams of all documents and builds the model on the driver: at most 2**20 entries an order and language."""
-    counts = docs.select("text", "lang").mapInArrow(count_grams, "lang string, n int, key int, suffix int, context int, begins boolean, count long")
-    counts = counts.groupBy("lang", "n", "key").agg(F.min("suffix").alias("suffix"), F.min("context").alias("context"), F.max("begins").alias("begins"), F.sum("count").alias("count"))
-    table = counts.toArrow()
-    return Model(table.set_column(0, "lang", table["lang"].combine_chunks().dictionary_encode()).to_pandas())
-
-
-def measure(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, the counts and the log perplexity (null without words) of every document."""
+    """Sorted hash arrays; where the leading bits of a hash begin is kept too, so that a look-up takes few steps."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.logs = keys[order], logs[order]
+
+    def open(self) -> Model:
+        self.shift = np.uint64(64 - max(1, int(len(self.keys)).bit_length()))
+        self.begins = np.searchsorted(self.keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
+        return self
+
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """The logs of keys, NaN where there is none."""
+        out = np.full(len(keys), np.nan, np.float32)
+        if not len(self.keys):
+            return out
+        head = (keys >> self.shift).astype(np.int64)
+        at, stop = self.begins[head], self.begins[head + 1]
+        left = np.arange(len(keys))
+        while len(left):
+            inside = at < stop
+            left, at, stop = left[inside], at[inside], stop[inside]
+            found = self.keys[at] == keys[left]
+            out[left[found]] = self.logs[at[found]]
+            miss = ~found
+            left, at, stop = left[miss], at[miss] + 1, stop[miss]
+        return out
+
+    def score(self, texts: list[str], fold: int, lang: str) -> np.ndarray:
+        """The sum of log probabilities of each text's characters and its end; NaN without a model of the language."""
+        out = np.zeros(len(texts))
+        nothing = self.look_up(common.mix64(np.array([salt(fold, lang, 0, True)])))[0]
+        if np.isnan(nothing):
+            return np.full(len(texts), np.nan)
+        for points, owner in pieces(texts):
+            wide = points.astype(np.uint64)
+            at = np.flatnonzero(owner >= 0)
+            sums = [np.zeros(len(wide), np.uint64)]  # of the n characters that end at a place
+            for k in range(ORDER):
+                longer = sums[-1].copy()
+                longer[k:] += wide[: len(wide) - k] * np.uint64(FACTORS[k])
+                sums.append(longer)
+            total, left = np.zeros(len(at)), np.arange(len(at))
+            for order in range(ORDER, 0, -1):
+                value = self.look_up(common.mix64(sums[order][at[left]] + salt(fold, lang, order, False)))
+                there = ~np.isnan(value)
+                total[left[there]] += value[there]
+                left = left[~there]
+                if not len(left):
+                    break
+                if order > 1:
+                    total[left] += np.nan_to_num(self.look_up(common.mix64(sums[order - 1][at[left] - 1] + salt(fold, lang, order - 1, True))))
+            total[left] += nothing
+            out += np.bincount(owner[at], weights=total, minlength=len(texts))
+        return out
+
+
+def measured(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
+    every = common.texts(batch)
+    split = [words_of(x) for x in every]
+    counts = np.array([count_rules(t, w) for t, w in zip(every, split, strict=True)], np.int64).reshape(-1, 5)
+    logs = np.full(len(every), np.nan)
+    for (fold, lang), rows in by_model(batch).items():
+        rows = [k for k in rows if split[k]]
+        texts = [plain(split[k]) for k in rows]
+        if texts:
+            logs[rows] = -model.score(texts, 1 - fold, lang) / np.array([len(x) + 1 for x in texts])
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *(pa.array(counts[:, k]) for k in range(5)), pa.array(logs, mask=np.isnan(logs))], names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"])
+
+
+MEASURED = f"doc_id long, lang string, {COUNTS}, log_perplexity double"
+
+
+def measure_by_broadcast(docs: DataFrame, found: DataFrame) -> DataFrame:
+    table = found.toArrow()  # counted before
+    model = Model(table["key"].to_numpy().view(np.uint64), table["log"].to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, caches = shared.value, {}
-        model.spread()
+        model = shared.value.open()
         for batch in common.slices(batches):
-            every = common.texts(batch)
-            langs = [x or "" for x in batch.column("lang").to_pylist()]
-            split = [words_of(x) for x in every]
-            sums = [0.0] * len(every)
-            for lang in set(langs):
-                cache = caches.setdefault(lang, {})
-                fresh = list(set().union(*(w for w, x in zip(split, langs, strict=True) if x == lang)) - cache.keys())
-                if fresh:
-                    if sum(map(len, caches.values())) + len(fresh) > CACHE:
-                        for other in caches.values():
-                            other.clear()
-                        fresh = list(set().union(*(w for w, x in zip(split, langs, strict=True) if x == lang)))
-                    cache.update(zip(fresh, model.score([w.decode("utf-8", "surrogatepass") for w in fresh], lang).tolist(), strict=True))
-                for k, (w, x) in enumerate(zip(split, langs, strict=True)):
-                    if x == lang:
-                        sums[k] = sum(map(cache.__getitem__, w))
-            counts = np.array([count_rules(t, w) for t, w in zip(every, split, strict=True)], np.int64).reshape(-1, 5)
-            logs = [-total / (c[0] + c[1]) if c[0] else None for total, c in zip(sums, counts.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *(pa.array(counts[:, k]) for k in range(5)), pa.array(logs, pa.float64())], names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"])
-
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id long, lang string, {COUNTS}, log_perplexity double")
-
-
-def quality_rules(docs: DataFrame, reach: float = REACH) -> DataFrame:
+            yield measured(batch, model)
+
+    return docs.select("doc_id", "text", "lang").mapInArrow(run, MEASURED)
+
+
+def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each group of documents the hashes that scoring them may look up, once each."""
+    last, gathered, n = None, [], 0
+
+    def batch_of() -> pa.RecordBatch:
+        keys = np.unique(np.concatenate(gathered))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), last, np.int64)), pa.array(keys.view(np.int64))], names=["group", "key"])
+
+    for batch in common.slices(batches):
+        groups = batch.column("group").to_numpy()
+        cuts = np.flatnonzero(np.diff(groups)) + 1
+        for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+            part = batch.slice(start, stop - start)
+            if groups[start] != last or n > GATHERED:
+                if gathered:
+                    yield batch_of()
+                last, gathered, n = int(groups[start]), [], 0
+            every = common.texts(part)
+            for (fold, lang), rows in by_model(part).items():
+                for points, _ in pieces([plain(words_of(every[k])) for k in rows]):
+                    sums = np.zeros(len(points), np.uint64)
+                    for order in range(ORDER + 1):
+                        if order:
+                            sums[order - 1 :] += points[: len(points) - order + 1] * np.uint64(FACTORS[order - 1])
+                        for back in (False, True):
+                            gathered.append(np.unique(common.mix64(sums + salt(1 - fold, lang, order, back))))
+                            n += len(gathered[-1])
+    if gathered:
+        yield batch_of()
+
+
+def measure_by_join(docs: DataFrame, found: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """As by broadcast, with the answers to what each group of documents asks."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(total // group_bytes + 1))
+    dealt = docs.select("doc_id", "text", "lang", group.alias("group"))
+    asks = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(asked, "group long, key long")
+    answers = asks.distinct().join(found.hint("shuffle_hash"), "key").select("group", "key", "log")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        model = Model(right["key"].to_numpy().view(np.uint64), right["log"].to_numpy()).open()
+        return pa.Table.from_batches([measured(part, model) for part in common.slices(iter(left.to_batches()))], pa.schema(MEASURED_ARROW))
+
+    return dealt.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(run, MEASURED)
+
+
+MEASURED_ARROW = [("doc_id", pa.int64()), ("lang", pa.string()), *((x.split()[0], pa.int64()) for x in COUNTS.split(", ")), ("log_perplexity", pa.float64())]
+
+
+def measure(docs: DataFrame, broadcast: int = BROADCAST_ENTRIES) -> DataFrame:
+    """doc_id, lang, the counts and the log perplexity (null without words) of every document."""
+    found = common.checkpoint(entries(model_table(common.checkpoint(counted(docs)))))
+    return measure_by_broadcast(docs, found) if found.count() <= broadcast else measure_by_join(docs, found)
+
+
+def failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
+def quality_rules(docs: DataFrame, reach: float = REACH, broadcast: int = BROADCAST_ENTRIES) -> DataFrame:
     """Every document with its counts, verdict and perplexity."""
-    scored = common.checkpoint(measure(docs, train(docs)))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed).withColumn("language", F.coalesce("lang", F.lit("")))
+    scored = common.checkpoint(measure(docs, broadcast)).withColumn("base_failed", failed()).withColumn("language", F.coalesce("lang", F.lit("")))
     bands = (
         scored.filter(~F.col("base_failed"))
         .groupBy("language")
@@ -256,11 +441,9 @@ def quality_rules(docs: DataFrame, reach: float = REACH) -> DataFrame:
             (F.col("q")[1] + reach * F.greatest(F.col("q")[2] - F.col("q")[1], F.lit(LEAST_SPREAD))).alias("upper"),
         )
     )
-    if bands.count() <= 1000:  # a row for each language
-        bands = F.broadcast(bands)
-    kept = ~F.col("base_failed") & F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
-    return scored.join(bands, "language", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), F.exp("log_perplexity").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper")
+    kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
+    return scored.join(common.broadcast_if_small(bands, 10_000), "language", "left").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.exp("log_perplexity").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper")
     )
 
 

@@ -565,21 +565,95 @@ def test_counting_rules(texts, result):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.kept and r.base_failed)
 
 
-def test_model_sums_to_one(spark):
-    docs = spark.createDataFrame([("abab abba baab bbbb aaab " * 3, "x"), ("abc cab", "x")], "text string, lang string")
-    model = quality_rules.train(docs)
-    model.spread()
-    # all words of up to a few characters, weighed by the model, and longer ones: the mass of words of at most 7 characters is below 1 and close to it
-    import itertools
-
-    words = ["".join(w) for n in range(1, 8) for w in itertools.product("abc", repeat=n)]
-    mass = np.exp(model.score(words, "x")).sum()
-    assert 0.6 < mass < 1.0
+def brute_grams(rows):
+    """Counts of the highest order by fold and language."""
+    found = {}
+    for text, lang in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        if words:
+            x = quality_rules.START * (quality_rules.ORDER - 1) + " ".join(words) + quality_rules.END
+            for k in range(len(x) - quality_rules.ORDER + 1):
+                key = (quality_rules.fold_of(text), lang or "", x[k : k + quality_rules.ORDER])
+                found[key] = found.get(key, 0) + 1
+    return found
+
+
+def test_ngrams_are_counted_exactly(spark, odd, monkeypatch):
+    rng = random.Random(5)
+    many = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(30_000))  # more characters than an alphabet has
+    rows = [(r[1], r[2]) for r in ODD] + [("a\tb  c\n", "en"), (many, "zh"), ("x" * 200_000, "de")]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert {(r.fold, r.lang, r.gram): r.n for r in quality_rules.counted(docs).collect()} == brute_grams(rows)
+
+
+def test_probabilities_of_every_context_sum_to_one(spark):
+    rows = [(f"{a} {b} abba {a}{b}", "x") for a in ("ab", "ba", "abc", "c") for b in ("cab", "a", "bb")] * 2
+    table = quality_rules.model_table(common.checkpoint(quality_rules.counted(spark.createDataFrame(rows, "text string, lang string")))).toPandas()
+    for _, model in table.groupby("fold"):
+        p = {r.gram: np.exp(r.log) for r in model[~model.back].itertuples()}
+        back = {r.gram: np.exp(r.log) for r in model[model.back].itertuples()}
+        symbols = [g for g in p if len(g) == 1]
+
+        def of(gram):
+            return p.get(gram) or (back.get(gram[:-1], 1.0) * of(gram[1:]) if len(gram) > 1 else 0.0)
+
+        assert abs(sum(map(of, symbols)) + back[""] - 1) < 1e-9
+        for context in back:
+            if context:
+                total = sum(of(context + s) for s in symbols)
+                unknown = back[""] * np.prod([back[context[k:]] for k in range(len(context))])
+                assert abs(total + unknown - 1) < 1e-9
+
+
+SLOTS = [[a + b for a in heads for b in tails] for heads, tails in ((("gre", "nar", "hid", "bro"), ("en", "row", "dal", "kish")), (("far", "doc", "sai", "tea"), ("mer", "tor", "lor", "cher")), (("see", "fol", "reme", "pai"), ("ths", "lows", "bers", "nts")), (("riv", "gard", "wind", "brid"), ("er", "un", "ow", "ge")))]
+
+
+def prose(rng, n):
+    """Sentences of a small grammar: the order of words says something."""
+    out = []
+    while len(out) < n:
+        adjective, who, does, where = (rng.choice(x) for x in SLOTS)
+        out += ["The", adjective, who, does, "the", rng.choice(SLOTS[0]), where + "."]
+        out += rng.choices(("Later", "Perhaps", "Nobody", "knows", "why", "this", "happens", "every", "single", "morning"), k=rng.randint(0, 6))
+    return out[:n]
+
+
+def test_bands_reject_junk_and_keep_clean_texts(spark):
+    rng = random.Random(2)
+    rows = [(k, " ".join(prose(rng, 80 + k % 50)), "en" if k % 4 else None) for k in range(400)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = [(1000 + k, " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(90)), "en") for k in range(4)]
+    for k in range(4):  # letters of each word in another order
+        junk.append((1010 + k, " ".join("".join(rng.sample(w, len(w))) for w in prose(rng, 90)), "en"))
+    dull = [(1020, " ".join(f"{w} aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa{'a' * (k % 53)}" for k, w in enumerate(prose(rng, 60))), "en")]
+    copies = [(1030, dull[0][1].replace("farmer", "doctor"), "en")]
+    words = prose(rng, 90)
+    rng.shuffle(words)
+    order = [(1040, " ".join(words), "en")]
+    docs = spark.createDataFrame(rows + junk + order, "doc_id long, text string, lang string").repartition(4)
+    found = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert all(found[k].kept for k, *_ in rows)
+    assert not any(found[k].kept or found[k].base_failed for k, *_ in junk)
+    assert min(found[k].perplexity for k, *_ in junk) > found[1].upper
+    assert found[1040].perplexity > 1.2 * max(found[k].perplexity for k in range(400) if k % 4)  # words in another order
+    joined = {r.doc_id: r for r in quality_rules.quality_rules(docs, broadcast=0).collect()}
+    assert all(joined[k].kept == r.kept and joined[k].perplexity == pytest.approx(r.perplexity, rel=1e-6) for k, r in found.items())
+
+
+def test_too_predictable_texts_are_rejected(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(prose(rng, 100)), "en") for k in range(200)]
+    stamp = "a" * 400
+    rows += [(500 + k, " ".join(f"{w} {stamp[: 200 + 3 * k]}" for w in prose(rng, 30 + k)), "en") for k in range(6)]
+    found = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(found[k].kept for k in range(200))
+    assert all(not found[k].kept and not found[k].base_failed and found[k].perplexity < found[k].lower for k in range(500, 506))
 
 
 def test_rules_of_odd_rows(odd, empty):
     found = {r.doc_id: r for r in quality_rules.quality_rules(odd).collect()}
     assert found[1].n_words == 0 and not found[1].kept and found[1].perplexity is None
+    assert {k: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for k, r in found.items()} == {r[0]: rules(r[1] or "") for r in ODD}
     assert found[8].base_failed and found[8].n_dup_lines == 29
     assert quality_rules.quality_rules(empty).count() == 0
 
