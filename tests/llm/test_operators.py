@@ -158,7 +158,7 @@ def test_packing_of_odd_rows(odd, empty):
 
 # HTML
 
-WEIGHTS = html_text.weights({("word", True): 1000, ("word", False): 50, ("p", True): 50, ("/p", True): 50, ("li", False): 40, ("a", False): 60})
+WEIGHTS = html_text.weights({("p 1", True): 1000, ("p 1", False): 50, ("link", False): 300, ("div 0", False): 200, ("div 1", False): 200, ("p", True): 50, ("/p", True): 50, ("li", False): 40, ("a", False): 60, ("tag", False): 200, ("tag", True): 100})
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit"
 
 
@@ -193,6 +193,46 @@ def test_only_hidden_elements_are_left_out(page, want):
     assert html_text.main_text(page, WEIGHTS) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # elements that close themselves or never end
+        (f"<p>{WORDS}</p><svg class='i'/><p>{WORDS} b</p>", f"{WORDS}\n{WORDS} b"),
+        (f"<p>{WORDS}</p><svg class='i'><p>{WORDS} b</p><svg><p>c {WORDS}</p>", f"{WORDS}\n{WORDS} b\nc {WORDS}"),
+        (f"<p>{WORDS}</p><svg><text>no</text></svg><math/><p>{WORDS} b</p><script>var x = 1", f"{WORDS}\n{WORDS} b"),
+        # loose names: part of the text inside it, cut at its edges, left out where they hold links
+        (f"<div class='header'>The site</div><div><p>{WORDS}</p><div class='alert'>{WORDS} c</div><div class='related'><a href=x>one two three</a></div><p>{WORDS}</p><p>{WORDS}</p></div><div class='legal'>all rights reserved by them</div>", f"{WORDS}\n{WORDS} c\n{WORDS}\n{WORDS}"),
+        (f"<article><p>{WORDS}</p><div class='legal'>a b c</div><div class='ad'>buy</div></article>", f"{WORDS}\na b c"),
+        # markup that names little of what looks like content is not believed
+        (f"<main><p>Menu here</p></main><div class='article-body'>{''.join(f'<p>{k} {WORDS}</p>' for k in range(9))}</div>", "\n".join(f"{k} {WORDS}" for k in range(9))),
+        # no names at all
+        (f"<div><a href=x>Home</a> <a href=y>News</a></div><div>Buy this</div><h1>{WORDS}</h1><p>{WORDS} <a href=z>link</a></p><div>Copyright by us</div>", f"{WORDS}\n{WORDS} link"),
+    ],
+)
+def test_regions(page, want):
+    assert html_text.main_text(page, WEIGHTS) == want
+
+
+def test_many_elements_that_never_end_are_read_in_linear_time():
+    assert html_text.main_text("<svg><p>a b c</p>" * 30_000, WEIGHTS).count("\n") == 29_999
+
+
+def without_names(page):
+    """No article or main, no classes, and plain containers for menus and footers."""
+    return re.sub(r"<(/?)(?:nav|footer|aside)", r"<\1div", re.sub(r"</?(?:article|main)>", "", re.sub(r' class="[^"]*"', "", page)))
+
+
+def test_the_scan_finds_the_content_of_pages_that_name_none(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weight = html_text.learn(pages.filter("page_id % 2 = 0"))
+    held = [r.html for r in pages.filter("page_id % 2 = 1 and html is not null").collect()]
+    named = [html_text.main_text(x, weight) for x in held]
+    bare = [html_text.main_text(without_names(x), weight) for x in held]
+    assert sum(a == b for a, b in zip(named, bare)) / len(held) >= 0.95
+    unscanned = [html_text.read(html_text.tokens(without_names(x))) for x in held]
+    assert sum(a != b for a, b in zip(unscanned, bare)) / len(held) > 0.9  # the scan is what decides
+
+
 def test_best_region_is_the_best():
     rng = random.Random(3)
     for _ in range(200):
@@ -217,6 +257,14 @@ def test_odd_pages(spark):
     assert html_text.extract(pages.limit(0), html_text.learn(pages.limit(0))).count() == 0
 
 
+def test_very_long_and_broken_pages(spark):
+    long = "<article>" + "".join(f"<p>{k} {WORDS}</p>" for k in range(40_000)) + "</article>"
+    pages = spark.createDataFrame([(1, "u", long, 0), (2, "u", "<div" * 1000, 0), (3, "u", "<p>" + WORDS + "<style>a", 0), (3, None, "<p title='x>" + WORDS, 0)], "page_id long, url string, html string, n_chars long")
+    found = html_text.extract(pages, html_text.learn(pages)).collect()
+    assert [r.text.count("\n") for r in found if r.page_id == 1] == [39_999]
+    assert sorted(r.text for r in found if r.page_id == 3)[1] == WORDS and len(found) == 4
+
+
 # quality classifier
 
 
@@ -644,7 +692,7 @@ def test_too_predictable_texts_are_rejected(spark):
     rng = random.Random(4)
     rows = [(k, " ".join(prose(rng, 100)), "en") for k in range(200)]
     stamp = "a" * 400
-    rows += [(500 + k, " ".join(f"{w} {stamp[: 200 + 3 * k]}" for w in prose(rng, 30 + k)), "en") for k in range(6)]
+    rows += [(500 + k, " ".join(f"{w} {stamp[: rng.randrange(150, 400)]}" for w in prose(rng, 30 + k)), "en") for k in range(6)]
     found = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(found[k].kept for k in range(200))
     assert all(not found[k].kept and not found[k].base_failed and found[k].perplexity < found[k].lower for k in range(500, 506))
