@@ -201,7 +201,7 @@ def test_only_hidden_elements_are_left_out(page, want):
         (f"<p>{WORDS}</p><svg class='i'><p>{WORDS} b</p><svg><p>c {WORDS}</p>", f"{WORDS}\n{WORDS} b\nc {WORDS}"),
         (f"<p>{WORDS}</p><svg><text>no</text></svg><math/><p>{WORDS} b</p><script>var x = 1", f"{WORDS}\n{WORDS} b"),
         # loose names: part of the text inside it, cut at its edges, left out where they hold links
-        (f"<div class='header'>The site</div><div><p>{WORDS}</p><div class='alert'>{WORDS} c</div><div class='related'><a href=x>one two three</a></div><p>{WORDS}</p><p>{WORDS}</p></div><div class='legal'>all rights reserved by them</div>", f"{WORDS}\n{WORDS} c\n{WORDS}\n{WORDS}"),
+        (f"<div class='header'>The site</div><div><p>{WORDS}</p><div class='alert'><p>{WORDS} c</p></div><div class='related'><a href=x>one two three</a></div><p>{WORDS}</p><p>{WORDS}</p></div><div class='legal'>all rights reserved by them</div>", f"{WORDS}\n{WORDS} c\n{WORDS}\n{WORDS}"),
         (f"<article><p>{WORDS}</p><div class='legal'>a b c</div><div class='ad'>buy</div></article>", f"{WORDS}\na b c"),
         # markup that names little of what looks like content is not believed
         (f"<main><p>Menu here</p></main><div class='article-body'>{''.join(f'<p>{k} {WORDS}</p>' for k in range(9))}</div>", "\n".join(f"{k} {WORDS}" for k in range(9))),
