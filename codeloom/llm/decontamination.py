@@ -1,18 +1,25 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, names and units become typed placeholders, so that a question whose
-parameters were changed has the template it had. A name is a capitalised word
-or several behind a lower-case letter or a comma, semicolon or colon; a unit is a
-known one behind a digit. What remains is put in lower case and cut into words.
-Hashes of windows of ten words join the windows of the benchmark with those of
-all documents that have the window's longest word in its place. For each hit, the
-values of the placeholders on both sides must stand in a consistent one-to-one
-relation; a window of fewer than six other words must have the same values.
-
-Items shorter than a window are windows of their own if they have five words.
-Null and empty texts have no windows. Rows with one doc_id are one document, rows
-without one are not reported; other columns are ignored; an empty table on either
-side gives an empty result.
+A text becomes a row of tokens: words, and typed slots for numbers and for units
+behind a digit. A template has two forms. In the first the slots are numbers and
+units, and all words count in lower case, so that a copy matches whatever its case.
+In the second every capitalised word is a slot for a name too, wherever it stands,
+so that a question whose names were changed keeps its template.
+
+Windows of ten tokens of the benchmark's items, and all of an item at once where it
+is shorter or has windows with few words besides slots, meet those of all documents
+by a hash of form, template and slots. Two lists of values stand in a consistent
+one-to-one relation if and only if they repeat themselves at the same places; so
+where a window has enough words besides its slots (six, or four of a whole item),
+the hash takes in which slots have equal values, and else the values themselves.
+Every place of an item counts. A document's windows are hashed where a token is the
+anchor of some window of the benchmark, its longest word.
+
+Items of fewer than five tokens have no windows. Null and empty texts have none.
+Rows with one doc_id are one document, rows without one are not reported; rows
+without an item_id are one item; other columns are ignored; very long texts are one
+row; an empty table on either side gives an empty result. Of equally long words the
+first is the anchor; of equal windows of an item the first place counts.
 """
 
 from __future__ import annotations
@@ -22,94 +29,99 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, LEAST_ITEM, LEAST_LITERALS = 10, 5, 6
+WINDOW, LEAST_ITEM = 10, 5
+#: Words besides slots from which on values may differ: in a window, in a whole item. Items of more tokens than that are no windows.
+LEAST_LITERALS, LEAST_IN_ITEM, LONGEST_ITEM = 6, 4, 60
 #: Units, longest first where one begins another.
 UNITS = "kilometers kilometres kilometer kilometre km centimeters centimetres cm millimeters mm meters metres meter metre m miles mile mph feet foot ft inches inch kilograms kilogram kg milligrams mg grams gram g pounds pound lbs lb ounces ounce oz liters litres liter litre ml l gallons gallon hours hour hrs h minutes minute min seconds second sec s days day weeks week months month years year dollars dollar cents euros euro usd eur percent degrees kwh kw w volts v amps hz gb mb kb".split()
-NUMBER, NAME, UNIT, STOP = "\ue001", "\ue002", "\ue003", "\ue004"
+NUMBER, NAME, UNIT, STOP = "", "", "", ""
 MARKS = NUMBER + NAME + UNIT + STOP
 
 #: (pattern, replacement with $ for groups); a fourth mark ends a value.
 STEPS = [
-    (r"([\p{Ll},;:] )(\p{Lu}[\p{L}\p{M}]+( \p{Lu}[\p{L}\p{M}]+)*)", f"$1{NAME}$2{STOP}"),
     (rf"(\d) ?((?i:{'|'.join(UNITS)})|%)([^\p{{L}}\p{{M}}\d]|$)", f"$1 {UNIT}$2{STOP}$3"),
     (r"(\d+([.,:/]\d+)*)", f" {NUMBER}$1{STOP} "),
 ]
-VALUE = f"([{NUMBER}-{UNIT}])[^{STOP}]*{STOP}"
-BETWEEN = rf"[^\p{{L}}\p{{M}}{NUMBER}-{UNIT}]+"
+TOKEN = rf"[{NUMBER}{UNIT}][^{STOP}]*{STOP}|[\p{{L}}\p{{M}}]+"
+CAPITALISED = r"^\p{Lu}[\p{L}\p{M}]"
 
 
-def marked(text: Column) -> Column:
+def tokens(text: Column) -> Column:
+    """Words as they are written, and values behind the mark of their type."""
     out = F.translate(text, MARKS, "    ")
     for pattern, to in STEPS:
         out = F.regexp_replace(out, pattern, to)
-    return out
+    return F.regexp_extract_all(out, F.lit(TOKEN), F.lit(0))
 
 
-def words(text: Column) -> Column:
-    """The words of a text's template."""
-    return F.array_remove(F.split(F.lower(F.regexp_replace(marked(text), VALUE, " $1 ")), BETWEEN), "")
+def is_slot(token: Column, names: Column) -> Column:
+    """Whether a token is a slot in a form of the template: with names or without."""
+    return F.substring(token, 1, 1).isin(NUMBER, UNIT) | names & token.rlike(CAPITALISED)
 
 
-def values(text: Column) -> Column:
-    """The values of its placeholders, in order."""
-    return F.regexp_extract_all(F.lower(marked(text)), F.lit(VALUE), F.lit(0))
+def template(window: Column, names: Column) -> Column:
+    mark = F.substring  # of a number or unit its first character
+    return F.transform(window, lambda t: F.when(mark(t, 1, 1).isin(NUMBER, UNIT), mark(t, 1, 1)).when(names & t.rlike(CAPITALISED), F.lit(NAME)).otherwise(F.lower(t)))
 
 
-def placeholders(words: Column) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(NUMBER, NAME, UNIT)))
+def values(window: Column, names: Column) -> Column:
+    return F.transform(F.filter(window, lambda t: is_slot(t, names)), F.lower)
+
+
+def with_hash(df: DataFrame) -> DataFrame:
+    """Adds to rows (window, names, least) the hashes of what must agree, and of the values."""
+    df = df.withColumn("values", values(F.col("window"), F.col("names")))
+    pattern = F.transform("values", lambda v: F.array_position("values", v))
+    free = F.size("window") - F.size("values") >= F.col("least")
+    agreed = F.when(free, F.xxhash64(pattern)).otherwise(F.xxhash64("values"))
+    return df.withColumn("hash", F.xxhash64("names", template(F.col("window"), F.col("names")), free, agreed)).withColumn("value_hash", F.xxhash64("values"))
 
 
 def windows(benchmark: DataFrame) -> DataFrame:
-    """(hash, width, item_id, item_at, anchor, shift) of the benchmark's windows. The anchor of a window is its longest word, the first of equals; shift is the anchor's place in it."""
-    cut = benchmark.select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") >= LEAST_ITEM).withColumn("width", F.least(F.size("words"), F.lit(WINDOW)))
-    places = cut.select("item_id", "words", "width", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("width"))).alias("item_at"))
-    places = places.withColumn("window", F.slice("words", F.col("item_at") + 1, F.col("width")))
-    lengths = F.transform("window", lambda w: F.length(w))
-    places = places.withColumn("shift", (F.array_position(lengths, F.array_max(lengths)) - 1).cast("int"))
-    return places.groupBy(F.xxhash64("window").alias("hash"), "width", "item_id").agg(F.min("item_at").alias("item_at"), F.min(F.get("window", F.col("shift"))).alias("anchor"), F.min("shift").alias("shift"))
+    """(hash, width, least, names, item_id, item_at, value_hashes, anchor, shift) of the benchmark's windows."""
+    cut = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens")).filter(F.col("n") >= LEAST_ITEM)
+    forms = cut.withColumn("names", F.explode(F.array(F.lit(False), F.lit(True))))
+    starts = F.sequence(F.lit(0), F.greatest(F.col("n") - WINDOW, F.lit(0)))
+    # windows are cut before they are dealt out, so that no row holds a long item beside each
+    every_window = F.transform(starts, lambda k: F.slice("tokens", k + 1, F.least(F.col("n"), F.lit(WINDOW))))
+    short = F.when(F.col("n") <= LONGEST_ITEM, F.col("tokens"))
+    places = forms.select("item_id", "names", "n", short.alias("item"), F.posexplode(every_window).alias("item_at", "window"))
+    places = places.withColumn("least", F.when(F.col("n") > WINDOW, LEAST_LITERALS).otherwise(LEAST_IN_ITEM))
+    dense = F.col("n").between(WINDOW + 1, LONGEST_ITEM) & (F.size("window") - F.size(values(F.col("window"), F.col("names"))) < LEAST_LITERALS)
+    whole = places.filter(dense).select("item_id", "names", "item").distinct().select("item_id", "names", F.lit(0).alias("item_at"), F.col("item").alias("window"), F.lit(LEAST_IN_ITEM).alias("least"))
+    every = places.select("item_id", "names", "item_at", "window", "least").union(whole)
+    # a window without a capitalised word has one form
+    every = every.filter(~F.col("names") | F.exists("window", lambda t: t.rlike(CAPITALISED)))
+    lengths = F.transform(template(F.col("window"), F.col("names")), lambda w: F.when(w == NAME, 0).otherwise(F.length(w)))
+    every = with_hash(every).withColumn("lengths", lengths).filter(F.array_max("lengths") > 0)
+    every = every.withColumn("shift", (F.array_position("lengths", F.array_max("lengths")) - 1).cast("int")).withColumn("width", F.size("window"))
+    every = every.withColumn("anchor", anchor(F.get("window", F.col("shift"))))
+    return every.groupBy("hash", "width", "least", "names", "item_id").agg(F.min("item_at").alias("item_at"), F.collect_set("value_hash").alias("value_hashes"), F.min("anchor").alias("anchor"), F.min("shift").alias("shift"))
+
+
+def anchor(token: Column) -> Column:
+    return F.lower(F.when(F.substring(token, 1, 1).isin(NUMBER, UNIT), F.substring(token, 1, 1)).otherwise(token))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, at, item_id, item_at, width): windows of documents with the template of one of the benchmark's.
-
-    A document's window is hashed where a word is the anchor of some benchmark
-    window, which every window that matches has; the hash then meets the windows.
-    """
+    """(doc_id, at, item_id, item_at, same): windows of documents with the template of one of the benchmark's and consistent values, and whether the values are the same."""
     asked = common.checkpoint(windows(benchmark.select("item_id", "text")))
-    anchors = asked.select("anchor", "shift", "width").distinct()
-    # outer: the filter that an inner one implies would be pushed below and compute the words twice
-    cut = docs.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", "words", F.posexplode_outer("words").alias("place", "anchor"))
+    anchors = asked.select("anchor", "shift", "width", "least", "names").distinct()
+    # outer: the filter that an inner one implies would be pushed below and compute the tokens twice
+    cut = docs.select("doc_id", tokens(F.col("text")).alias("tokens")).select("doc_id", "tokens", F.posexplode_outer("tokens").alias("place", "token")).withColumn("anchor", F.coalesce(anchor(F.col("token")), F.lit("")))
     met = cut.join(common.broadcast_if_small(anchors), "anchor").withColumn("at", F.col("place") - F.col("shift"))
-    met = met.filter((F.col("at") >= 0) & (F.col("at") + F.col("width") <= F.size("words")))
-    met = met.select("doc_id", "at", "width", F.xxhash64(F.slice("words", F.col("at") + 1, F.col("width"))).alias("hash"))
-    return met.join(common.broadcast_if_small(asked.select("hash", "width", "item_id", "item_at")), ["hash", "width"]).select("doc_id", "at", "item_id", "item_at", "width")
-
-
-def consistent(found: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Of the hits, those whose placeholders' values agree. Adds whether they are the same."""
-    ids = common.broadcast_if_small(found.select("doc_id").distinct())
-    doc = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("words"), values(F.col("text")).alias("values"))
-    item = benchmark.select("item_id", words(F.col("text")).alias("item_words"), values(F.col("text")).alias("item_values"))
-    both = found.join(doc, "doc_id").join(common.broadcast_if_small(item, 10_000), "item_id")
-
-    def of(name: str, at: str) -> Column:
-        before = placeholders(F.slice(f"{name}words", F.lit(1), F.col(at)))
-        return F.slice(f"{name}values", before + 1, placeholders(F.slice(f"{name}words", F.col(at) + 1, F.col("width"))))
-
-    # rows of one doc_id with different texts: the window must be of this one
-    both = both.filter(F.slice("words", F.col("at") + 1, F.col("width")) == F.slice("item_words", F.col("item_at") + 1, F.col("width")))
-    both = both.select("doc_id", "at", "item_id", "item_at", "width", of("", "at").alias("x"), of("item_", "item_at").alias("y"))
-    pairs = F.size(F.array_distinct(F.arrays_zip("x", "y")))
-    one_to_one = (F.size(F.array_distinct("x")) == pairs) & (F.size(F.array_distinct("y")) == pairs)
-    same = F.col("x") == F.col("y")
-    return both.filter(F.when(F.col("width") - F.size("y") >= F.least(F.lit(LEAST_LITERALS), F.col("width")), one_to_one).otherwise(same)).select("doc_id", "at", "item_id", "item_at", same.alias("same"))
+    met = met.filter((F.col("at") >= 0) & (F.col("at") + F.col("width") <= F.size("tokens")))
+    met = with_hash(met.select("doc_id", "at", "width", "least", "names", F.slice("tokens", F.col("at") + 1, F.col("width")).alias("window")))
+    met = met.select("doc_id", "at", "width", "least", "names", "hash", "value_hash")
+    both = met.join(common.broadcast_if_small(asked.select("hash", "width", "least", "names", "item_id", "item_at", "value_hashes"), 100_000), ["hash", "width", "least", "names"])
+    return both.select("doc_id", "at", "item_id", "item_at", F.array_contains("value_hashes", F.col("value_hash")).alias("same"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item of which it holds a window: how many distinct windows, the first place, and whether values were changed."""
-    found = common.checkpoint(hits(docs, benchmark))
     return (
-        consistent(found, docs, benchmark)
+        hits(docs, benchmark)
+        .filter("doc_id is not null")
         .groupBy("doc_id", "item_id")
         .agg(F.countDistinct("item_at").alias("n_windows"), F.min("at").cast("long").alias("first_word"), (~F.bool_and("same")).alias("reparameterised"))
     )
@@ -120,32 +132,35 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """All windows of all documents; values are compared pair by pair, not by their pattern."""
+
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
     text = f"translate(text, '{MARKS}', '    ')"
     for pattern, to in STEPS:
         text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(to.replace('$', chr(92)))}, 'g')"
-    template = f"list_filter(regexp_split_to_array(lower(regexp_replace({text}, '{VALUE}', ' \\1 ', 'g')), {quoted(BETWEEN)}), lambda w: w <> '')"
-    slots = f"regexp_extract_all(lower({text}), '{VALUE}')"
-    marks = f"['{NUMBER}', '{NAME}', '{UNIT}']"
+    slot = f"x[1] IN ('{NUMBER}', '{UNIT}') OR (names AND regexp_matches(x, {quoted(CAPITALISED)}))"
+    shape = f"list_transform(w, lambda x: CASE WHEN x[1] IN ('{NUMBER}', '{UNIT}') THEN x[1] WHEN names AND regexp_matches(x, {quoted(CAPITALISED)}) THEN '{NAME}' ELSE lower(x) END)"
 
     def side(table: str, key: str) -> str:
-        return f"""SELECT {key}, words, slots, len(words) AS n FROM (SELECT {key}, {template} AS words, {slots} AS slots FROM {table} WHERE text IS NOT NULL)"""
+        return f"SELECT {key}, toks, len(toks) AS n, names FROM (SELECT {key}, regexp_extract_all({text}, {quoted(TOKEN)}) AS toks FROM {table} WHERE text IS NOT NULL) CROSS JOIN (VALUES (false), (true)) f(names)"
 
-    def cut(key: str, name: str, width: str) -> str:
-        return f"""SELECT {key}, pos, {width} AS width, words[pos + 1 : pos + {width}] AS w, len(list_filter(words[1 : pos], lambda x: list_contains({marks}, x))) AS before, slots FROM (SELECT *, unnest(range(0, n - {width} + 1)) AS pos FROM {name} WHERE n >= {width})"""
+    def told(rows: str) -> str:
+        return f"SELECT *, {shape} AS shape, list_transform(list_filter(w, lambda x: ({slot})), lambda x: lower(x)) AS vals FROM ({rows})"
 
     return f"""
 WITH d AS ({side('documents', 'doc_id')}), i AS ({side('benchmark', 'item_id')}),
-iw AS ({cut('item_id', 'i', f'least(n, {WINDOW})')}),
-iw1 AS (SELECT item_id, w, min(pos) AS item_at, any_value(width) AS width, arg_min(slots[before + 1 : before + len(list_filter(w, lambda x: list_contains({marks}, x)))], pos) AS y FROM iw WHERE width >= {LEAST_ITEM} GROUP BY item_id, w),
-dw AS ({' UNION ALL '.join(cut('doc_id', 'd', str(k)) for k in range(LEAST_ITEM, WINDOW + 1))}),
-hit AS (SELECT doc_id, item_id, pos, item_at, width, slots[before + 1 : before + len(list_filter(w, lambda x: list_contains({marks}, x)))] AS x, y FROM dw JOIN iw1 USING (w, width)),
-ok AS (SELECT *, x = y AS same, len(list_distinct(list_transform(range(1, len(y) + 1), lambda k: x[k] || '|' || y[k]))) AS pairs FROM hit)
-SELECT doc_id, item_id, count(DISTINCT item_at) AS n_windows, min(pos)::BIGINT AS first_word, NOT bool_and(same) AS reparameterised
-FROM ok WHERE CASE WHEN width - len(y) >= least({LEAST_LITERALS}, width) THEN len(list_distinct(x)) = pairs AND len(list_distinct(y)) = pairs ELSE same END
-GROUP BY doc_id, item_id"""
+iw AS ({told(f"SELECT *, toks[pos + 1 : pos + width] AS w FROM (SELECT item_id, toks, names, n, least(n, {WINDOW}) AS width, CASE WHEN n > {WINDOW} THEN {LEAST_LITERALS} ELSE {LEAST_IN_ITEM} END AS least_words, unnest(range(0, greatest(n - {WINDOW}, 0) + 1)) AS pos FROM i WHERE n >= {LEAST_ITEM})")}),
+whole AS ({told(f"SELECT DISTINCT item_id, toks, names, n, n AS width, {LEAST_IN_ITEM} AS least_words, 0::BIGINT AS pos, toks AS w FROM iw WHERE n BETWEEN {WINDOW + 1} AND {LONGEST_ITEM} AND width - len(vals) < {LEAST_LITERALS}")}),
+every AS (SELECT item_id, names, width, least_words, pos, shape, vals, w FROM iw UNION ALL SELECT item_id, names, width, least_words, pos, shape, vals, w FROM whole),
+item AS (SELECT * FROM every WHERE (NOT names OR len(list_filter(w, lambda x: regexp_matches(x, {quoted(CAPITALISED)}))) > 0) AND len(list_filter(shape, lambda x: x <> '{NAME}')) > 0),
+dw AS ({told("SELECT doc_id, names, width, pos, toks[pos + 1 : pos + width] AS w FROM (SELECT doc_id, names, toks, n, width, unnest(range(0, n - width + 1)) AS pos FROM d JOIN (SELECT DISTINCT width, names FROM item) USING (names) WHERE n >= width)")}),
+hit AS (SELECT dw.doc_id, item.item_id, dw.pos AS place, item.pos AS item_at, item.shape, item.names, item.least_words, dw.vals AS x, item.vals AS y, width - len(item.vals) >= least_words AS free,
+ len(list_distinct(list_transform(range(1, len(item.vals) + 1), lambda k: dw.vals[k] || '|' || item.vals[k]))) AS pairs FROM dw JOIN item USING (shape, width, names)),
+ok AS (SELECT *, CASE WHEN free THEN list_transform(y, lambda v: list_position(y, v)::VARCHAR) ELSE y END AS agreed FROM hit WHERE CASE WHEN free THEN len(list_distinct(x)) = pairs AND len(list_distinct(y)) = pairs ELSE x = y END),
+placed AS (SELECT doc_id, item_id, place, names, least_words, shape, agreed, min(item_at) AS item_at, bool_or(x = y) AS same FROM ok GROUP BY ALL)
+SELECT doc_id, item_id, count(DISTINCT item_at) AS n_windows, min(place)::BIGINT AS first_word, NOT bool_and(same) AS reparameterised FROM placed WHERE doc_id IS NOT NULL GROUP BY doc_id, item_id"""
 
 
 OP8_SQL = _oracle()

@@ -523,6 +523,62 @@ def test_reparameterised_questions(spark):
     assert (3, 1) not in found or found[3, 1].n_windows < found[2, 1].n_windows
 
 
+def test_names_and_numbers_anywhere(spark):
+    benchmark = spark.createDataFrame(
+        [
+            (10, "Tom has 12 apples and gives 5 to Eve"),
+            (11, "solve 3 x + 5 y = 12 and 2 x - 4 y = 6"),
+            (12, "the red box holds 3 of them. the red box holds 7 of them"),
+            (13, "Every morning the old farmer walks slowly down to the quiet river bank"),
+        ],
+        "item_id long, text string",
+    )
+    rows = [
+        (1, "Exercise: Tom has 12 apples and gives 5 to Eve.", {10: False}),
+        (2, "Ann has 7 apples\nand gives 2 to Bob", {10: True}),
+        (3, "TOM HAS 12 APPLES AND GIVES 5 TO EVE", {10: False}),
+        (4, "Ann has 7 apples and gives 7 to Bob", {}),  # two values where the item has different ones
+        (5, "now solve 7 x + 2 y = 9 and 5 x - 3 y = 8!", {11: True}),
+        (6, "solve 7 x + 7 y = 9 and 5 x - 3 y = 8", {}),
+        (7, "well: red box holds 7 of them the red box holds 9 of them and more", {12: True}),
+        (8, "EVERY MORNING THE OLD FARMER WALKS SLOWLY DOWN TO THE QUIET RIVER BANK", {13: False}),
+        (9, "the red box holds 7 of us", {}),
+        (20, "one two three 12 apples 5 and nothing else", {}),
+    ]
+    found = {}
+    for r in decontamination.decontaminate(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), benchmark).collect():
+        found.setdefault(r.doc_id, {})[r.item_id] = r.reparameterised
+    assert found == {k: want for k, _, want in rows if want}
+
+
+FORMS = [
+    "{a} buys {n} pencils for {m} cents each and sells them to {b} for {k} cents, what is the profit of {a}?",
+    "If {a} walks {n} km in {m} hours, how far does the same person walk in {k} hours?",
+    "{a} is {n} years old and {b} is {m} years older, how old are both of them together?",
+    "A tank holds {n} litres and loses {m} litres every {k} minutes, when is it empty?",
+    "The sum of {n} and {m} is divided by {k}, what remains?",
+    "Let f(x) = {n} x + {m}, find f({k})",
+]
+
+
+def test_recall_of_reparameterised_questions(spark):
+    """Of questions with other names and numbers at least nine in ten are found, and no other text."""
+    rng = random.Random(8)
+    names = "Anna Peter Maria Tom Eve Julia Omar Li Nadia Igor Ben Clara".split()
+
+    def filled(form):
+        a, b = rng.sample(names, 2)
+        n, m, k = rng.sample(range(2, 999), 3)
+        return form.format(a=a, b=b, n=n, m=m, k=k)
+
+    items = [(k, filled(form)) for k, form in enumerate(FORMS)]
+    plain = lambda n: " ".join(rng.choices("water stone light some many other paper under 17 Anna 250 km seldom".split(), k=n))
+    rows = [(k, f"{plain(30)}. {filled(FORMS[k % len(FORMS)])} {plain(20)}") for k in range(120)] + [(1000 + k, plain(80)) for k in range(60)]
+    found = {(r.doc_id, r.item_id) for r in decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len({(k, k % len(FORMS)) for k in range(120)} & found) >= 0.9 * 120
+    assert not {d for d, _ in found if d >= 1000}
+
+
 def test_decontamination_finds_every_verbatim_item(spark, small, texts, result):
     found = {(r.doc_id, r.item_id) for r in result("op8_decontaminate")}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
@@ -532,7 +588,10 @@ def test_decontamination_finds_every_verbatim_item(spark, small, texts, result):
 def test_decontamination_of_odd_rows(spark, odd, empty):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.decontaminate(odd, nothing).count() == 0
-    assert decontamination.decontaminate(empty, spark.createDataFrame([(1, LONG)], "item_id long, text string")).count() == 0
+    items = spark.createDataFrame([(1, LONG, 0), (2, "one two three", 0), (3, "same words here again and again same words", 0), (3, "same words here again and again same words", 0), (4, None, 0), (5, "", 0)], "item_id long, text string, same int")
+    assert decontamination.decontaminate(empty, items).count() == 0
+    found = {(r.doc_id, r.item_id): (r.first_word, r.reparameterised) for r in decontamination.decontaminate(odd, items).collect()}
+    assert found == {(6, 1): (0, False), (7, 1): (0, False), (8, 3): (0, False), (9, 3): (0, False)}
 
 
 # toxicity
@@ -718,4 +777,5 @@ def test_rows_without_an_id(spark, odd):
     assert toxicity.score(docs, toxicity.fit(toxicity.collect_sample(docs, labels))).count() == n
     assert quality_rules.quality_rules(docs).count() == n
     assert sorted((r.component_id or 0) for r in near_duplicates.near_duplicates(docs).filter("doc_id is null").collect()) == [0, 8]
-    decontamination.decontaminate(docs, spark.createDataFrame([(None, "same words here again and again"), (1, None)], "item_id long, text string")).count()
+    found = decontamination.decontaminate(docs, spark.createDataFrame([(None, "same words here again and again"), (1, None)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.reparameterised) for r in found) == [(8, None, False), (9, None, False)]
