@@ -19,8 +19,9 @@ passages alone are not probed. The estimate bears on speed alone.
 Rows that share a key make a bucket. A bucket is never expanded into all pairs:
 its members are first compared with one of them, exactly; linked documents merge
 into components. What remains are pairs of a bucket between different components.
-They are looked at in blocks of bounded size by sketches of 1024 parity bits: as
-many bits as two sketches differ in, the sets differ in at least. Only pairs that
+They are looked at in blocks of bounded size by sketches of parity bits, about as
+many as a set has shingles: as many bits as two sketches differ in, the sets differ
+in at least. Only pairs that
 pass this bound, which loses no link, come out and are compared exactly. Exact
 copies merge beforehand by the hash of their set.
 
@@ -40,7 +41,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -55,7 +56,8 @@ SLACK = 1.12
 #: Shingles that so many documents of a slice of a few megabytes have are counted as frequent, the most frequent of them kept.
 FREQUENT, MOST_FREQUENT = 3, 200_000
 KEY_BITS = 48
-SKETCH_BITS = 1024
+#: Bits of the sketch of a small set, and the most that a set has.
+SKETCH_BITS, MOST_SKETCH_BITS = 1024, 1 << 16
 #: Rows of a bucket that are compared with each other or with as many others in one step.
 CHUNK = 2048
 #: Roles of a bucket's rows, in the order of preference as its centre: probing whole, probing less one, indexed whole, indexed less one.
@@ -271,8 +273,21 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """For each of SKETCH_BITS classes of shingles, whether the set has an odd number of them."""
-    return np.packbits(np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1 == 1).tobytes()
+    """For each of a number of classes of shingles, whether the set has an odd number of them. The number is a power of two near the size of the set: random sets then differ in more bits than sets that link may."""
+    bits = min(max(SKETCH_BITS, 1 << int(len(s)).bit_length()), MOST_SKETCH_BITS)
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, all of the least length: a class of a shorter sketch is two of one twice as long."""
+    least = min(map(len, sketches))
+    out = np.empty((len(sketches), least // 8), np.uint64)
+    for k, x in enumerate(sketches):
+        row = np.frombuffer(x, np.uint64)
+        while len(row) > least // 8:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out[k] = row
+    return out
 
 
 def near_by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,22 +297,24 @@ def near_by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     parts: list[dict] = []
 
     def pairs() -> Iterator[pa.RecordBatch]:
-        rows = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        rows = {c: np.concatenate([p[c] for p in parts]) for c in parts[0] if c != "sketch"}
         if len(rows["a"]) < 2 or (rows["root"] == rows["root"][0]).all():
             return
         whole, probe = np.isin(rows["role"], (PROBE, INDEX)), rows["role"] <= PROBE_LESS
         within = block[1] == block[2]
         left = np.arange(len(rows["a"])) if within else np.flatnonzero(rows["chunk"] == block[1])
         right = left if within else np.flatnonzero(rows["chunk"] == block[2])
-        for k in range(0, len(left), 16):
-            i, j = left[k : k + 16, None], right[None, :]
+        sketches = folded([x for p in parts for x in p["sketch"]])
+        step = max(1, 16 * SKETCH_BITS // (sketches.shape[1] * 64))
+        for k in range(0, len(left), step):
+            i, j = left[k : k + step, None], right[None, :]
             small, large = np.minimum(rows["size"][i], rows["size"][j]), np.maximum(rows["size"][i], rows["size"][j])
             ok = (rows["root"][i] != rows["root"][j]) & (whole[i] | whole[j]) & (probe[i] | probe[j]) & (5 * small >= 4 * large)
             if within:
                 ok &= i < j
             x, y = np.nonzero(ok)
             x, y = i[x, 0], j[0, y]
-            apart = np.bitwise_count(rows["sketch"][x] ^ rows["sketch"][y]).sum(1, dtype=np.int64)
+            apart = np.bitwise_count(sketches[x] ^ sketches[y]).sum(1, dtype=np.int64)
             near = 9 * apart <= rows["size"][x] + rows["size"][y]
             if near.any():
                 x, y = rows["a"][x[near]], rows["a"][y[near]]
@@ -307,7 +324,7 @@ def near_by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if not batch.num_rows:
             continue
         columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-        columns["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+        columns["sketch"] = batch.column("sketch").to_pylist()
         changes = np.flatnonzero((np.diff(columns["key"], prepend=-1) != 0) | (np.diff(columns["low"], prepend=-1) != 0) | (np.diff(columns["high"], prepend=-1) != 0))
         for start, stop in zip([0, *changes[changes > 0]], [*changes[changes > 0], batch.num_rows]):
             this = tuple(int(columns[c][start]) for c in ("key", "low", "high"))
@@ -321,10 +338,10 @@ def near_by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """Deals the rows of each key into chunks, and each chunk into a block with itself and with every other chunk."""
-    key = Window.partitionBy("key")
-    rows = rows.withColumn("chunk", ((F.row_number().over(key.orderBy("a")) - 1) / CHUNK).cast("int")).withColumn("chunks", F.floor((F.count("*").over(key) - 1) / CHUNK).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "chunks")))
+    """Deals the rows of each key into chunks by a hash, and each chunk into a block with itself and with every other chunk. Keys of more rows than a chunk were counted; no task holds all rows of a key."""
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    rows = rows.join(common.broadcast_if_small(common.checkpoint(large)), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("a"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "a", "role", "root", "size", "sketch")
     return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
@@ -344,6 +361,23 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        near = []
+        for x, y, sizes in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "sizes")), strict=True):
+            x, y = folded([x, y])
+            near.append(9 * int(np.bitwise_count(x ^ y).sum()) <= sizes)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
+def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those that may link by their sizes and sketches: a hundredth of what the sets take."""
+    x = sets.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("x"))
+    y = sets.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").filter("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
+    return both.select("a", "b", "x", "y", (F.col("size_a") + F.col("size_b")).alias("sizes")).mapInArrow(bounded, "a long, b long").distinct()
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b), those that link."""
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
@@ -389,7 +423,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return pairs.filter("root_a <> root_b")
 
     more = apart(star.join(best, ["a", "b"], "left_anti").select("a", "b"))
-    links = common.checkpoint(links.union(verify(more.select("a", "b"), sets)))
+    links = common.checkpoint(links.union(verify(near(more.select("a", "b"), sets), sets)))
     found = common.components(links)
 
     # then the rest of each bucket that still spans components

@@ -441,6 +441,40 @@ def test_sketches_bound_differences():
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
+def test_sketches_of_long_sets_tell_them_apart():
+    """Of disjoint sets of any size no pair passes the bound, and folding keeps it."""
+    rng = np.random.default_rng(3)
+    for size in (600, 3000, 20_000):
+        sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (size, size * 9 // 8)]
+        x, y = near_duplicates.folded([near_duplicates.sketch(s) for s in sets])
+        assert 9 * np.bitwise_count(x ^ y).sum() > sum(map(len, sets))
+        near = np.concatenate((sets[0][size // 20 :], sets[1][: size // 20]))
+        x, y = near_duplicates.folded([near_duplicates.sketch(sets[0]), near_duplicates.sketch(near)])
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(sets[0], near))
+
+
+def test_a_family_of_long_texts_just_below_the_threshold(spark, monkeypatch):
+    """They share most buckets; few pairs of them are compared in full."""
+    rng = random.Random(9)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(6000)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(190):  # each changes five shingles: about 0.73 of two texts is common
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(words)))
+    sizes, given = [], near_duplicates.verify
+
+    def verify(pairs, sets):
+        sizes.append(pairs.count())
+        return given(pairs, sets)
+
+    monkeypatch.setattr(near_duplicates, "verify", verify)
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in found.collect()} == components(rows)
+    assert sum(sizes) < 60 * 59 / 2 / 5
+
+
 def test_blocks_of_large_buckets_see_every_pair(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "CHUNK", 3)
     s = near_duplicates.sketch(np.array([1, 2, 3], np.uint64))
