@@ -631,21 +631,39 @@ def test_decontamination_of_odd_rows(spark, odd, empty):
 # toxicity
 
 
-def test_marginals_equal_brute_force():
+@pytest.mark.parametrize("stretch", (128, 2))
+def test_marginals_equal_brute_force(monkeypatch, stretch):
+    monkeypatch.setattr(toxicity, "STRETCH", stretch)
     rng = np.random.default_rng(0)
     stay = rng.normal(size=(2, 2))
-    lengths = np.array([3, 0, 5, 1])
-    e = rng.normal(size=9)
+    lengths = np.array([3, 0, 7, 1, 4])
+    e = rng.normal(size=15)
     got, at = toxicity.marginals(e, lengths, stay, 0.3), 0
+    transitions = np.zeros((2, 2))
     for n in lengths:
-        total, each = 0.0, np.zeros(n)
+        total, each, pairs = 0.0, np.zeros(n), np.zeros((2, 2))
         for code in range(2**n):
             y = [(code >> k) & 1 for k in range(n)]
             w = np.exp(sum(e[at + k] * y[k] for k in range(n)) + (0.3 * y[0] if n else 0) + sum(stay[a, b] for a, b in zip(y, y[1:])))
             total += w
             each += w * np.array(y)
+            for a, b in zip(y, y[1:]):
+                pairs[a, b] += w
         np.testing.assert_allclose(got[at : at + n], each / total, atol=1e-9)
+        transitions += pairs / total
         at += n
+    p, found = toxicity.expected(e, lengths, stay, 0.3)
+    np.testing.assert_allclose(p, got)
+    np.testing.assert_allclose(found, transitions, atol=1e-9)
+
+
+def test_toxicity_of_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.filter("toxic is not null").collect()}
+    rows = [r for r in QUERIES["op9_toxicity"](spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in truth]
+    toxic = [r.predicted for r in rows if truth[r.doc_id]]
+    clean = [r.predicted for r in rows if not truth[r.doc_id]]
+    assert sum(toxic) / len(toxic) >= 0.6 and sum(clean) / len(clean) <= 0.03
 
 
 def test_toxic_words_are_learned():
