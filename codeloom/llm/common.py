@@ -19,12 +19,16 @@ SLICE_CHARS = 1_500_000
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes df into the shared checkpoint folder and cuts its lineage.
 
-    The folder is the one that the session names in spark.checkpoint.dir. Only
-    where that is unset (tests, a single machine) does it set one.
+    The folder is the one that the session names in spark.checkpoint.dir. Where that
+    is unset, a temporary folder serves on a local master (tests, a single machine);
+    on a cluster, whose machines do not share one, it is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints")
     return df.checkpoint(eager=True)
 
 

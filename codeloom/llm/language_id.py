@@ -9,20 +9,20 @@ of trigrams for each language (times a factor, for neighbouring trigrams are not
 independent). The prediction is the largest language of that set; its proportion
 is the score.
 
-Texts that are null or have no letter are `und` with score 0, as are all texts
+Texts that are null or have no letter (Unicode category L) are `und` with score 0, as are all texts
 when there is no labelled row. Ties go to the language whose name sorts first.
 Repeated rows are each scored; other columns pass by; an empty table gives an
-empty result. Only text and lang of labelled rows are learned from; lang, source
+empty result. Very long texts are expanded whole in the task that reads them. Only text and lang of labelled rows are learned from; lang, source
 and doc_id are no inputs of a prediction.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +33,9 @@ BITS = 18
 DOCS_PER_LANGUAGE = 2000
 SMOOTH = 0.5
 ROUNDS = 8
-#: Sets of more languages than this are not told apart.
-MOST_LANGUAGES = 4
 PENALTY = 3.0
-LETTER = re.compile(r"[^\W\d_]")
+#: Unicode letters (category L); digits and numbers in letters' shape are none.
+LETTER = regex.compile(r"\p{L}")
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,11 +112,11 @@ def proportions(of: np.ndarray, h: np.ndarray, n_texts: int, table: np.ndarray)
     theta, log = np.eye(k)[best], single[np.arange(n_texts), best]
     price = PENALTY / 2 * np.log(total + 1)
     worth = log - price
-    for size in range(2, min(k, MOST_LANGUAGES) + 1):
-        # a set can only win where even the mixture of all languages would
+    for size in range(2, k + 1):
+        # a set can only win where even the mixture of all languages would: with many languages most sizes end here
         open_ = whole_log - size * price > worth
         if not open_.any():
-            continue
+            break
         if size == k:
             t, x = whole, whole_log
         else:
