@@ -1,8 +1,10 @@
 """Quality classification by co-training.
 
-Two logistic classifiers see different views of a document: one its text (shares
-of kinds of characters, repetition, word lengths), one its metadata (source,
-language, length). Over some rounds each labels all unlabelled documents of which
+Two logistic classifiers see different views of a document: one its text (what its
+words say, shares of kinds of characters, repetition, word lengths), one its metadata
+(source, language, length). What words say is one feature: the mean log odds of good
+quality over a text's distinct words, hashed, counted in the labelled sample; of a
+labelled document the counts leave its own words out. Over some rounds each labels all unlabelled documents of which
 it is sure, and the other learns from them too: the classes weigh what they do
 among the labels, and all together no more than a number that grows by round. The
 unlabelled documents stay in Spark; a fit takes sums over them. Each view is then calibrated on labelled
@@ -13,7 +15,8 @@ quality is under a half.
 Null and empty texts are rejected with score 0. Null metadata are values of their
 own. Labels of repeated or clashing rows count by their mean; without labels of
 both classes every document with text is kept with score 1. Repeated rows are
-each scored; other columns pass by; an empty table gives an empty result.
+each scored; other columns pass by; an empty table gives an empty result. Very long
+texts are read whole; a probability of exactly a half is good quality.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +43,44 @@ THRESHOLD = 0.5
 RIDGE = 1.0
 SYMBOLS, UPPER, LOWER, DIGITS, PUNCTUATION = (np.array([chr(b) in s for b in range(256)]) for s in ("#*$%&|<>@^~_=+{}[]\\/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".,;:!?'\"()-"))
 META_BUCKETS = 64
+#: Bits of a word's hash, and labelled documents that a word must stand in to say something.
+WORD_BITS, LEAST_DOCS = 18, 3
 
 
-def text_view(text: str) -> list[float]:
+def word_hashes(text: str) -> np.ndarray:
+    """Distinct hashes of a text's words, in lower case."""
+    words = set(text.lower().encode("utf-8", "surrogatepass").split())
+    return np.unique(np.fromiter(map(crc32, words), np.int64, len(words)) & ((1 << WORD_BITS) - 1))
+
+
+@dataclass
+class WordOdds:
+    """In how many labelled documents of either label each hashed word stands."""
+
+    n: np.ndarray  # documents of label 0 and 1
+    counts: np.ndarray  # (words, 2)
+
+    @classmethod
+    def of(cls, words: list[np.ndarray], y: np.ndarray) -> WordOdds:
+        counts = np.zeros((1 << WORD_BITS, 2), np.int32)
+        for h, label in zip(words, y.astype(int).tolist(), strict=True):
+            counts[h, label] += 1
+        return cls(np.bincount(y.astype(int), minlength=2), counts)
+
+    def say(self, h: np.ndarray, but: int | None = None) -> float:
+        """The mean log odds of words, without the counts of the document itself if it is one of label `but`."""
+        if not len(h):
+            return 0.0
+        c, n = self.counts[h].astype(float), self.n.astype(float)
+        if but is not None:
+            c[:, but] -= 1
+            n[but] -= 1
+        known = c.sum(1) >= LEAST_DOCS
+        odds = np.log((c[:, 1] + 0.5) / (n[1] + 1)) - np.log((c[:, 0] + 0.5) / (n[0] + 1))
+        return float(np.where(known, odds, 0.0).mean())
+
+
+def text_view(text: str, says: float = 0.0) -> list[float]:
     data = text.encode("utf-8", "surrogatepass")
     kinds = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     words = data.split()
@@ -49,6 +88,7 @@ def text_view(text: str) -> list[float]:
     upper, lower = kinds[UPPER].sum(), kinds[LOWER].sum()
     lines = data.count(b"\n") + 1
     return [
+        says,
         kinds[SYMBOLS].sum() / size,
         kinds[ord("|")] / n,
         upper / max(upper + lower, 1),
@@ -164,6 +204,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Logistic:
 
 @dataclass
 class Model:
+    words: WordOdds
     text: Logistic
     meta: Logistic
     text_calibration: Logistic
@@ -177,8 +218,8 @@ class Model:
         return tuple(1 / (1 + np.exp(-v)) for v in (a + b - self.prior, a, b))
 
 
-def co_train(views: Views, y: np.ndarray, free: Views | Pool) -> Model | None:
-    """views: text and metadata of labelled documents; free: of unlabelled ones, or sums over them."""
+def co_train(views: Views, y: np.ndarray, free: Views | Pool, words: WordOdds | None = None) -> Model | None:
+    """views: text and metadata of labelled documents; free: of unlabelled ones, or sums over them; words: what the text views were made with."""
     if len(set(y.tolist())) < 2:
         return None
     fold = np.arange(len(y)) % 4 == 0  # calibrates, and is not learned from
@@ -192,33 +233,47 @@ def co_train(views: Views, y: np.ndarray, free: Views | Pool) -> Model | None:
         models = fit_views(learned, y[~fold], models, pool, (mass * (1 - share), mass * share))
     held = fold if fold.any() else np.ones(len(y), bool)
     calibrated = [fit(m.odds(x[held])[:, None], y[held]) for m, x in zip(models, views, strict=True)]
-    return Model(*models, *calibrated, float(np.log(y[held].mean() / (1 - y[held].mean()))))
+    return Model(words, *models, *calibrated, float(np.log(y[held].mean() / (1 - y[held].mean()))))
 
 
-def view_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray, np.ndarray]]:
+def view_batches(batches: Iterator[pa.RecordBatch], words: WordOdds | None) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray, np.ndarray]]:
     for batch in common.slices(batches):
         every = common.texts(batch)
-        text = np.array([text_view(x) for x in every])
+        text = np.array([text_view(x, words.say(word_hashes(x)) if words else 0.0) for x in every])
         meta = np.array([meta_view(*m) for m in zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)])
         yield batch, every, text, meta
 
 
+VIEWS = "doc_id long, text_view array<double>, meta_view array<int>"
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     truth = labels.filter("quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     n = truth.count()
     drawn = truth.filter(common.hash_share("doc_id", 7) < LABELLED / max(n, LABELLED))
+    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").filter("text is not null")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, text, meta in view_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(text)), pa.array([np.flatnonzero(m).astype(np.int32) for m in meta], pa.list_(pa.int32()))], names=["doc_id", "text_view", "meta_view"])
+    def views(words: WordOdds | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").filter("text is not null")
-    rows = common.checkpoint(rows.mapInArrow(run, "doc_id long, text_view array<double>, meta_view array<int>"))  # fifteen numbers a document
-    found = rows.join(common.broadcast_if_small(drawn), "doc_id").toPandas()  # about LABELLED rows of numbers
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, every, text, meta in view_batches(batches, shared.value):
+                hashes = [pa.array([word_hashes(x).astype(np.int32) for x in every], pa.list_(pa.int32()))] if words is None else []
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(text)), pa.array([np.flatnonzero(m).astype(np.int32) for m in meta], pa.list_(pa.int32())), *hashes], names=["doc_id", "text_view", "meta_view", *["words"][: len(hashes)]])
+
+        return run
+
+    sample = rows.join(common.broadcast_if_small(drawn.select("doc_id")), "doc_id", "left_semi").mapInArrow(views(None), VIEWS + ", words array<int>")
+    found = sample.join(common.broadcast_if_small(drawn), "doc_id").dropDuplicates(["doc_id", "text_view", "meta_view"]).toPandas()  # about LABELLED documents, as numbers
     if found.empty:
         return None
     found = found.assign(key=[str(list(v)) for v in found["text_view"]]).sort_values(["doc_id", "key"])
-    free = common.checkpoint(rows.join(common.broadcast_if_small(truth.select("doc_id")), "doc_id", "left_anti").select("text_view", "meta_view"))
+    y = found["quality"].to_numpy(float)
+    words = WordOdds.of(found["words"].to_list(), y)
+    text = np.stack(found["text_view"].to_list())
+    text[:, 0] = [words.say(h, label) for h, label in zip(found["words"], y.astype(int), strict=True)]
+    left = rows.join(common.broadcast_if_small(truth.select("doc_id")), "doc_id", "left_anti")
+    free = common.checkpoint(left.mapInArrow(views(words), VIEWS).select("text_view", "meta_view"))  # sixteen numbers a document
 
     def pool(job: Callable[[Views], np.ndarray]) -> np.ndarray:
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +288,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         parts = [np.array(r.sums) for r in free.mapInArrow(sums, "sums array<double>").collect()]  # a row for each task
         return np.sum(parts, axis=0) if parts else job((np.zeros((0, TEXT_SIZE)), np.zeros((0, META_SIZE))))
 
-    return co_train((np.stack(found["text_view"].to_list()), dense(found["meta_view"].to_list())), found["quality"].to_numpy(float), pool)
+    return co_train((text, dense(found["meta_view"].to_list())), y, pool, words)
 
 
 def dense(places) -> np.ndarray:
@@ -249,7 +304,7 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch, every, text, meta in view_batches(batches):
+        for batch, every, text, meta in view_batches(batches, model and model.words):
             there = np.array([bool(x.strip()) for x in every])
             scores = model.score(text, meta) if model else (np.ones(len(every)),) * 3
             scores = [np.where(there, s, 0.0) for s in scores]

@@ -287,9 +287,9 @@ def test_views_learn_from_each_other():
 def test_every_unlabelled_document_is_learned_from(spark, monkeypatch):
     seen, given = [], quality_classifier.co_train
 
-    def co_train(views, y, free):
+    def co_train(views, y, free, words):
         seen.append(free(lambda v: np.array([float(len(v[0])), float(v[1].sum())])).tolist() if callable(free) else [float(len(free[0])), float(free[1].sum())])
-        return given(views, y, free)
+        return given(views, y, free, words)
 
     monkeypatch.setattr(quality_classifier, "co_train", co_train)
     docs = spark.createDataFrame([(k, f"some words number {k}" if k % 2 else "## || @@ %% 11", "en", "a", 20) for k in range(9000)], "doc_id long, text string, lang string, source string, n_chars long")
@@ -298,6 +298,25 @@ def test_every_unlabelled_document_is_learned_from(spark, monkeypatch):
     assert seen == [[8900.0, 3 * 8900.0]]
 
 
+def test_quality_of_held_out_labels(spark):
+    """Labels that the classifier did not learn from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    aside = {r.doc_id: r.quality for r in labels.filter("quality is not null and crc32(cast(doc_id as string)) % 3 = 0").collect()}
+    rows = [r for r in quality_classifier.quality(docs, labels.filter("crc32(cast(doc_id as string)) % 3 <> 0")).collect() if r.doc_id in aside]
+    assert len(rows) > 100 and sum(r.kept == (aside[r.doc_id] == 1) for r in rows) / len(rows) > 0.9
+
+
+def test_words_tell_quality(spark):
+    """Texts alike in all but their words, of one source: only what the words say tells them apart."""
+    rng = random.Random(6)
+    good, bad = ([f"{a}{b}" for a in heads for b in ("ola", "emi", "uri", "ano")] for heads in (("bra", "dre", "fli"), ("gro", "kle", "pri")))
+    rows = [(k, " ".join(rng.choices(good if k % 2 else bad, k=40)), "en", "a", 200) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    found = quality_classifier.quality(docs, labels).filter("doc_id >= 200").collect()
+    assert sum(r.kept == (r.doc_id % 2 == 1) for r in found) > 195
+
+
 def test_quality_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     found = {r.doc_id: r.kept for r in quality_classifier.quality(odd, labels).collect()}
