@@ -1,6 +1,6 @@
 """Licence scans by a positional index of rare licence words.
 
-Templates are short licence sentences. Each key phrase has an anchor, its word of
+Templates are licence sentences and paragraphs. Each key phrase has an anchor, its word of
 the highest inverse document frequency (counted over all documents), which is
 looked up in every file and verified word for word. Around each place of a key
 phrase the postings of its templates are intersected by relative position (the
@@ -10,7 +10,10 @@ order anchors: what a file is labelled depends on that file alone. The phrases o
 the base rule have anchors of the same kind, so each of their places is found.
 
 Null texts count as empty: no words, no labels, score 0. Repeated rows are each
-scanned; other columns are ignored; an empty table gives an empty result.
+scanned; other columns are ignored; an empty table gives an empty result. Very long
+texts are scanned whole. Of words of equal rarity the first is a phrase's anchor; a
+label that several templates give has the largest share found, and the score is the
+largest of all.
 """
 
 from __future__ import annotations
@@ -54,6 +57,20 @@ TEMPLATES = [
     ("mozilla public license version 2 0", "mpl-2.0", ("mozilla public license",)),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", ("permission to use copy modify",)),
     ("this is free and unencumbered software released into the public domain", "unlicense", ("unencumbered software",)),
+    # paragraphs of whole licence texts
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit", ("this permission notice shall be included",)),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit", ("particular purpose and noninfringement",)),
+    ("without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so", "mit", ("merge publish distribute sublicense",)),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache-2.0", ("distributed under the license is distributed",)),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd", ("redistributions of source code must retain",)),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", "bsd", ("redistributions in binary form must reproduce",)),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl", ("terms of the gnu general public license",)),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gpl", ("distributed in the hope that it will be useful",)),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0", ("subject to the terms of the mozilla public license",)),
+    ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial", "unlicense", ("modify publish use compile sell",)),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "zlib", ("in no event will the authors be held liable",)),
+    ("boost software license version 1 0", "bsl-1.0", ("boost software license",)),
+    ("eclipse public license v 2 0", "epl-2.0", ("eclipse public license v 2", "eclipse public license version 2", "eclipse public license 2")),
 ]
 
 #: Share of a template's words that must agree on one relative position.
@@ -184,3 +201,17 @@ NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(common.table(spark, sf_dir, "documents"))
+
+
+def base_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that SQL can state."""
+    return op7_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+#: The base columns and the number of words; labels of the method and the score have no SQL.
+BASE_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+p AS (SELECT doc_id, words, unnest([{'phrase': ['mit', 'license'], 'label': 'mit'}, {'phrase': ['apache', 'license'], 'label': 'apache'}, {'phrase': ['general', 'public', 'license'], 'label': 'gpl'}]) AS b FROM w),
+f AS (SELECT doc_id, b.label AS label, unnest(list_filter(range(0, len(words)), lambda k: words[k + 1 : k + len(b.phrase)] = b.phrase)) AS place FROM p)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, count(f.place) AS n_base, min(f.place) AS first_word, max(f.place) AS last_word, coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label), '') AS base_labels
+FROM w LEFT JOIN f USING (doc_id) GROUP BY w.doc_id, w.words"""

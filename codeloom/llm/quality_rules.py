@@ -449,3 +449,19 @@ def quality_rules(docs: DataFrame, reach: float = REACH, broadcast: int = BROADC
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.table(spark, sf_dir, "documents"))
+
+
+def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can state."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+#: The counting rules; the verdict of the bands has no SQL.
+BASE_SQL = r"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS k FROM w WHERE len(words) >= 3),
+t AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, words[k : k + 2]) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS place FROM t WHERE n > 1) GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols,
+(len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(words) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(words) AS base_failed
+FROM w LEFT JOIN r USING (doc_id)"""

@@ -828,6 +828,12 @@ def test_too_predictable_texts_are_rejected(spark):
     assert all(not found[k].kept and not found[k].base_failed and found[k].perplexity < found[k].lower for k in range(500, 506))
 
 
+@pytest.mark.parametrize(("name", "sql"), [("op10_quality_rules", quality_rules.BASE_SQL), ("op7_license_scan", licenses.BASE_SQL)])
+def test_base_columns_equal_sql(duck, result, name, sql):
+    found = duck.sql(sql)
+    assert {tuple(r[c] for c in found.columns) for r in result(name)} == {tuple(row) for row in found.fetchall()}
+
+
 def test_rules_of_odd_rows(odd, empty):
     found = {r.doc_id: r for r in quality_rules.quality_rules(odd).collect()}
     assert found[1].n_words == 0 and not found[1].kept and found[1].perplexity is None
