@@ -59,7 +59,7 @@ KEY_BITS = 48
 #: Bits of the sketch of a small set, and the most that a set has.
 SKETCH_BITS, MOST_SKETCH_BITS = 1024, 1 << 16
 #: Rows of a bucket that are compared with each other or with as many others in one step.
-CHUNK = 2048
+CHUNK = 512
 #: Roles of a bucket's rows, in the order of preference as its centre: probing whole, probing less one, indexed whole, indexed less one.
 PROBE, PROBE_LESS, INDEX, INDEX_LESS = range(4)
 
