@@ -50,7 +50,7 @@ class Engine:
             "search": lambda: search.ranked(g, target),
             "impact": lambda: traversal.impact(g, self._function(target)),
             "complexity": lambda: self._function(target).select("id", "name", "complexity"),
-            "decorator": lambda: g.functions.filter(F.array_contains(F.array("decorator"), target)),
+            "decorator": lambda: g.functions.filter(F.array_contains("decorators", target)),
             "argument": lambda: g.functions.join(g.parameters.filter(F.col("arg") == target).select(F.col("function_id").alias("id")), "id", "left_semi"),
         }
         if kind not in kinds:
@@ -63,7 +63,6 @@ class Engine:
             getattr(self.graph, f.name).createOrReplaceTempView(f.name)
         return self.spark.sql(read_only(statement))
 
-    def audit(self, scope: str | None = None) -> DataFrame:
-        g = self.graph
-        with_path = {"cyclomatic_complexity": rules.cyclomatic_complexity(g), "function_too_long": rules.function_too_long(g), "parameter_count": rules.parameter_count(g), "unreferenced_public_function": rules.unreferenced_public_function(g), "missing_docstring": rules.missing_docstring(g)}
-        return rules.audit(g, with_path, scope)
+    def audit(self, *scope: str, settings: rules.Settings = rules.Settings()) -> DataFrame:
+        """Counts of every rule, within some files or folders if given."""
+        return rules.audit(self.graph, settings, scope)

@@ -68,3 +68,21 @@ def has_name(name: Column, *parts: str) -> Column:
     for part in parts:
         found |= F.lower(name).contains(part)
     return found
+
+
+def holds(text: Column, *parts: str) -> Column:
+    """The text contains one of the parts, as they are written."""
+    found = F.lit(False)
+    for part in parts:
+        found |= text.contains(part)
+    return F.coalesce(found, F.lit(False))
+
+
+def any_holds(texts: Column, *parts: str) -> Column:
+    """One of a list of texts contains one of the parts."""
+    return F.coalesce(F.exists(texts, lambda x: holds(x, *parts)), F.lit(False))
+
+
+def glob_fragment(pattern: str) -> str:
+    """What a path must contain to match a glob of folders: the pattern without its stars."""
+    return pattern.replace("**/", "").replace("/**", "").replace("*", "")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import on_graph, on_tables
-from .graph import Graph, checkpoint, hop, reach, reversed_edges, top, within
+from .graph import Graph, checkpoint, hop, reach, reversed_edges, top, union_of, within
 
 
 def seeds_of(g: Graph, least: int, most: int) -> DataFrame:
@@ -130,17 +130,25 @@ def in_degree(g: Graph) -> DataFrame:
     return g.calls.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("degree"))
 
 
-def inheritance_depth(g: Graph, levels: int = 24) -> DataFrame:
-    """(id, depth) of classes below a root. Bounded by `levels`: each doubles the ancestors known."""
-    jump = g.inherits.select(F.col("child").alias("id"), F.col("parent").alias("up"), F.lit(1).alias("depth"))
-    # parents of a key are less than it, a third at most, so 5 doublings see 32 levels
-    for _ in range(min(levels, 5)):
-        above = jump.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        jump = jump.join(above, "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-    return jump.select("id", "depth")
+#: The longest chain that is followed, as by the query language of property graphs: what bounds a cycle.
+LONGEST_CHAIN = 30
 
 
-@on_graph("""+r AS (SELECT child AS id, parent AS up, 1 AS depth FROM inherits UNION ALL SELECT r.id, i.parent, depth + 1 FROM r JOIN inherits i ON i.child = r.up)
+def inheritance_depth(g: Graph, longest: int = LONGEST_CHAIN) -> DataFrame:
+    """(id, depth): the longest chain of bases from a class to a root, a class without bases. From the roots downwards, each level the distinct children of the one above, so that several bases multiply no rows; classes that only a cycle holds have no root and no row."""
+    edges = checkpoint(g.inherits.select(F.col("parent").alias("src"), F.col("child").alias("dst")).distinct())
+    level = edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
+    levels = []
+    for depth in range(1, longest + 1):
+        level = checkpoint(hop(level, edges))
+        if level.isEmpty():
+            break
+        levels.append(level.withColumn("depth", F.lit(depth)))
+    found = union_of(levels) if levels else level.withColumn("depth", F.lit(0))
+    return found.groupBy("id").agg(F.max("depth").alias("depth"))
+
+
+@on_graph("""+h AS (SELECT DISTINCT child, parent FROM inherits), r AS (SELECT DISTINCT child AS id, 1 AS depth FROM h WHERE parent NOT IN (SELECT child FROM h) UNION SELECT h.child, depth + 1 FROM r JOIN h ON h.parent = r.id WHERE depth < 30)
 SELECT id, max(depth) AS depth FROM r GROUP BY id""")
 def class_depth(g: Graph) -> DataFrame:
     return inheritance_depth(g)

@@ -11,7 +11,7 @@ from codeloom.operators.graph import Graph, reach, reversed_edges, within
 from codeloom.operators.search import callers_of, dead, fuzzy
 from codeloom.plans import commands, rules
 
-FUNCTIONS = "id long, name string, path string, line_number long, end_line long, complexity long, docstring string, source string, is_dependency boolean, decorator string"
+FUNCTIONS = "id long, name string, path string, line_number long, end_line long, complexity long, docstring string, source string, is_dependency boolean, decorator string, decorators array<string>"
 
 
 def edges(spark, *pairs):
@@ -23,7 +23,7 @@ def ids(spark, *xs):
 
 
 def graph(spark, functions, calls=()):
-    rows = [(i, n, p, i * 10, i * 10 + 5, 1, "", n, False, d) for i, n, p, d in functions]
+    rows = [(i, n, p, i * 10, i * 10 + 5, 1, "", n, False, d, [d] if d else []) for i, n, p, d in functions]
     nothing = spark.range(0)
     g = Graph(**{f.name: nothing for f in fields(Graph)})
     return replace(g, functions=spark.createDataFrame(rows, FUNCTIONS), calls=edges(spark, *calls))
@@ -72,14 +72,79 @@ def test_call_sites_and_callers_differ(spark):
 
 def test_test_code_that_reaches_a_private_function(spark):
     g = graph(spark, [(1, "t", "/tests/x.py", None), (2, "_b", "/src/y.py", None)], [(1, 2)])
-    assert [r.metric for r in rules.test_reaches_private_seam(g).collect()] == [2]
+    assert [r.metric for r in rules.test_reaches_private_seam(g).collect()] == ["_b"]
 
 
 def test_sensitive_pairs_are_a_bag(spark):
-    g = graph(spark, [(1, "f", "a.py", None), (2, "get_password", "b", None), (3, "read_token", "b", None), *((k, f"print_{k}", "c", None) for k in (4, 5, 6))], [(1, k) for k in range(2, 7)])
+    g = graph(spark, [(1, "f", "a.py", None), (2, "get_password", "b", None), (3, "read_token", "b", None), *((k, f"send_{k}", "c", None) for k in (4, 5, 6))], [(1, k) for k in range(2, 7)])
     assert rules.sensitive_data_unprotected(g).count() == 6
 
 
+def test_handlers_are_known_by_decorator_not_by_name(spark):
+    g = graph(
+        spark,
+        [(1, "show", "/src/a.py", "@app.route('/x')"), (2, "request_handler", "/src/a.py", None), (3, "run_query", "/src/b.py", None), (4, "do_auth", "/src/c.py", None), (5, "page", "/src/tests/a.py", "@router.get('/y')"), (6, "find_all", "/src/b.py", None)],
+        [(1, 3), (2, 3), (5, 6)],
+    )
+    assert {(r.id, r.metric) for r in rules.auth_bypass(g).collect()} == {(1, "run_query"), (5, "find_all")}  # tests count here
+    assert {r.id for r in rules.unlogged_endpoint(g).collect()} == {1, 5}
+    checked = replace(g, calls=edges(spark, (1, 3), (3, 4), (5, 6)))
+    assert {r.id for r in rules.auth_bypass(checked).collect()} == {5}
+    far = replace(g, calls=edges(spark, (1, 2), (2, 6), (6, 3), (3, 4)))  # authorisation four calls away, two data stores within three
+    assert sorted((r.id, r.metric) for r in rules.auth_bypass(far).collect()) == [(1, "find_all"), (1, "run_query")]
+
+
+def test_admins_are_known_by_decorator_or_path(spark):
+    g = graph(spark, [(1, "admin_panel", "/src/a.py", None), (2, "f", "/src/admin/a.py", None), (3, "g", "/src/a.py", "@staff_only"), (4, "save_all", "/src/b.py", None), (5, "audit", "/src/b.py", None)], [(1, 4), (2, 4), (3, 4), (3, 5)])
+    assert [(r.id, r.metric) for r in rules.admin_action_no_audit_trail(g).collect()] == [(2, "save_all")]
+
+
+def test_duties_need_a_call_of_a_class(spark):
+    functions = [(1, "deploy_app", "/src/a.py", None), (2, "price", "/src/a.py", None), (3, "migrate", "/src/b.py", None), (4, "order", "/src/b.py", None)]
+    g = replace(graph(spark, functions, [(4, 2)]), class_calls=edges(spark, (2, 77)))
+    assert [(r.path, r.metric) for r in rules.separation_of_duties(g).collect()] == [("/src/a.py", 2)]
+
+
+def test_private_access_between_project_files(spark):
+    g = graph(spark, [(1, "a", "/src/x.py", None), (2, "_b", "/src/y.py", None), (3, "t", "/src/tests/z.py", None), (4, "t2", "/src/test_q.py", None)], [(1, 2), (3, 2), (4, 2)])
+    assert {r.id for r in rules.cross_file_private_access(g).collect()} == {1, 4}
+    assert {(r.id, r.metric) for r in rules.test_reaches_private_seam(g).collect()} == {(3, "_b"), (4, "_b")}
+    outside = replace(g, functions=g.functions.withColumn("is_dependency", F.col("id") == 2))
+    assert rules.cross_file_private_access(outside).count() == rules.test_reaches_private_seam(outside).count() == 0
+
+
+def test_depth_of_several_bases_and_cycles(spark):
+    inherits = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (4, 1), (5, 4), (8, 9), (9, 8), (10, 9)], "child long, parent long")
+    found = traversal.inheritance_depth(Graph(**{f.name: inherits for f in fields(Graph)}))
+    assert {tuple(r) for r in found.collect()} == {(2, 1), (3, 2), (4, 3), (5, 4)}
+    chain = spark.createDataFrame([(k + 1, k) for k in range(50)], "child long, parent long")
+    found = {r.id: r.depth for r in traversal.inheritance_depth(Graph(**{f.name: chain for f in fields(Graph)})).collect()}
+    assert found == {k: k for k in range(1, 31)}
+
+
+def test_presets_and_overrides():
+    found = {r.id: r for r in rules.selected()}
+    assert len(found) == 28 and found["cross_file_private_access"].severity == found["auth_bypass"].severity == "hard" and found["unlogged_endpoint"].severity == "warn"
+    assert {r.category for r in rules.selected(rules.Settings("minimal"))} == {"coupling"}
+    assert {r.category for r in rules.selected(rules.Settings("soc2"))} == {"coupling", "compliance"}
+    assert {r.category for r in rules.selected(rules.Settings("soc2", categories=("clarity",)))} == {"clarity"}
+    own = rules.Settings("strict", overrides={"auth_bypass": "off", "unlogged_endpoint": "blocker", "test_import_in_prod": "warn"}, hard_stop=("missing_docstring",), thresholds={"cyclomatic_complexity": {"warn": 3}}, library=True)
+    found = {r.id: r for r in rules.selected(own)}
+    assert not {"auth_bypass", "unreferenced_public_function", "unreferenced_public_class", "circular_imports"} & found.keys()
+    assert all(found[x].severity == "hard" for x in ("unlogged_endpoint", "missing_docstring", "excessive_fan_out", "test_import_in_prod"))
+    assert found["cyclomatic_complexity"].thresholds == {"warn": 3}
+
+
+def test_an_audit_with_a_rule_of_its_own(spark):
+    g = graph(spark, [(1, "alpha", "/src/a.py", None), (2, "beta", "/src/b.py", None), (3, "gamma", "/src/tests/c.py", None), (4, "delta", "/src/d.py", "property")])
+    own = rules.Rule.from_sql({"id": "late_names", "query": "SELECT id, name, path, line_number AS metric FROM functions WHERE name > 'b' AND line_number >= $least", "severity": "hard", "thresholds": {"least": 20}, "exemptions": True, "suggestion": "{{name}} at {{metric_value}}{{nothing}}"})
+    found = rules.findings(g, rules={own.id: own}).collect()
+    assert [(r.rule, r.severity, r.name, r.metric, r.suggestion) for r in found] == [("late_names", "hard", "beta", "20", "beta at 20")]  # a path and a decorator spare the others
+    counted = rules.audit(g, rules={own.id: own})
+    assert tuple(rules.gate(counted).first()) == (0, 1, False)
+    assert rules.audit(g, scope=("src/a.py",), rules={own.id: own}).first().offenders == 0
+
+
 def test_dead_code_leaves_entry_points(spark):
     g = graph(spark, [(1, "main", "a.py", None), (2, "used", "a.py", None), (3, "idle", "a.py", None), (4, "__init__", "a.py", None), (5, "test_x", "a.py", None), (6, "page", "a.py", "@app.route"), (7, "far", "/venv/a.py", None)], [(1, 2)])
     assert [r.name for r in dead(g, ("@app.route",)).collect()] == ["idle"]

@@ -158,7 +158,7 @@ def test_facade(spark, small):
     engine = facade.Engine(load(spark, small), spark)
     assert engine.sql("SELECT count(*) AS n FROM functions").first().n == 200
     assert engine.analyse("fuzzy", "hot bolt").count() >= 1
-    assert engine.audit("brand_13").count() == 5
+    assert engine.audit("brand_13").count() == 24
     with pytest.raises(ValueError, match="unknown"):
         engine.analyse("nonsense", "x")
 
