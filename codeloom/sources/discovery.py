@@ -16,9 +16,15 @@ LANGUAGES = {
     "py": "python", "ipynb": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescriptjsx", "go": "go", "rs": "rust", "c": "c", "h": "cpp", "cpp": "cpp", "hpp": "cpp", "hh": "cpp",
     "java": "java", "rb": "ruby", "cs": "csharp", "php": "php", "kt": "kotlin", "scala": "scala", "sc": "scala", "swift": "swift", "hs": "haskell", "dart": "dart", "pl": "perl", "pm": "perl", "ex": "elixir", "exs": "elixir",
 }
-#: Files that carry structure though no parser reads them.
-STRUCTURAL = ("json", "toml", "yaml", "yml", "md", "txt", "cfg", "ini", "sql")
-NAMES = ("Dockerfile", "Makefile", "LICENSE", "README")
+# Files that carry structure though no parser reads them, by extension, name and beginning of a name.
+STRUCTURAL = ("proto", "graphql", "gql", "prisma", "sql")
+NAMES = (
+    "pyproject.toml", "setup.py", "setup.cfg", "requirements.txt", "requirements-dev.txt", "Pipfile", "Pipfile.lock", "package.json", "tsconfig.json", "Cargo.toml", "go.mod", "go.sum", "pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle",
+    "settings.gradle.kts", "Gemfile", "Gemfile.lock", "composer.json", "Dockerfile", "docker-compose.yml", "docker-compose.yaml", "Makefile", "GNUmakefile", "CMakeLists.txt", "Taskfile.yml", "Taskfile.yaml", "justfile", "Justfile", ".eslintrc",
+    ".eslintrc.js", ".eslintrc.cjs", ".eslintrc.json", ".eslintrc.yml", ".eslintrc.yaml", ".prettierrc", ".prettierrc.js", ".prettierrc.json", ".prettierrc.yml", ".prettierrc.yaml", "ruff.toml", ".ruff.toml", "mypy.ini", ".mypy.ini",
+    "pyrightconfig.json", ".flake8", ".rubocop.yml", ".golangci.yml", ".golangci.yaml",
+)
+PREFIXES = ("tsconfig.", "requirements-", "Dockerfile.", "docker-compose.")
 
 
 def language(path: Column) -> Column:
@@ -51,32 +57,46 @@ def ignored(relative: Column, patterns: list[str]) -> Column:
 
 
 def code_or_structural(path: Column) -> Column:
-    extension = F.lower(F.regexp_extract(fn.basename(path), r"\.([^.]+)$", 1))
-    named = fn.basename(path).isin(*NAMES)
-    for name in NAMES:
-        named |= fn.basename(path).startswith(f"{name}.")
-    return extension.isin(*LANGUAGES, *STRUCTURAL) | named
+    """Whether a parser reads a file, or its name says that it shapes the project."""
+    name = fn.basename(path)
+    kept = F.regexp_extract(name, r"\.([^.]+)$", 1).isin(*LANGUAGES, *STRUCTURAL) | name.isin(*NAMES)
+    for prefix in PREFIXES:
+        kept |= name.startswith(prefix)
+    return kept
 
 
 def scan(spark: SparkSession, root: str, patterns: list[str] = (), code_only: bool = True) -> DataFrame:
-    """(path, relative, language, text) of the files below root; empty files, which hold nothing, are not listed."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+    """(path, relative, language, text) of the files below root; empty files, which hold nothing, are not listed.
+
+    Paths are listed and filtered first; contents are read of the files that are left.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     base = root.removeprefix("file:").rstrip("/") + "/"
     relative = F.element_at(F.split(F.regexp_replace("path", "^file:/*", "/"), re.escape(base)), -1)
-    rows = rows.withColumn("relative", relative).filter(~fn.under(F.concat(F.lit("/"), F.lower("relative"))) & ~ignored(F.col("relative"), list(patterns)))
+    listed = listed.withColumn("relative", relative).filter((F.col("length") > 0) & ~fn.under(F.concat(F.lit("/"), F.lower("relative"))) & ~ignored(F.col("relative"), list(patterns)))
     if code_only:
-        rows = rows.filter(code_or_structural(F.col("path")))
-    return rows.select("path", "relative", language(F.col("path")).alias("language"), F.decode("content", "UTF-8").alias("text"))
+        listed = listed.filter(code_or_structural(F.col("path")))
+    rows = listed.select("path", "relative", "length")
+    wanted = rows.select("path").distinct()
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    # a listing of names only decides which folders are opened at all
+    folders = [r.folder for r in wanted.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).distinct().limit(MOST_FOLDERS + 1).collect()]
+    found = content.load(root) if len(folders) > MOST_FOLDERS else spark.read.format("binaryFile").load(folders) if folders else content.load(root)
+    return found.select("path", "content").join(rows, "path").select("path", "relative", language(F.col("path")).alias("language"), F.decode("content", "UTF-8").alias("text"))
+
+
+#: Folders that a scan opens one by one; beyond that it opens all and joins.
+MOST_FOLDERS = 2000
 
 
 def main_language(paths: DataFrame) -> DataFrame:
     """(language, files) of the language most files are in; of equals the first by name."""
     counted = paths.select(language(F.col("path")).alias("language")).filter("language is not null").groupBy("language").agg(F.count("*").alias("files"))
-    return counted.agg(F.max_by("language", F.struct("files", F.negate(F.ascii("language")))).alias("language"), F.max("files").alias("files"))
+    return counted.agg(F.min_by("language", F.struct(F.negate("files"), "language")).alias("language"), F.max("files").alias("files"))
 
 
-_EXTENSIONS = ("py", "rs", "go", "ts", "md", "bin", "tsx")
-_PATHS = "SELECT '/src/' || url_host || '/f' || page_id || '.' || ext AS path FROM (SELECT page_id, split_part(url, '/', 3) AS url_host, ['py', 'rs', 'go', 'ts', 'md', 'bin', 'tsx'][page_id % 7 + 1] AS ext FROM pages)"
+_EXTENSIONS = ("py", "rs", "go", "ts", "sql", "md", "tsx")
+_PATHS = "SELECT '/src/' || url_host || '/f' || page_id || '.' || ext AS path FROM (SELECT page_id, split_part(url, '/', 3) AS url_host, ['py', 'rs', 'go', 'ts', 'sql', 'md', 'tsx'][page_id % 7 + 1] AS ext FROM pages)"
 
 
 def paths_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +111,8 @@ def language_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths_of(spark, sf_dir).groupBy(language(F.col("path")).alias("language")).agg(F.count("*").alias("files"))
 
 
-@on_tables(f"SELECT path FROM ({_PATHS}) WHERE NOT ends_with(path, '.bin') AND NOT (regexp_matches(path, '[.]md$') AND NOT regexp_matches(path, '/f[0-9]*1[.]md$')) AND NOT regexp_matches(path, '/m[.][^/]*/')")
+@on_tables(f"SELECT path FROM ({_PATHS}) WHERE NOT ends_with(path, '.md') AND NOT (ends_with(path, '.sql') AND NOT regexp_matches(path, '/f[0-9]*1[.]sql$')) AND NOT regexp_matches(path, '/m[.][^/]*/')")
 def discovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = paths_of(spark, sf_dir)
     relative = F.expr("substring(path, 6)")
-    return rows.filter(code_or_structural(F.col("path")) & ~ignored(relative, ["*.md", "!*1.md", "m.*/"])).select("path")
+    return rows.filter(code_or_structural(F.col("path")) & ~ignored(relative, ["*.sql", "!*1.sql", "m.*/"])).select("path")

@@ -15,12 +15,13 @@ from ..registry import on_tables
 ELEMENTS = "path string, kind string, name string, line_number long, end_line long, complexity long, context string, class_context string, decorators array<string>, args array<string>, bases array<string>, full_name string, alias string, value string, docstring string"
 COLUMNS = [x.split()[0] for x in ELEMENTS.split(", ")]
 
-DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.IfExp, ast.comprehension, ast.Assert, ast.match_case)
+DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.ListComp, ast.GeneratorExp, ast.match_case)
 
 
 def complexity(node: ast.AST) -> int:
-    """1 and the decisions within; a chain of n conditions counts n - 1."""
-    return 1 + sum(len(x.values) - 1 if isinstance(x, ast.BoolOp) else isinstance(x, DECISIONS) for x in ast.walk(node))
+    """1 and the decisions within: branches but not their `elif`, loops, handlers, contexts, cases, list comprehensions and generators (each once, whatever loops it has); a chain of n conditions counts n - 1."""
+    further = {id(x.orelse[0]) for x in ast.walk(node) if isinstance(x, ast.If) and len(x.orelse) == 1 and isinstance(x.orelse[0], ast.If) and x.orelse[0].col_offset == x.col_offset}
+    return 1 + sum(len(x.values) - 1 if isinstance(x, ast.BoolOp) else isinstance(x, DECISIONS) and id(x) not in further for x in ast.walk(node))
 
 
 def notebook_source(text: str) -> str:

@@ -208,3 +208,115 @@ def test_upsert_replaces_by_key(spark):
 def test_main_language(spark):
     rows = spark.createDataFrame([("a.py",), ("b.py",), ("c.go",), ("d.zip",)], "path string")
     assert tuple(discovery.main_language(rows).first()) == ("python", 2)
+
+
+def varint(n):
+    out = b""
+    while n > 0x7F:
+        out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+    return out + bytes([n])
+
+
+def nested(number, data):
+    data = data.encode() if isinstance(data, str) else data
+    return varint(number << 3 | 2) + varint(len(data)) + data
+
+
+def occurrence(line, symbol, roles=0):
+    return nested(2, nested(1, varint(line) + varint(4) + varint(9)) + nested(2, symbol) + (varint(3 << 3) + varint(roles) if roles else b""))
+
+
+def test_symbol_indexes(spark):
+    from codeloom.sources import scip
+
+    info = nested(3, nested(1, "py . . a/f().") + nested(3, "Says f.") + varint(5 << 3) + varint(17) + nested(6, "f"))
+    a = nested(1, "a.py") + nested(4, "python") + occurrence(0, "py . . a/f().", 1) + occurrence(300, "py . . b/C#g()."), info
+    b = nested(1, "b.py") + occurrence(2, "py . . b/C#", 1) + occurrence(3, "py . . b/C#g().", 1) + occurrence(3, "local 4", 1) + occurrence(9, "py . . a/f().") + occurrence(9, "py . . ext/h().")
+    index = nested(1, b"\x08\x01") + nested(2, b"".join(a)) + nested(2, b)
+    found = scip.occurrences(spark.createDataFrame([(bytearray(index),)], "content binary"))
+    assert {(r.path, r.symbol, r.line, r.definition) for r in found.collect()} == {
+        ("a.py", "py . . a/f().", 1, True), ("a.py", "py . . b/C#g().", 301, False), ("b.py", "py . . b/C#", 3, True), ("b.py", "py . . b/C#g().", 4, True), ("b.py", "py . . a/f().", 10, False), ("b.py", "py . . ext/h().", 10, False),
+    }
+    assert {(r.name, r.label, r.path, r.line, r.documentation) for r in scip.definitions(found).collect()} == {("f", "Function", "a.py", 1, "Says f."), ("C", "Class", "b.py", 3, None), ("g", "Function", "b.py", 4, None)}
+    assert {(r.caller, r.callee_name, r.callee_path, r.line) for r in scip.call_edges(found).collect()} == {("py . . a/f().", "g", "b.py", 301), ("py . . b/C#g().", "f", "a.py", 10)}
+    elements = python_code.parse(spark.createDataFrame([("a.py", "def f(x):\n    if x: pass\n")], "path string, text string"))
+    more = {r.name: (r.complexity, r.args) for r in scip.supplemented(scip.definitions(found), elements).collect()}
+    assert more == {"f": (2, ["x"]), "C": (1, None), "g": (1, None)}
+
+
+def test_changes_of_a_repository(spark, tmp_path):
+    import subprocess
+
+    from codeloom.sources import changes
+
+    def run(*arguments):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *arguments], check=True, capture_output=True)
+
+    run("init")
+    (tmp_path / "a.py").write_text("x = 1\n")
+    run("add", ".")
+    run("commit", "-m", "one")
+    assert changes.first_changes(spark, str(tmp_path), locked=["b.py"])[0] == "locked"
+    (tmp_path / "new.py").write_text("y\n")
+    kind, files = changes.first_changes(spark, str(tmp_path))
+    assert kind == "untracked" and [r.path for r in files.collect()] == ["new.py"]
+    (tmp_path / "a.py").write_text("x = 2\n")
+    kind, files = changes.first_changes(spark, str(tmp_path))
+    assert kind == "diff" and [r.path for r in files.collect()] == ["a.py"]
+    run("commit", "-am", "two")
+    lines = changes.log_text(str(tmp_path)).splitlines()
+    rows = changes.commits(spark.createDataFrame(list(enumerate(lines)), "position int, line string"))
+    assert [(r.path, r.commits) for r in changes.churn(rows).collect()] == [("a.py", 2)]
+    assert changes.changed_files(spark, str(tmp_path / "nowhere"), "diff").isEmpty()
+    indexed = spark.createDataFrame([("a.py", "x = 1\n"), ("b.py", "z")], "path string, text string")
+    hashed = indexed.selectExpr("path", "sha1(text) AS sha1")
+    assert [r.path for r in changes.stale(hashed, spark.createDataFrame([("a.py", "x = 2\n"), ("b.py", "z")], "path string, text string")).collect()] == ["a.py"]
+
+
+def test_complexity_counts_branches_once():
+    import ast
+
+    def of(text):
+        return python_code.complexity(ast.parse(text).body[0])
+
+    assert of("def f(a):\n  if a: pass\n  elif a > 1: pass\n  else: pass\n") == 2
+    assert of("def f(a):\n  if a: pass\n  else:\n    if a > 1: pass\n") == 3
+    assert of("def f(a):\n  return a if a and a or a else [x for y in a for x in y]\n") == 4
+    assert of("def f(a):\n  assert a\n  return {x for x in a}, {x: 1 for x in a}, (x for x in a)\n") == 2
+    assert of("async def f(a):\n  async for x in a:\n    async with x: pass\n  while a:\n    try: pass\n    except E: pass\n") == 5
+
+
+def test_files_that_shape_a_project(spark):
+    names = ["a.py", "schema.sql", "x.proto", "Dockerfile", "Dockerfile.dev", "requirements-test.txt", "package.json", "tsconfig.base.json", "notes.md", "data.json", "config.yaml", "LICENSE", "Makefile", "app.toml", "README.md"]
+    kept = spark.createDataFrame([(f"/r/{x}",) for x in names], "path string").filter(discovery.code_or_structural(F.col("path")))
+    assert {r.path[3:] for r in kept.collect()} == {"a.py", "schema.sql", "x.proto", "Dockerfile", "Dockerfile.dev", "requirements-test.txt", "package.json", "tsconfig.base.json", "Makefile"}
+
+
+def test_call_resolution_by_type_full_name_and_language(spark):
+    rows = [
+        ("/r/a.py", "call", "run", "job.run", "Worker", None), ("/r/a.py", "call", "print", "log.print", None, None), ("/r/a.py", "import", "pick", "lib.pick", None, None), ("/r/a.py", "call", "pick", "pick", None, None),
+    ]
+    elements = spark.createDataFrame([(p, k, n, f, t, c, 1, None) for p, k, n, f, t, c in rows], "path string, kind string, name string, full_name string, receiver_type string, context string, line_number long, alias string")
+    symbols = spark.createDataFrame([("Worker", ["/r/w.py", "/r/x.py"], "python"), ("Worker", ["/r/a.rb"], "ruby"), ("pick", ["/r/p.py", "/r/q.py"], "python"), ("lib.pick", ["/r/q.py"], "python")], "symbol string, paths array<string>, lang string")
+    found = {(r.name, r.target, r.how) for r in resolution.resolve_calls(elements, symbols).collect()}
+    assert found == {("run", "/r/w.py", "type"), ("pick", "/r/q.py", "import")}
+    kinds = resolution.buckets(resolution.resolve_calls(elements, symbols), elements)
+    assert {(r.caller_kind, r.called_kind) for r in kinds.collect()} == {("file", "function")}
+    sharp = spark.createDataFrame([("/r/a.cs", "class", "A", ["IThing", "Base"]), ("/r/a.cs", "class", "IThing", []), ("/r/a.cs", "class", "Base", []), ("/r/a.py", "class", "B", ["Base2"]), ("/r/a.py", "class", "Base2", [])], "path string, kind string, name string, bases array<string>")
+    sharp = sharp.selectExpr("*", "cast(null as string) as alias", "cast(null as string) as full_name")
+    others, split = resolution.split_bases(sharp, python_code.symbol_index(sharp))
+    assert {(r.child, r.parent) for r in others.collect()} == {("B", "Base2")} and {(r.parent, r.implements) for r in split.collect()} == {("IThing", True), ("Base", False)}
+
+
+def test_listings_of_c_and_callers_without_a_file(spark, small):
+    from codeloom.operators import exports
+
+    elements = spark.createDataFrame([("b.c", "struct", "s", 4), ("a.h", "struct", "t", 9), ("a.py", "struct", "u", 1), ("a.h", "macro", "M", 1)], "path string, kind string, name string, line_number long")
+    assert [r.name for r in exports.listing(elements, "structs").collect()] == ["t", "s"]
+    with pytest.raises(ValueError, match="unknown"):
+        exports.listing(elements, "friends")
+    g = load(spark, small)
+    name = g.functions.join(g.calls.selectExpr("dst AS id"), "id").first()
+    assert exports.any_callers(g, name["name"], name.path).count() > 0
+    assert exports.any_callers(g, name["name"], "/nowhere.py").count() >= exports.any_callers(g, name["name"], name.path).count()
+    assert exports.full_text(g.functions.selectExpr("id", "source AS text").limit(0), "hot").count() == 0
