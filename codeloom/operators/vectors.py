@@ -1,8 +1,11 @@
 """Nearest neighbours, similarity edges and naming rules over embeddings.
 
-Searches take a stated set of queries against all rows: the queries are blocked
-into arrays that are broadcast after a check of their number, and every row is
-scored against each block in one pass, with a partial top-k a partition.
+Searches take a stated set of queries against all rows. Few queries (they are counted)
+are broadcast, and every row is scored against them in one pass, with a partial top-k
+a partition. More are dealt into blocks and the rows into chunks; each pair of a block
+and a chunk is a task of bounded size, and nothing passes through the driver. Pairs of
+alike vectors are found by blocks around pivots: the triangle inequality of angles
+leaves out pairs of blocks that can hold none.
 """
 
 from __future__ import annotations
@@ -17,16 +20,22 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..functions import vectors as v
 from ..registry import on_graph, on_tables
-from .graph import Graph, top
+from .graph import Graph, checkpoint, top
 
-#: Queries whose vectors one broadcast holds.
-BLOCK = 4096
+#: Queries whose vectors one broadcast holds, and rows of a chunk that meets a block of queries beyond that.
+BLOCK, CHUNK = 4096, 16_384
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+def vector_of(rows: DataFrame, vec_id: int) -> list[float]:
+    """The vector of an id; an empty one, to which nothing is near, where there is none."""
+    row = rows.filter(F.col("vec_id") == vec_id).select("embedding").first()
+    return list(row["embedding"]) if row else []
+
+
 def nearest(rows: DataFrame, query: list[float], k: int, key: str = "vec_id") -> DataFrame:
     """The k rows nearest to one vector, exactly."""
     target = F.array(*(F.lit(float(x)) for x in query))
@@ -40,8 +49,7 @@ _COS = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE
 @on_tables(f"SELECT vec_id, round(1 / (1 + d), 4) AS score FROM (SELECT a.vec_id, {_L2} AS d FROM embeddings a, embeddings b WHERE b.vec_id = 0) ORDER BY d, vec_id LIMIT 8")
 def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embeddings(spark, sf_dir)
-    query = rows.filter("vec_id = 0").first()["embedding"]
-    return nearest(rows, query, 8)
+    return nearest(rows, vector_of(rows, 0), 8)
 
 
 @on_tables(f"SELECT vec_id, round(1 / (1 + d), 4) AS score FROM (SELECT a.vec_id, {_L2} AS d FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.label = 2) ORDER BY d, vec_id LIMIT 8")
@@ -49,48 +57,65 @@ def knn_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only rows of an allowed set are ranked."""
     rows = embeddings(spark, sf_dir)
     allowed = rows.filter("label = 2").select("vec_id")
-    return nearest(rows.join(allowed, "vec_id", "left_semi"), rows.filter("vec_id = 0").first()["embedding"], 8)
-
-
-def search_all(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, vec_id, distance): the k nearest rows of each query, itself included. Queries go in blocks, each a bounded broadcast; a task keeps k candidates a query."""
-    spark = rows.sparkSession
-    wanted = queries.select("vec_id", "embedding").toLocalIterator(prefetchPartitions=True)
-    found = None
-    block: list = []
-
-    def against(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in block]), np.array([r["embedding"] for r in block], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, vectors = shared.value
-            best: list[list[tuple[float, int]]] = [[] for _ in ids]
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column("vec_id").to_numpy()
-                m = np.array(batch.column("embedding").to_pylist(), np.float64)
-                d = np.sqrt(np.maximum((vectors**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * vectors @ m.T, 0))
-                for q in range(len(ids)):
-                    at = np.argpartition(d[q], min(k, len(own)) - 1)[:k]
-                    best[q] = sorted(best[q] + [(float(d[q, j]), int(own[j])) for j in at])[:k]
-            out = [(int(ids[q]), i, d) for q in range(len(ids)) for d, i in best[q]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["query", "vec_id", "distance"])
-
-        return rows.select("vec_id", "embedding").mapInArrow(run, "query long, vec_id long, distance double")
-
-    for row in wanted:
-        block.append(row)
-        if len(block) == BLOCK:
-            found = against(block) if found is None else found.union(against(block))
-            block = []
-    if block or found is None:
-        found = against(block) if found is None else found.union(against(block))
+    return nearest(rows.join(allowed, "vec_id", "left_semi"), vector_of(rows, 0), 8)
+
+
+def best_of(ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, m: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(query, vec_id, distance): the k nearest of some rows for each query."""
+    d = np.sqrt(np.maximum((vectors**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * vectors @ m.T, 0))
+    out = []
+    for q in range(len(ids)):
+        edge = np.partition(d[q], min(k, len(own)) - 1)[min(k, len(own)) - 1]
+        at = np.flatnonzero(d[q] <= edge)  # with all ties of the last one
+        out += [(int(ids[q]), i, x) for x, i in sorted(zip(d[q][at].tolist(), own[at].tolist(), strict=True))[:k]]
+    return out
+
+
+FOUND = "query long, vec_id long, distance double"
+
+
+def search_all(rows: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(query, vec_id, distance, rank): the k nearest rows of each query, itself included, by id where they are as near."""
+    rows, queries = rows.select("vec_id", "embedding"), queries.select("vec_id", "embedding")
+    n = queries.count()
+    found = by_broadcast(rows, queries, k) if n <= block else by_chunks(rows, queries, k, -(-n // block), max(1, -(-rows.count() // CHUNK)))
     ranked = Window.partitionBy("query").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
 
+def by_broadcast(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    wanted = queries.collect()  # counted: a block at most
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in wanted], np.int64), np.array([r["embedding"] for r in wanted], np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = shared.value
+        best: dict[int, list[tuple[float, int]]] = {}
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                for q, i, d in best_of(ids, vectors, batch.column("vec_id").to_numpy(), np.array(batch.column("embedding").to_pylist(), np.float64), k):
+                    best.setdefault(q, []).append((d, i))
+                best = {q: sorted(x)[:k] for q, x in best.items()}
+        out = [(q, i, d) for q, x in best.items() for d, i in x]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["query", "vec_id", "distance"])
+
+    return rows.mapInArrow(run, FOUND)
+
+
+def by_chunks(rows: DataFrame, queries: DataFrame, k: int, blocks: int, chunks: int) -> DataFrame:
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def run(left, right):
+        import pandas as pd
+
+        out = best_of(left["vec_id"].to_numpy(), np.array(left["embedding"].to_list(), np.float64), right["vec_id"].to_numpy(), np.array(right["embedding"].to_list(), np.float64), k) if len(left) and len(right) else []
+        return pd.DataFrame(out, columns=["query", "vec_id", "distance"])
+
+    grid = dealt(queries, "block", blocks, "chunk", chunks).groupBy("block", "chunk")
+    return grid.cogroup(dealt(rows, "chunk", chunks, "block", blocks).groupBy("block", "chunk")).applyInPandas(run, FOUND)
+
+
 @on_tables(f"SELECT query, vec_id, CAST(rank AS INTEGER) AS rank, round(d, 4) AS distance FROM (SELECT b.vec_id AS query, a.vec_id, {_L2} AS d, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_L2}, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0) WHERE rank <= 5")
 def knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row whose id is divisible by 100 against all rows."""
@@ -98,12 +123,54 @@ def knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_all(rows, rows.filter("vec_id % 100 = 0"), 5).select("query", "vec_id", "rank", F.round("distance", 4).alias("distance"))
 
 
-def similar_pairs(rows: DataFrame, threshold: float, key: str = "vec_id") -> DataFrame:
-    """(a, b, similarity): pairs whose cosine exceeds the threshold, by blocks of unit vectors multiplied with each other. Each pair of blocks is a row of its own, so the work spreads; only pairs above the threshold come out."""
+#: Rows of a block, and the most pivots that blocks form around.
+BLOCK_ROWS, MOST_PIVOTS = 2048, 512
+
+
+def blocked(rows: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows (id, embedding, block, low, high): each vector in its block, once for each pair of blocks that can hold a pair above the threshold.
+
+    A block is the vectors nearest to one of some pivots (drawn by a hash, a bounded
+    number), cut by a hash where there are many. Of two blocks the angle between their
+    pivots, less the widest angles within both, bounds the angle of any pair.
+    """
     n = rows.count()
-    blocks = max(1, -(-n // 2048))
-    unit = rows.select(F.col(key).alias("id"), "embedding", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    dealt = unit.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "embedding", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    drawn = min(MOST_PIVOTS, -(-n // block_rows))
+    if drawn <= 1:
+        return rows.withColumn("block", F.lit(0)).withColumn("low", F.lit(0)).withColumn("high", F.lit(0))
+    pivots = rows.select(F.xxhash64("id", F.lit(3)).alias("h"), "id", "embedding").orderBy("h", "id").limit(drawn).collect()
+    centres = np.array([r["embedding"] for r in pivots], np.float64)
+    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                m = np.array(batch.column("embedding").to_pylist(), np.float64)
+                s = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) @ shared.value.T
+                pivot = s.argmax(1)
+                angle = np.arccos(np.clip(s[np.arange(len(s)), pivot], -1, 1))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.array(pivot.astype(np.int32)), pa.array(angle)], names=["id", "embedding", "pivot", "angle"])
+
+    assigned = checkpoint(rows.select("id", "embedding").mapInArrow(near, "id long, embedding array<double>, pivot int, angle double"))
+    told = assigned.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("widest")).collect()  # a row for each pivot
+    parts, widest = {r.pivot: -(-r.n // block_rows) for r in told}, {r.pivot: r.widest for r in told}
+    first, at = {}, 0
+    for pivot in sorted(parts):
+        first[pivot], at = at, at + parts[pivot]
+    between = np.arccos(np.clip(centres @ centres.T, -1, 1))
+    reach = np.arccos(min(1.0, max(-1.0, threshold))) + 1e-9
+    meets = {p: [q for q in sorted(parts) if between[p, q] - widest[p] - widest[q] <= reach] for p in parts}
+    others = [(p, first[p], parts[p], [b for q in meets[p] for b in range(first[q], first[q] + parts[q])]) for p in sorted(parts)]
+    plan = rows.sparkSession.createDataFrame(others, "pivot int, first int, parts int, others array<int>")
+    dealt = assigned.join(F.broadcast(plan), "pivot").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), "parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode("others"))
+    return dealt.select("id", "embedding", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
+def similar_pairs(rows: DataFrame, threshold: float, key: str = "vec_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, similarity): pairs whose cosine exceeds the threshold. Pairs of blocks that can hold one are multiplied, each a task of its own; only pairs above the threshold come out."""
+    dealt = blocked(rows.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")), threshold, block_rows)
 
     def pairs(batch):
         import pandas as pd

@@ -227,6 +227,32 @@ def test_search_all_is_exact(spark):
     assert {(r["query"], r.vec_id) for r in found.collect()} == want
 
 
+def test_search_by_chunks_equals_that_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CHUNK", 70)
+    rng = np.random.default_rng(2)
+    m = rng.integers(0, 3, (300, 4)).astype(float)  # with ties
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "vec_id long, embedding array<double>")
+    queries = rows.filter("vec_id % 10 = 0")
+    whole, dealt = (vectors.search_all(rows, queries, 7, block=b).collect() for b in (4096, 8))
+    assert {tuple(r) for r in whole} == {tuple(r) for r in dealt} and len(whole) == 210
+    assert vectors.search_all(rows.limit(0), queries.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("threshold", (0.95, 0.2))
+def test_pairs_around_pivots_are_all_found(spark, threshold):
+    rng = np.random.default_rng(3)
+    m = np.concatenate([rng.normal(0, 0.1, (60, 6)) + centre for centre in rng.normal(0, 1, (8, 6))])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "vec_id long, embedding array<double>")
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T > threshold, 1)))}
+    found = vectors.similar_pairs(rows, threshold, block_rows=40)
+    assert {(r.a, r.b) for r in found.collect()} == want and found.count() == len(want)
+    dealt = vectors.blocked(rows.withColumnRenamed("vec_id", "id"), threshold, 40)
+    if threshold > 0.9:  # pairs of far blocks are left out
+        blocks = dealt.select("block").distinct().count()
+        assert dealt.select("low", "high").distinct().count() < 0.7 * blocks * (blocks + 1) / 2
+
+
 def test_locks_and_lanes(spark):
     paths = spark.createDataFrame([("src/a/b.py:12",)], "path string").withColumn("path", F.concat(F.lit("/"), "path"))
     locks = spark.createDataFrame([("lane1", "/src/a"), ("lane2", "/src/a/b.py"), ("mine", "/src")], "lane string, locked string")
