@@ -1,4 +1,15 @@
-"""A training corpus from `documents`: five stages, each on all that the one before kept."""
+"""A training corpus from `documents`: five stages, each on all that the one before kept.
+
+What becomes of odd rows, stage by stage. Null, empty and blank texts: quality and
+language reject them; the later stages keep such a row, as a document of its own
+without words, and pack it as one token. Null metadata are values like others. Rows
+with one doc_id share the verdict of a stage on any of them, and deduplication keeps
+one row of them; rows without a doc_id are never rejected, for a verdict names its
+document by that id. Very long texts are read whole in every stage. Of a group of
+near duplicates the smallest doc_id stays; a probability of exactly a half is good
+quality, a share of exactly LEAST_LANGUAGE is kept. Columns of other names, clashing
+or not, are dropped. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

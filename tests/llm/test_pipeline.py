@@ -30,3 +30,50 @@ def test_repeated_rows_and_empty_tables(spark, small):
     assert once.count() == once.select("doc_id").distinct().count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), small).count() == 0
+
+
+LONG = " ".join(f"w{k % 977}" for k in range(30_000))
+GOOD = "the farmer walks to the river and the doctor sits by the window while it rains in the old town . "
+ODD = [
+    (1, None, "en", "a", None), (2, "", None, None, 0), (3, " \n ", "en", "a", 3), (4, GOOD * 3, "en", "a", 300), (4, GOOD * 3, "en", "a", 300), (5, GOOD * 3, None, "b", 300), (6, LONG, "de", None, len(LONG)),
+    (7, LONG + " end", "de", None, len(LONG) + 4), (8, "12 %% 34", "fr", "c", 8), (None, GOOD + "once more", "en", "a", 100),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("score", "kept", "component_id", "lang_pred", "item_id", "piece"):  # clashing with what operators return
+        rows = rows.withColumn(name, F.lit(1))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame([(4, 1, 0), (6, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "the farmer walks to the river and the doctor sits by the window"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def kept(rows):
+    return sorted((r.doc_id is None, r.doc_id or 0) for r in rows.collect())
+
+
+def test_odd_rows_in_each_stage(spark, odd, tables):
+    stages = dict(corpus_pipeline.STAGES)
+    found = stages["quality"](spark, odd, tables)
+    assert found.columns == corpus_pipeline.COLUMNS
+    assert not {1, 2, 3} & {d for _, d in kept(found)} and (True, 0) in kept(found) and sum(d == 4 for _, d in kept(found)) in (0, 2)
+    found = stages["language"](spark, odd, tables)
+    assert found.columns == corpus_pipeline.COLUMNS
+    assert not {1, 2, 3} & {d for _, d in kept(found)} and {(False, 4), (False, 5), (False, 6), (False, 7), (True, 0)} <= set(kept(found))
+    found = stages["deduplicate"](spark, odd, tables)
+    assert found.columns == corpus_pipeline.COLUMNS
+    assert kept(found) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 6), (False, 8), (True, 0)]
+    found = stages["decontaminate"](spark, odd, tables)
+    assert found.columns == corpus_pipeline.COLUMNS
+    assert kept(found) == [(False, 1), (False, 2), (False, 3), (False, 6), (False, 7), (False, 8), (True, 0)]
+    packed = stages["pack"](spark, odd, tables).collect()
+    assert sum(r.piece == 0 for r in packed) == len(ODD)
+    assert sum(r.length for r in packed if r.doc_id in (1, 2)) == 2
