@@ -45,7 +45,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: A band reaches so many times as far from the median as these quantiles.
 REACH, LOW, HIGH, LEAST_SPREAD = 5.0, 0.05, 0.95, 0.05
 #: Characters that a worker expands at a time; bits of a character's number in a packed n-gram; n-grams it gathers before it merges them.
-PIECE, SYMBOL_BITS, GATHERED = 1 << 16, 12, 2_000_000
+PIECE, SYMBOL_BITS, GATHERED = 1 << 18, 12, 2_000_000
 #: Entries of the arrays that may be broadcast (12 bytes each), and bytes of text in a group of documents beyond that.
 BROADCAST_ENTRIES, GROUP_BYTES = 8_000_000, 32_000_000
 
@@ -63,10 +63,11 @@ def repeated_words(words: list[bytes]) -> int:
         return 0
     ids = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
     windows = ids[:-2] * np.uint64(0x9E3779B97F4A7C15) + common.mix64(ids[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + common.mix64(ids[2:] ^ np.uint64(0x165667B19E3779F9))
-    _, inverse, counts = np.unique(windows, return_inverse=True, return_counts=True)
-    often = counts[inverse] > 1
-    if not often.any():
+    ranked = np.sort(windows)
+    twice = ranked[1:][ranked[1:] == ranked[:-1]]
+    if not len(twice):
         return 0
+    often = twice[np.minimum(np.searchsorted(twice, windows), len(twice) - 1)] == windows
     hit = np.zeros(len(words), bool)
     for k in range(3):
         hit[k : len(words) - 2 + k] |= often
@@ -240,7 +241,7 @@ def model_table(grams: DataFrame) -> DataFrame:
     rows = every.join(common.broadcast_if_small(common.checkpoint(discounts(every)), 10_000), [*MODEL_KEYS, "size"])
     rows = rows.withColumn("cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("context", F.expr("substring(gram, 1, size - 1)"))
     rows = rows.withColumn("total", F.sum("n").over(of_context)).withColumn("back", F.sum("cut").over(of_context) / F.col("total") / F.when(F.col("size") == 1, F.col("kinds") + 1).otherwise(1))
-    rows = common.checkpoint(rows.select(*MODEL_KEYS, "size", "gram", "context", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"), "back", (F.row_number().over(of_context.orderBy("gram")) == 1).alias("first")))
+    rows = common.checkpoint(rows.select(*MODEL_KEYS, "size", "gram", "context", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"), "back", (F.min("gram").over(of_context) == F.col("gram")).alias("first")))
     out = rows.filter("first").select(*MODEL_KEYS, F.col("context").alias("gram"), F.lit(True).alias("back"), F.log("back").alias("log"))
     lower = None
     for size in range(1, ORDER + 1):
@@ -325,18 +326,23 @@ class Model:
                 longer = sums[-1].copy()
                 longer[k:] += wide[: len(wide) - k] * np.uint64(FACTORS[k])
                 sums.append(longer)
-            total, left = np.zeros(len(at)), np.arange(len(at))
+            ranked = np.argsort(sums[ORDER][at])  # equal n-grams side by side: each is looked up once
+            at = at[ranked]
+            sorted_sums = sums[ORDER][at]
+            fresh = np.concatenate(([True], sorted_sums[1:] != sorted_sums[:-1]))
+            once = at[fresh]
+            total, left = np.zeros(len(once)), np.arange(len(once))
             for order in range(ORDER, 0, -1):
-                value = self.look_up(common.mix64(sums[order][at[left]] + salt(fold, lang, order, False)))
+                value = self.look_up(common.mix64(sums[order][once[left]] + salt(fold, lang, order, False)))
                 there = ~np.isnan(value)
                 total[left[there]] += value[there]
                 left = left[~there]
                 if not len(left):
                     break
                 if order > 1:
-                    total[left] += np.nan_to_num(self.look_up(common.mix64(sums[order - 1][at[left] - 1] + salt(fold, lang, order - 1, True))))
+                    total[left] += np.nan_to_num(self.look_up(common.mix64(sums[order - 1][once[left] - 1] + salt(fold, lang, order - 1, True))))
             total[left] += nothing
-            out += np.bincount(owner[at], weights=total, minlength=len(texts))
+            out += np.bincount(owner[at], weights=total[np.cumsum(fresh) - 1], minlength=len(texts))
         return out
 
 
