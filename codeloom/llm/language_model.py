@@ -52,7 +52,7 @@ DISCOUNT, LEAST_COUNT = 0.75, 2
 #: Keys of the marks of a text; steps of a quantised probability in an octave.
 START, END, STEPS = np.uint64(1), np.uint64(2), 8
 #: Tokens for each shard; tokens that a task sorts at a time; bytes of a model that may be broadcast.
-SHARD_TOKENS, GATHERED, BROADCAST_BYTES = 4_000_000, 4_000_000, 256_000_000
+SHARD_TOKENS, GATHERED, BROADCAST_BYTES = 4_000_000, 2_500_000, 256_000_000
 U = np.uint64
 
 
@@ -253,8 +253,10 @@ def open_tries(rows: list[dict]) -> dict[int, Trie]:
 
 
 def collected(table: DataFrame) -> list[dict]:
-    """The rows of a table whose size was checked."""
-    return [row.asDict() for row in table.collect()]
+    """The rows of a table whose size was checked, a few at a time: the driver's heap never holds them all."""
+    rows = [row.asDict() for row in table.coalesce(16).toLocalIterator()]
+    common.release()
+    return rows
 
 
 def bytes_of(table: DataFrame) -> int:
