@@ -11,6 +11,7 @@ leaves out pairs of blocks that can hold none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -210,45 +211,85 @@ def centroid_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("vec_id", "label", F.round(v.cosine(F.col("embedding"), F.col("centroid")), 4).alias("similarity"))
 
 
+@dataclass(frozen=True)
+class Named:
+    """Vectors of what functions do and of what things are called."""
+
+    functions: DataFrame  # id, behaviour, naming; name, path where the functions have them
+    files: DataFrame  # path, naming
+
+
+def at_least(threshold: float) -> float:
+    """The largest number below a threshold: more than it is the threshold at least."""
+    return float(np.nextafter(threshold, -np.inf))
+
+
+def misleading_name(rows: DataFrame, warn: float = 0.15) -> DataFrame:
+    """(id, metric): functions whose name is less like what they do than warn. rows: id, behaviour, naming."""
+    return rows.withColumn("metric", v.cosine(F.col("behaviour"), F.col("naming"))).filter(F.col("metric") < warn).select("id", "metric")
+
+
+def inconsistent_naming(rows: DataFrame, behaviour_similarity: float = 0.85, name_dissimilarity: float = 0.5) -> DataFrame:
+    """(a, b, metric): pairs that behave alike, at least so much, and whose names are less alike than name_dissimilarity."""
+    alike = similar_pairs(rows.select("id", F.col("behaviour").alias("embedding")), at_least(behaviour_similarity), "id")
+    left = rows.select(F.col("id").alias("a"), F.col("naming").alias("x"))
+    right = rows.select(F.col("id").alias("b"), F.col("naming").alias("y"))
+    both = alike.join(left, "a").join(right, "b").withColumn("metric", v.cosine(F.col("x"), F.col("y")))
+    return both.filter(F.col("metric") < name_dissimilarity).select("a", "b", "metric")
+
+
+def module_mismatch(rows: DataFrame, files: DataFrame, warn: float = 0.3) -> DataFrame:
+    """(path, metric): files whose name is less like the mean of what their functions do than warn."""
+    means = centroids(rows.select("path", F.col("behaviour").alias("embedding")), "path")
+    both = files.join(means, "path").withColumn("metric", v.cosine(F.col("naming"), F.col("centroid")))
+    return both.filter(F.col("metric") < warn).select("path", "metric")
+
+
+def better_name(rows: DataFrame, self_low: float = 0.4, exemplar_high: float = 0.7, behaviour: float = 0.5, max_exemplars: int = 3) -> DataFrame:
+    """(id, exemplars, metric): for badly named functions the well named ones that behave most alike, each an id."""
+    own = rows.select("id", v.cosine(F.col("behaviour"), F.col("naming")).alias("own"))
+    pairs = similar_pairs(rows.select("id", F.col("behaviour").alias("embedding")), behaviour, "id")
+    both = pairs.union(pairs.select("b", "a", "similarity"))
+    bad = own.filter(F.col("own") < self_low).select(F.col("id").alias("a"), "own")
+    good = own.filter(F.col("own") > exemplar_high).select(F.col("id").alias("b"))
+    best = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
+    ranked = both.join(bad, "a").join(good, "b", "left_semi").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max_exemplars)
+    exemplars = F.transform(F.sort_array(F.collect_list(F.struct("rank", "b"))), lambda x: x["b"])
+    return ranked.groupBy(F.col("a").alias("id")).agg(exemplars.alias("exemplars"), F.first("own").alias("metric"))
+
+
 def with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, behaviour, naming): the vector of a function and that of its name, here the next row's."""
+    """(id, behaviour, naming): the vector of a function and that of its name, here the next row's."""
     rows = embeddings(spark, sf_dir)
     n = F.broadcast(rows.agg(F.count("*").alias("n")))
     names = rows.join(n, F.lit(True)).select(((F.col("vec_id") + F.col("n") - 1) % F.col("n")).alias("vec_id"), F.col("embedding").alias("naming"))
-    return rows.select("vec_id", F.col("embedding").alias("behaviour")).join(names, "vec_id")
+    return rows.select("vec_id", F.col("embedding").alias("behaviour")).join(names, "vec_id").withColumnRenamed("vec_id", "id")
 
 
 _NAMES = "e AS (SELECT a.vec_id, a.embedding AS behaviour, b.embedding AS naming FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM embeddings))"
+_UNIT = "list_transform({x}, lambda y: y::DOUBLE / sqrt(list_sum(list_transform({x}, lambda z: z::DOUBLE * z::DOUBLE))))"
+#: Unit vectors, so that a pair's cosine is one product.
+_UNITS = f"{_NAMES}, u AS MATERIALIZED (SELECT vec_id, {_UNIT.format(x='behaviour')} AS behaviour, {_UNIT.format(x='naming')} AS naming FROM e)"
 
 
 @on_tables(f"WITH {_NAMES} SELECT vec_id, round(s, 4) AS similarity FROM (SELECT vec_id, {_COS.format(a='behaviour', b='naming')} AS s FROM e) WHERE s < -0.1")
 def rule_misleading_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = v.cosine(F.col("behaviour"), F.col("naming"))
-    return with_names(spark, sf_dir).select("vec_id", s.alias("s")).filter("s < -0.1").select("vec_id", F.round("s", 4).alias("similarity"))
+    return misleading_name(with_names(spark, sf_dir), -0.1).select(F.col("id").alias("vec_id"), F.round("metric", 4).alias("similarity"))
 
 
-@on_tables(f"WITH {_NAMES} SELECT a, b FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_COS.format(a='a.behaviour', b='b.behaviour')} AS beh, {_COS.format(a='a.naming', b='b.naming')} AS nam FROM e a JOIN e b ON a.vec_id < b.vec_id) WHERE beh > 0.3 AND nam < 0.0")
+@on_tables(f"WITH {_UNITS} SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_inner_product(a.behaviour, b.behaviour) >= 0.3 AND list_inner_product(a.naming, b.naming) < 0.0")
 def rule_inconsistent_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that behave alike and are named apart."""
-    rows = with_names(spark, sf_dir)
-    alike = similar_pairs(rows.select("vec_id", F.col("behaviour").alias("embedding")), 0.3)
-    left = rows.select(F.col("vec_id").alias("a"), F.col("naming").alias("x"))
-    right = rows.select(F.col("vec_id").alias("b"), F.col("naming").alias("y"))
-    return alike.join(left, "a").join(right, "b").filter(v.cosine(F.col("x"), F.col("y")) < 0.0).select("a", "b")
+    return inconsistent_naming(with_names(spark, sf_dir), 0.3, 0.0).select("a", "b")
 
 
-@on_tables(f"""WITH {_NAMES}, s AS (SELECT *, {_COS.format(a='behaviour', b='naming')} AS own FROM e)
-SELECT vec_id, string_agg(other, ',' ORDER BY rank) AS exemplars FROM (SELECT a.vec_id, b.vec_id AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS.format(a='a.behaviour', b='b.behaviour')} DESC, b.vec_id) AS rank FROM s a JOIN s b ON a.own < 0.0 AND b.own > 0.1 WHERE {_COS.format(a='a.behaviour', b='b.behaviour')} > 0.2) WHERE rank <= 3 GROUP BY vec_id""")
+@on_tables(f"""WITH {_UNITS}, s AS (SELECT *, list_inner_product(behaviour, naming) AS own FROM u),
+p AS (SELECT a.vec_id, b.vec_id AS other, list_inner_product(a.behaviour, b.behaviour) AS x FROM s a JOIN s b ON a.own < 0.0 AND b.own > 0.1)
+SELECT vec_id, string_agg(other, ',' ORDER BY rank) AS exemplars FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, other) AS rank FROM p WHERE x > 0.2) WHERE rank <= 3 GROUP BY vec_id""")
 def rule_better_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For badly named rows the three well named ones that behave most alike."""
-    rows = with_names(spark, sf_dir)
-    own = rows.select("vec_id", v.cosine(F.col("behaviour"), F.col("naming")).alias("own"))
-    pairs = similar_pairs(rows.select("vec_id", F.col("behaviour").alias("embedding")), 0.2)
-    both = pairs.union(pairs.select("b", "a", "similarity"))
-    bad, good = own.filter("own < 0.0").select(F.col("vec_id").alias("a")), own.filter("own > 0.1").select(F.col("vec_id").alias("b"))
-    best = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    ranked = both.join(bad, "a", "left_semi").join(good, "b", "left_semi").withColumn("rank", F.row_number().over(best)).filter("rank <= 3")
-    return ranked.groupBy(F.col("a").alias("vec_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "b"))), lambda x: x["b"].cast("string")), ",").alias("exemplars"))
+    found = better_name(with_names(spark, sf_dir), 0.0, 0.1, 0.2)
+    return found.select(F.col("id").alias("vec_id"), F.array_join(F.transform("exemplars", lambda x: x.cast("string")), ",").alias("exemplars"))
 
 
 @on_tables(f"WITH {_CENTROID} SELECT vec_id FROM embeddings e JOIN c USING (label) WHERE {_COS.format(a='embedding', b='centroid')} < 0.1")

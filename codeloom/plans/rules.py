@@ -12,13 +12,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators.graph import Graph, checkpoint, top, within
+from ..operators import vectors
+from ..operators.graph import Graph, checkpoint, load, top, within
 from ..operators.traversal import inheritance_depth
-from ..registry import on_graph
+from ..registry import on_graph, on_tables
 
 TEST_PREFIX = "/tests/"
 
@@ -289,15 +290,39 @@ class Rule:
         return Rule(data["id"], build, data.get("severity", "warn"), data.get("category", ""), dict(data.get("thresholds", {})), bool(data.get("exemptions")), bool(data.get("library_exempt")), data.get("suggestion", ""))
 
 
-def _by_name(name: str) -> Callable[..., DataFrame]:
-    """A rule over embeddings; those are read only when an audit passes them."""
+def misleading_name(g: Graph, named: vectors.Named, **thresholds: float) -> DataFrame:
+    return vectors.misleading_name(named.functions, **thresholds)
 
-    def build(g: Graph, embeddings: DataFrame | None = None, **thresholds: float) -> DataFrame | None:
-        from ..operators import vectors  # registers its own queries; rules do not need it otherwise
 
-        return None if embeddings is None else getattr(vectors, name)(embeddings, **thresholds)
+def inconsistent_naming(g: Graph, named: vectors.Named, **thresholds: float) -> DataFrame:
+    """A row for each pair, at its first function; the metric names the second."""
+    pairs = vectors.inconsistent_naming(named.functions, **thresholds)
+    other = g.functions.select(F.col("id").alias("b"), F.col("name").alias("other"))
+    return pairs.join(other, "b", "left").select(F.col("a").alias("id"), F.concat_ws(" ", F.round("metric", 4), "other").alias("metric"))
 
-    return build
+
+def module_content_mismatch(g: Graph, named: vectors.Named, **thresholds: float) -> DataFrame:
+    functions = named.functions.select("id", "behaviour").join(g.functions.select("id", "path"), "id")
+    return vectors.module_mismatch(functions, named.files, **thresholds)
+
+
+def suggest_better_name(g: Graph, named: vectors.Named, **thresholds: float) -> DataFrame:
+    found = vectors.better_name(named.functions, **thresholds).withColumn("at", F.explode("exemplars"))
+    names = found.join(g.functions.select(F.col("id").alias("at"), F.col("name").alias("like")), "at", "left")
+    return names.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("like")), ", ").alias("metric"))
+
+
+def named_vectors(g: Graph, provider=None) -> vectors.Named:  # noqa: ANN001
+    """The vectors that naming rules read: what functions do, what they and their files are called."""
+    from ..operators import hybrid
+
+    provider = provider or hybrid.hashing_provider
+    does = hybrid.embedded(g.functions, hybrid.behaviour_text(), provider).withColumnRenamed("embedding", "behaviour")
+    called = hybrid.embedded(g.functions, fn.humanised(F.col("name")), provider).withColumnRenamed("embedding", "naming")
+    paths = g.functions.select("path").distinct().withColumn("id", F.xxhash64("path"))
+    files = hybrid.embedded(paths, fn.humanised(fn.stem(F.col("path"))), provider).withColumnRenamed("embedding", "naming")
+    functions = does.join(called, "id").filter("behaviour is not null and naming is not null")
+    return vectors.Named(checkpoint(functions), checkpoint(files.filter("naming is not null").join(paths, "id").select("path", "naming")))
 
 
 RULES = {
@@ -327,10 +352,10 @@ RULES = {
         Rule("admin_action_no_audit_trail", admin_action_no_audit_trail, "hard", "compliance", suggestion="{{name}} calls {{metric_value}} and leaves no trail."),
         Rule("error_handler_leaks_internals", error_handler_leaks_internals, "warn", "compliance", suggestion="{{name}} may leak through {{metric_value}}."),
         Rule("separation_of_duties", separation_of_duties, "warn", "compliance", suggestion="{{path}} mixes infrastructure and business."),
-        Rule("misleading_name", _by_name("misleading_name"), "warn", "naming", {}, True),
-        Rule("inconsistent_naming", _by_name("inconsistent_naming"), "warn", "naming", {}, True),
-        Rule("module_content_mismatch", _by_name("module_mismatch"), "warn", "naming", {}, True),
-        Rule("suggest_better_name", _by_name("better_name"), "warn", "naming", {}, True),
+        Rule("misleading_name", misleading_name, "warn", "naming", {"warn": 0.15}, True, suggestion="{{name}} does not say what it does."),
+        Rule("inconsistent_naming", inconsistent_naming, "warn", "naming", {"behaviour_similarity": 0.85, "name_dissimilarity": 0.5}, True, suggestion="{{name}} does what another does by another name: {{metric_value}}."),
+        Rule("module_content_mismatch", module_content_mismatch, "warn", "naming", {"warn": 0.3}, True, suggestion="{{path}} holds something else than its name says."),
+        Rule("suggest_better_name", suggest_better_name, "warn", "naming", {"self_low": 0.4, "exemplar_high": 0.7, "max_exemplars": 3}, True, suggestion="Name {{name}} like {{metric_value}}."),
     )
 }
 
@@ -382,15 +407,15 @@ def spared(g: Graph, rows: DataFrame, settings: Settings) -> DataFrame:
     return rows.join(exempt, "id", "left_anti")
 
 
-def findings(g: Graph, settings: Settings = Settings(), scope: tuple[str, ...] = (), embeddings: DataFrame | None = None, rules: dict[str, Rule] | None = None) -> DataFrame:
+def findings(g: Graph, settings: Settings = Settings(), scope: tuple[str, ...] = (), embeddings: vectors.Named | None = None, rules: dict[str, Rule] | None = None) -> DataFrame:
     """(rule, severity, category, name, path, metric, suggestion): the offenders of all selected rules, within some files or folders if given."""
-    g = replace(g, calls=checkpoint(g.calls))  # read by most rules
+    read = ("functions", "classes", "calls", "imports", "class_calls", "methods", "inherits")  # by many rules each
+    g = replace(g, **{name: checkpoint(getattr(g, name)) for name in read})
     out = None
     for rule in selected(settings, rules):
-        by_names = rule.category == "naming"
-        rows = rule.build(g, **rule.thresholds, **({"embeddings": embeddings} if by_names else {}))
-        if rows is None:
+        if rule.category == "naming" and embeddings is None:
             continue
+        rows = rule.build(g, *([embeddings] if rule.category == "naming" else []), **rule.thresholds)
         if rule.id == "circular_imports":
             rows = rows.withColumn("path", F.col("file_a")).withColumn("metric", F.col("file_b"))
         if "path" not in rows.columns and "id" in rows.columns:
@@ -411,7 +436,7 @@ def findings(g: Graph, settings: Settings = Settings(), scope: tuple[str, ...] =
     return out
 
 
-def audit(g: Graph, settings: Settings = Settings(), scope: tuple[str, ...] = (), embeddings: DataFrame | None = None, rules: dict[str, Rule] | None = None) -> DataFrame:
+def audit(g: Graph, settings: Settings = Settings(), scope: tuple[str, ...] = (), embeddings: vectors.Named | None = None, rules: dict[str, Rule] | None = None) -> DataFrame:
     """(rule, severity, offenders): counts of each rule that was run. Rules without offenders count 0."""
     chosen = [r for r in selected(settings, rules) if r.category != "naming" or embeddings is not None]
     every = g.functions.sparkSession.createDataFrame([(r.id, r.severity) for r in chosen], "rule string, severity string")
@@ -619,3 +644,30 @@ def audit_calibration(g: Graph) -> DataFrame:
 def audit_scope(g: Graph) -> DataFrame:
     rows = cyclomatic_complexity(g).filter(fn.in_scope(F.col("path"), "brand_13"))
     return top(rows.select("id", "name", "path", "metric"), 20, F.desc("metric"), "id")
+
+
+#: Thresholds at which the warehouse's vectors have offenders.
+NAMING = {"misleading_name": {"warn": -0.1}, "inconsistent_naming": {"behaviour_similarity": 0.3, "name_dissimilarity": 0.0}, "module_content_mismatch": {"warn": 0.0}, "suggest_better_name": {"self_low": 0.0, "exemplar_high": 0.1, "behaviour": 0.2}}
+
+
+def warehouse_vectors(spark: SparkSession, sf_dir: str, g: Graph) -> vectors.Named:
+    """Vectors by the ids of functions; a file's name has the vector of its first function's."""
+    rows = vectors.with_names(spark, sf_dir)
+    files = g.functions.join(rows, "id").groupBy("path").agg(F.min_by("naming", "id").alias("naming"))
+    return vectors.Named(rows, files)
+
+
+_NAMED = f"""{vectors._UNITS}, f AS (SELECT p_partkey AS id, '/src/' || lower(replace(p_brand, '#', '_')) || '/' || lower(p_type) || '.py' AS path FROM part), n AS (SELECT u.*, path FROM u JOIN f ON f.id = u.vec_id),
+m AS (SELECT path, arg_min(naming, vec_id) AS naming FROM n GROUP BY path),
+c AS (SELECT path, list(x ORDER BY i) AS mean FROM (SELECT path, i, avg(v) AS x FROM (SELECT path, unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings e JOIN f ON f.id = e.vec_id) GROUP BY path, i) GROUP BY path),
+s AS (SELECT *, list_inner_product(behaviour, naming) AS own FROM u)"""
+
+
+@on_tables(f"""WITH {_NAMED} SELECT 'misleading_name' AS rule, 'warn' AS severity, count(*) AS offenders FROM s JOIN f ON f.id = s.vec_id WHERE own < -0.1
+UNION ALL SELECT 'inconsistent_naming', 'warn', count(*) FROM u a JOIN u b ON a.vec_id < b.vec_id JOIN f ON f.id = a.vec_id WHERE list_inner_product(a.behaviour, b.behaviour) >= 0.3 AND list_inner_product(a.naming, b.naming) < 0.0
+UNION ALL SELECT 'module_content_mismatch', 'warn', count(*) FROM m JOIN c USING (path) WHERE list_cosine_similarity(naming, mean) < 0.0
+UNION ALL SELECT 'suggest_better_name', 'warn', count(DISTINCT a.vec_id) FROM s a JOIN s b ON a.own < 0.0 AND b.own > 0.1 AND list_inner_product(a.behaviour, b.behaviour) > 0.2 JOIN f ON f.id = a.vec_id""")
+def audit_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The naming rules through the registry, as any audit that is given vectors runs them."""
+    g = load(spark, sf_dir)
+    return audit(g, Settings(categories=("naming",), thresholds=NAMING, exempt_paths=(), exempt_decorators=()), embeddings=warehouse_vectors(spark, sf_dir, g))

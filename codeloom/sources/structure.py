@@ -27,7 +27,7 @@ from ..registry import on_tables
 WORD = r"[\p{L}_$][\p{L}\p{N}_$]*"
 OPERATORS = r"::|->|=>|===|!==|==|!=|<=|>=|&&|\|\||\?\?|\?\.|\?:|\+\+|--|\+=|-=|\*=|/=|:="
 TEXT = r'"(?:[^"\\]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\''
-TRIPLE = r'"""[\s\S]*?"""'
+TRIPLE = r'"""[\s\S]*?(?:"""|\z)'
 SLASHES = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\z)"
 
 
