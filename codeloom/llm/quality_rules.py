@@ -13,12 +13,14 @@ most `broadcast` entries. Beyond that, documents are dealt into groups of bounde
 size, each asks the tables by a join for the n-grams it has, and is scored with
 the answers: the same numbers, by another way.
 
-Two bands for each language, from quantiles of all its documents that pass the
-counting rules, reject documents of too low or too high a perplexity. So near the
-median as LEAST_SPREAD says every document is kept.
+Two bands for each language reject documents of too low or too high a perplexity. They
+are set from the documents of least perplexity alone, the quarter and the twentieth of
+those that pass the counting rules: junk has a high perplexity, so up to about two
+thirds of a language may be junk before it moves them. A spread of less than
+LEAST_SPREAD counts as that.
 
 Null texts count as empty: no words, so the rules reject them. A null language is
-a language of its own; where the other fold has no text of it, the perplexity is
+that of the empty name; where the other fold has no text of it, the perplexity is
 null and the counting rules decide. Repeated rows are scored alike and all kept;
 ties at a band's edge are inside. Very long texts are read in pieces. Other columns
 of the input are ignored. An empty table gives an empty result.
@@ -42,8 +44,8 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A band reaches so many times as far from the median as these quantiles.
-REACH, LOW, HIGH, LEAST_SPREAD = 5.0, 0.05, 0.95, 0.05
+#: The bands lie so many times the distance from LOW to MIDDLE above and below MIDDLE.
+REACH, REACH_DOWN, LOW, MIDDLE, LEAST_SPREAD = 7.5, 5.0, 0.05, 0.25, 0.05
 #: Characters that a worker expands at a time; bits of a character's number in a packed n-gram; n-grams it gathers before it merges them.
 PIECE, SYMBOL_BITS, GATHERED = 1 << 18, 12, 2_000_000
 #: Entries of the arrays that may be broadcast (12 bytes each), and bytes of text in a group of documents beyond that.
@@ -440,11 +442,11 @@ def quality_rules(docs: DataFrame, reach: float = REACH, broadcast: int = BROADC
     bands = (
         scored.filter(~F.col("base_failed"))
         .groupBy("language")
-        .agg(F.percentile_approx("log_perplexity", F.array(F.lit(LOW), F.lit(0.5), F.lit(HIGH)), F.lit(10000)).alias("q"))
+        .agg(F.percentile_approx("log_perplexity", F.array(F.lit(LOW), F.lit(MIDDLE)), F.lit(10000)).alias("q"))
         .select(
             "language",
-            (F.col("q")[1] - reach * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))).alias("lower"),
-            (F.col("q")[1] + reach * F.greatest(F.col("q")[2] - F.col("q")[1], F.lit(LEAST_SPREAD))).alias("upper"),
+            (F.col("q")[1] - REACH_DOWN * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))).alias("lower"),
+            (F.col("q")[1] + reach * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))).alias("upper"),
         )
     )
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))

@@ -818,6 +818,23 @@ def test_bands_reject_junk_and_keep_clean_texts(spark):
     assert all(joined[k].kept == r.kept and joined[k].perplexity == pytest.approx(r.perplexity, rel=1e-6) for k, r in found.items())
 
 
+@pytest.mark.parametrize("percent", [5, 40])
+def test_bands_hold_however_much_junk_there_is(spark, percent):
+    """At least 95 % of scrambled texts are rejected and 99 % of others kept, of each of two languages."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang in ('en', 'fr') and length(text) < 20000").select("doc_id", "text", "lang").collect()
+    rng = random.Random(percent)
+
+    def scrambled(text, share):
+        return " ".join("".join(rng.sample(w, len(w))) if rng.random() < share else w for w in (text or "").split())
+
+    every = [("clean", r) for r in docs] + [("junk", r) for r in docs if r.doc_id % 100 < percent]
+    rows = [(k, r.text if kind == "clean" else scrambled(r.text, 1 if k % 2 else 0.6), r.lang) for k, (kind, r) in enumerate(every)]
+    found = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("not base_failed").collect()
+    for lang in ("en", "fr"):
+        kept = {kind: [r.kept for r in found if every[r.doc_id][0] == kind and every[r.doc_id][1].lang == lang] for kind in ("clean", "junk")}
+        assert (sum(kept["junk"]) <= 0.05 * len(kept["junk"]) and sum(kept["clean"]) >= 0.99 * len(kept["clean"])), (lang, sum(kept["junk"]), len(kept["junk"]), sum(kept["clean"]), len(kept["clean"]))
+
+
 def test_too_predictable_texts_are_rejected(spark):
     rng = random.Random(4)
     rows = [(k, " ".join(prose(rng, 100)), "en") for k in range(200)]
