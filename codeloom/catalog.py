@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ("operators.search", "operators.traversal", "plans.rules", "plans.commands", "operators.vectors", "operators.topology", "streaming.maintenance", "sources.discovery", "sources.python_code", "sources.resolution", "sources.layout", "operators.hybrid", "operators.exports", "sources.scip", "sources.changes", "sources.structure", "streaming.live")
+MODULES = ("operators.search", "operators.traversal", "plans.rules", "plans.commands", "operators.vectors", "operators.vector_index", "operators.topology", "streaming.maintenance", "sources.discovery", "sources.python_code", "sources.resolution", "sources.layout", "operators.hybrid", "operators.exports", "sources.scip", "sources.changes", "sources.structure", "streaming.live")
 
 
 def _load() -> None:
