@@ -42,7 +42,7 @@ def resolve_calls(elements: DataFrame, symbols: DataFrame, skip_external: bool =
     first file that defines the receiver's type (`receiver_type`, where a parser infers
     one); the only file that defines the name; the only one that defines an import's
     full name, or the first whose path holds it; of several, the first whose path holds
-    an imported name; the first. Calls of a builtin's name are dropped, whatever they
+    an import's full name, with a slash for each dot; the first. Calls of a builtin's name are dropped, whatever they
     are called on. symbols: (symbol, paths), and of one language group if it has `lang`.
     """
     calls = elements.filter("kind = 'call'").filter(~F.col("name").isin(*dir(builtins)))
@@ -56,7 +56,7 @@ def resolve_calls(elements: DataFrame, symbols: DataFrame, skip_external: bool =
     calls = calls.withColumn("own", base.isin(*SELF) & F.col("full_name").contains(".") & ~chained)
     local = elements.filter("kind in ('function', 'class')").select("path", F.col("name").alias("lookup")).distinct().withColumn("local", F.lit(True))
     imported = elements.filter("kind = 'import'").groupBy("path", F.coalesce("alias", F.element_at(F.split("full_name", r"\."), -1)).alias("lookup")).agg(F.min("full_name").alias("import_name"))
-    names = elements.filter("kind = 'import'").groupBy("path").agg(F.collect_set(F.element_at(F.split("full_name", r"\."), -1)).alias("imports"))
+    names = elements.filter("kind = 'import'").groupBy("path").agg(F.collect_set(F.replace("full_name", F.lit("."), F.lit("/"))).alias("imports"))
     rows = calls.join(local, ["path", "lookup"], "left").join(local.withColumnRenamed("lookup", "name").withColumnRenamed("local", "called_local"), ["path", "name"], "left").join(imported, ["path", "lookup"], "left").join(names, "path", "left")
     rows = rows.join(symbols.withColumnRenamed("symbol", "lookup").withColumnRenamed("paths", "found"), "lookup", "left").join(symbols.withColumnRenamed("symbol", "name").withColumnRenamed("paths", "called"), "name", "left")
     rows = rows.join(symbols.withColumnRenamed("symbol", "receiver_type").withColumnRenamed("paths", "typed"), "receiver_type", "left").join(symbols.withColumnRenamed("symbol", "import_name").withColumnRenamed("paths", "direct"), "import_name", "left")
