@@ -283,3 +283,11 @@ def test_places_are_those_of_one_sort(spark):
     want = sorted(((k * 7919) % 101, k) for k in range(1000))
     order = [k for _, k in sorted(want, key=lambda x: (-x[0], x[1]))]
     assert [r.id for r in sorted(found, key=lambda r: r.place)] == order
+
+
+@pytest.mark.parametrize(("query", "sql"), [(filter_audit.op11_filter_audit, filter_audit.OP11_SQL), (resampling.op13_importance_resampling, resampling.OP13_SQL)])
+def test_queries_give_the_rows_of_sql(query, sql, spark, duck, small):
+    df = query(spark, small)
+    columns = sorted(df.columns)
+    found = sorted(map(str, (tuple(r) for r in df.select(*columns).collect())))
+    assert found == sorted(map(str, duck.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()))
