@@ -652,19 +652,19 @@ NAMING = {"misleading_name": {"warn": -0.1}, "inconsistent_naming": {"behaviour_
 
 def warehouse_vectors(spark: SparkSession, sf_dir: str, g: Graph) -> vectors.Named:
     """Vectors by the ids of functions; a file's name has the vector of its first function's."""
-    rows = vectors.with_names(spark, sf_dir)
+    rows = vectors.with_names(spark, sf_dir).join(g.functions.select("id"), "id", "left_semi")
     files = g.functions.join(rows, "id").groupBy("path").agg(F.min_by("naming", "id").alias("naming"))
     return vectors.Named(rows, files)
 
 
-_NAMED = f"""{vectors._UNITS}, f AS (SELECT p_partkey AS id, '/src/' || lower(replace(p_brand, '#', '_')) || '/' || lower(p_type) || '.py' AS path FROM part), n AS (SELECT u.*, path FROM u JOIN f ON f.id = u.vec_id),
+_NAMED = f"""{vectors._UNITS}, f AS (SELECT p_partkey AS id, '/src/' || lower(replace(p_brand, '#', '_')) || '/' || lower(p_type) || '.py' AS path FROM part), k AS (SELECT * FROM u WHERE vec_id IN (SELECT id FROM f)), n AS (SELECT k.*, path FROM k JOIN f ON f.id = k.vec_id),
 m AS (SELECT path, arg_min(naming, vec_id) AS naming FROM n GROUP BY path),
 c AS (SELECT path, list(x ORDER BY i) AS mean FROM (SELECT path, i, avg(v) AS x FROM (SELECT path, unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings e JOIN f ON f.id = e.vec_id) GROUP BY path, i) GROUP BY path),
-s AS (SELECT *, list_inner_product(behaviour, naming) AS own FROM u)"""
+s AS (SELECT *, list_inner_product(behaviour, naming) AS own FROM k)"""
 
 
 @on_tables(f"""WITH {_NAMED} SELECT 'misleading_name' AS rule, 'warn' AS severity, count(*) AS offenders FROM s JOIN f ON f.id = s.vec_id WHERE own < -0.1
-UNION ALL SELECT 'inconsistent_naming', 'warn', count(*) FROM u a JOIN u b ON a.vec_id < b.vec_id JOIN f ON f.id = a.vec_id WHERE list_inner_product(a.behaviour, b.behaviour) >= 0.3 AND list_inner_product(a.naming, b.naming) < 0.0
+UNION ALL SELECT 'inconsistent_naming', 'warn', count(*) FROM k a JOIN k b ON a.vec_id < b.vec_id WHERE list_inner_product(a.behaviour, b.behaviour) >= 0.3 AND list_inner_product(a.naming, b.naming) < 0.0
 UNION ALL SELECT 'module_content_mismatch', 'warn', count(*) FROM m JOIN c USING (path) WHERE list_cosine_similarity(naming, mean) < 0.0
 UNION ALL SELECT 'suggest_better_name', 'warn', count(DISTINCT a.vec_id) FROM s a JOIN s b ON a.own < 0.0 AND b.own > 0.1 AND list_inner_product(a.behaviour, b.behaviour) > 0.2 JOIN f ON f.id = a.vec_id""")
 def audit_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
