@@ -15,7 +15,7 @@ quality is under a half.
 Null and empty texts are rejected with score 0. Null metadata are values of their
 own. Labels of repeated or clashing rows count by their mean; without labels of
 both classes every document with text is kept with score 1. Repeated rows are
-each scored; other columns pass by; an empty table gives an empty result. Very long
+each scored; of labelled rows with one doc_id one, by a hash, is learned from; other columns pass by; an empty table gives an empty result. Very long
 texts are read whole; a probability of exactly a half is good quality.
 """
 
@@ -28,6 +28,7 @@ from operator import eq
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,8 @@ LABELLED = 6000
 ROUNDS, SURE, EACH_ROUND = 5, 0.95, 200
 THRESHOLD = 0.5
 RIDGE = 1.0
+#: Rows of sums, one a task, that are added up at a time: in a task of the next level, at last on the driver.
+FAN_IN = 64
 SYMBOLS, UPPER, LOWER, DIGITS, PUNCTUATION = (np.array([chr(b) in s for b in range(256)]) for s in ("#*$%&|<>@^~_=+{}[]\\/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".,;:!?'\"()-"))
 META_BUCKETS = 64
 #: Bits of a word's hash, and labelled documents that a word must stand in to say something.
@@ -60,13 +63,6 @@ class WordOdds:
     n: np.ndarray  # documents of label 0 and 1
     counts: np.ndarray  # (words, 2)
 
-    @classmethod
-    def of(cls, words: list[np.ndarray], y: np.ndarray) -> WordOdds:
-        counts = np.zeros((1 << WORD_BITS, 2), np.int32)
-        for h, label in zip(words, y.astype(int).tolist(), strict=True):
-            counts[h, label] += 1
-        return cls(np.bincount(y.astype(int), minlength=2), counts)
-
     def say(self, h: np.ndarray, but: int | None = None) -> float:
         """The mean log odds of words, without the counts of the document itself if it is one of label `but`."""
         if not len(h):
@@ -247,33 +243,84 @@ def view_batches(batches: Iterator[pa.RecordBatch], words: WordOdds | None) -> I
 VIEWS = "doc_id long, text_view array<double>, meta_view array<int>"
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    truth = labels.filter("quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
+def named(m: np.ndarray) -> pa.Array:
+    return pa.array([np.flatnonzero(row).astype(np.int32) for row in m], pa.list_(pa.int32()))
+
+
+def labelled_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, every, text, meta in view_batches(batches, None):
+        hashes = pa.array([word_hashes(x).astype(np.int32) for x in every], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), batch.column("draw"), pa.array(list(text)), named(meta), hashes], names=["doc_id", "quality", "draw", "text_view", "meta_view", "words"])
+
+
+def labelled_sample(rows: DataFrame, truth: DataFrame) -> tuple[pd.DataFrame, WordOdds] | None:
+    """Views of about LABELLED labelled documents, in the order of their ids, and what their words say.
+
+    Words are counted in Spark, by hash; a document comes to the driver as its views.
+    """
     n = truth.count()
     drawn = truth.filter(common.hash_share("doc_id", 7) < LABELLED / max(n, LABELLED))
-    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").filter("text is not null")
+    taken = rows.withColumn("draw", F.xxhash64("text", "source", "lang", "n_chars")).join(common.broadcast_if_small(drawn), "doc_id")
+    views = taken.mapInArrow(labelled_views, "doc_id long, quality int, draw long, text_view array<double>, meta_view array<int>, words array<int>")
+    one = F.min_by(F.struct("quality", "text_view", "meta_view", "words"), "draw").alias("one")
+    sample = common.checkpoint(views.groupBy("doc_id").agg(one).select("doc_id", "one.*"))
+    counted = sample.select("quality", F.explode("words").alias("word")).groupBy("word", "quality").count().toPandas()  # at most two rows a hash of WORD_BITS
+    counts = np.zeros((1 << WORD_BITS, 2), np.int32)
+    counts[counted["word"], counted["quality"]] = counted["count"]
+    sizes = {r.quality: r["count"] for r in sample.groupBy("quality").count().collect()}  # two rows
+    if not sizes:
+        return None
+    words = WordOdds(np.array([sizes.get(0, 0), sizes.get(1, 0)]), counts)
+    shared = sample.sparkSession.sparkContext.broadcast(words)
 
-    def views(words: WordOdds | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        shared = docs.sparkSession.sparkContext.broadcast(words)
+    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column("words").to_numpy(zero_copy_only=False)
+            says = [shared.value.say(h, label) for h, label in zip(hashes, batch.column("quality").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "quality", "text_view", "meta_view")] + [pa.array(says, pa.float64())], names=["doc_id", "quality", "text_view", "meta_view", "says"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, every, text, meta in view_batches(batches, shared.value):
-                hashes = [pa.array([word_hashes(x).astype(np.int32) for x in every], pa.list_(pa.int32()))] if words is None else []
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(text)), pa.array([np.flatnonzero(m).astype(np.int32) for m in meta], pa.list_(pa.int32())), *hashes], names=["doc_id", "text_view", "meta_view", *["words"][: len(hashes)]])
+    found = sample.mapInArrow(said, "doc_id long, quality int, text_view array<double>, meta_view array<int>, says double").toPandas()
+    return found.sort_values("doc_id"), words
 
-        return run
 
-    sample = rows.join(common.broadcast_if_small(drawn.select("doc_id")), "doc_id", "left_semi").mapInArrow(views(None), VIEWS + ", words array<int>")
-    found = sample.join(common.broadcast_if_small(drawn), "doc_id").dropDuplicates(["doc_id", "text_view", "meta_view"]).toPandas()  # about LABELLED documents, as numbers
-    if found.empty:
+def added(parts: pa.Table) -> pa.Table:
+    """One row for a group of rows (part, sums), in the order of their parts, so that sums do not hang on the order of arrival."""
+    rows = parts.sort_by("part")
+    total = None
+    for sums in rows.column("sums"):
+        x = sums.values.to_numpy(zero_copy_only=False)
+        total = x if total is None else total + x
+    return pa.table({"part": pa.array([rows["team"][0].as_py()], pa.int64()), "sums": pa.array([total], pa.list_(pa.float64()))})
+
+
+def tree_sum(parts: DataFrame, n: int) -> np.ndarray | None:
+    """The sum of up to n rows (part, sums), part from 0 to n - 1, by teams of FAN_IN: no more rows than that reach a task or the driver."""
+    while n > FAN_IN:
+        parts = parts.withColumn("team", F.floor(F.col("part") / FAN_IN).cast("long")).groupBy("team").applyInArrow(added, "part long, sums array<double>")
+        n = -(-n // FAN_IN)
+    rows = sorted(parts.collect(), key=lambda r: r.part)
+    return np.sum([np.array(r.sums) for r in rows], axis=0) if rows else None
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    truth = labels.filter("quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
+    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").filter("text is not null")
+    sample = labelled_sample(rows, truth)
+    if sample is None:
         return None
-    found = found.assign(key=[str(list(v)) for v in found["text_view"]]).sort_values(["doc_id", "key"])
+    found, words = sample
     y = found["quality"].to_numpy(float)
-    words = WordOdds.of(found["words"].to_list(), y)
     text = np.stack(found["text_view"].to_list())
-    text[:, 0] = [words.say(h, label) for h, label in zip(found["words"], y.astype(int), strict=True)]
+    text[:, 0] = found["says"]
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, text, meta in view_batches(batches, shared.value):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(text)), named(meta)], names=["doc_id", "text_view", "meta_view"])
+
     left = rows.join(common.broadcast_if_small(truth.select("doc_id")), "doc_id", "left_anti")
-    free = common.checkpoint(left.mapInArrow(views(words), VIEWS).select("text_view", "meta_view"))  # sixteen numbers a document
+    free = common.checkpoint(left.mapInArrow(views, VIEWS).select("text_view", "meta_view"))  # sixteen numbers a document
+    tasks = free.rdd.getNumPartitions()
 
     def pool(job: Callable[[Views], np.ndarray]) -> np.ndarray:
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,8 +332,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total])], names=["sums"])
 
-        parts = [np.array(r.sums) for r in free.mapInArrow(sums, "sums array<double>").collect()]  # a row for each task
-        return np.sum(parts, axis=0) if parts else job((np.zeros((0, TEXT_SIZE)), np.zeros((0, META_SIZE))))
+        total = tree_sum(free.mapInArrow(sums, "sums array<double>").withColumn("part", F.spark_partition_id().cast("long")), tasks)
+        return job((np.zeros((0, TEXT_SIZE)), np.zeros((0, META_SIZE)))) if total is None else total
 
     return co_train((text, dense(found["meta_view"].to_list())), y, pool, words)
 
