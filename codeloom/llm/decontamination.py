@@ -10,12 +10,14 @@ Windows of ten tokens of the benchmark's items, and all of an item at once where
 is shorter or has windows with few words besides slots, meet those of all documents
 by a hash of form, template and slots. Two lists of values stand in a consistent
 one-to-one relation if and only if they repeat themselves at the same places; so
-where a window has enough words besides its slots (six, or four of a whole item),
-the hash takes in which slots have equal values, and else the values themselves.
+where a window has enough words besides its slots (six, or of a whole item four,
+three where names are no slots), the hash takes in which slots have equal values,
+and else the values themselves.
 Every place of an item counts. A document's windows are hashed where a token is the
 anchor of some window of the benchmark, its longest word.
 
-Items of fewer than five tokens have no windows. Null and empty texts have none.
+Items of fewer than three tokens are found where they are all of a document, and
+longer ones at any place. Null and empty texts and those without tokens have no windows.
 Rows with one doc_id are one document, rows without one are not reported; rows
 without an item_id are one item; other columns are ignored; very long texts are one
 row; an empty table on either side gives an empty result. Of equally long words the
@@ -29,9 +31,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, LEAST_ITEM = 10, 5
-#: Words besides slots from which on values may differ: in a window, in a whole item. Items of more tokens than that are no windows.
-LEAST_LITERALS, LEAST_IN_ITEM, LONGEST_ITEM = 6, 4, 60
+#: Tokens of a window, and of the least item that is looked for inside documents; shorter ones must be all of a document.
+WINDOW, LEAST_INSIDE = 10, 3
+#: Words besides slots from which on values may differ: in a window, in a whole item with and without names as slots.
+LEAST_LITERALS, LEAST_IN_ITEM, LEAST_IN_PLAIN_ITEM = 6, 4, 3
+#: Items of more tokens than that are no windows as a whole.
+LONGEST_ITEM = 60
 #: Units, longest first where one begins another.
 UNITS = "kilometers kilometres kilometer kilometre km centimeters centimetres cm millimeters mm meters metres meter metre m miles mile mph feet foot ft inches inch kilograms kilogram kg milligrams mg grams gram g pounds pound lbs lb ounces ounce oz liters litres liter litre ml l gallons gallon hours hour hrs h minutes minute min seconds second sec s days day weeks week months month years year dollars dollar cents euros euro usd eur percent degrees kwh kw w volts v amps hz gb mb kb".split()
 NUMBER, NAME, UNIT, STOP = "", "", "", ""
@@ -79,16 +84,17 @@ def with_hash(df: DataFrame) -> DataFrame:
 
 def windows(benchmark: DataFrame) -> DataFrame:
     """(hash, width, least, names, item_id, item_at, value_hashes, anchor, shift) of the benchmark's windows."""
-    cut = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens")).filter(F.col("n") >= LEAST_ITEM)
+    cut = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens")).filter("n > 0")
     forms = cut.withColumn("names", F.explode(F.array(F.lit(False), F.lit(True))))
     starts = F.sequence(F.lit(0), F.greatest(F.col("n") - WINDOW, F.lit(0)))
     # windows are cut before they are dealt out, so that no row holds a long item beside each
     every_window = F.transform(starts, lambda k: F.slice("tokens", k + 1, F.least(F.col("n"), F.lit(WINDOW))))
     short = F.when(F.col("n") <= LONGEST_ITEM, F.col("tokens"))
     places = forms.select("item_id", "names", "n", short.alias("item"), F.posexplode(every_window).alias("item_at", "window"))
-    places = places.withColumn("least", F.when(F.col("n") > WINDOW, LEAST_LITERALS).otherwise(LEAST_IN_ITEM))
+    in_item = F.when(F.col("names"), LEAST_IN_ITEM).otherwise(LEAST_IN_PLAIN_ITEM)
+    places = places.withColumn("least", F.when(F.col("n") > WINDOW, LEAST_LITERALS).otherwise(in_item))
     dense = F.col("n").between(WINDOW + 1, LONGEST_ITEM) & (F.size("window") - F.size(values(F.col("window"), F.col("names"))) < LEAST_LITERALS)
-    whole = places.filter(dense).select("item_id", "names", "item").distinct().select("item_id", "names", F.lit(0).alias("item_at"), F.col("item").alias("window"), F.lit(LEAST_IN_ITEM).alias("least"))
+    whole = places.filter(dense).select("item_id", "names", "item").distinct().select("item_id", "names", F.lit(0).alias("item_at"), F.col("item").alias("window"), in_item.alias("least"))
     every = places.select("item_id", "names", "item_at", "window", "least").union(whole)
     # a window without a capitalised word has one form
     every = every.filter(~F.col("names") | F.exists("window", lambda t: t.rlike(CAPITALISED)))
@@ -108,10 +114,17 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     asked = common.checkpoint(windows(benchmark.select("item_id", "text")))
     anchors = asked.select("anchor", "shift", "width", "least", "names").distinct()
     # outer: the filter that an inner one implies would be pushed below and compute the tokens twice
-    cut = docs.select("doc_id", tokens(F.col("text")).alias("tokens")).select("doc_id", "tokens", F.posexplode_outer("tokens").alias("place", "token")).withColumn("anchor", F.coalesce(anchor(F.col("token")), F.lit("")))
-    met = cut.join(common.broadcast_if_small(anchors), "anchor").withColumn("at", F.col("place") - F.col("shift"))
-    met = met.filter((F.col("at") >= 0) & (F.col("at") + F.col("width") <= F.size("tokens")))
-    met = with_hash(met.select("doc_id", "at", "width", "least", "names", F.slice("tokens", F.col("at") + 1, F.col("width")).alias("window")))
+    cut = docs.select("doc_id", tokens(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens"))
+    cut = cut.select("doc_id", "n", "tokens", F.posexplode_outer("tokens").alias("place", "token")).withColumn("first", F.lit(0))
+    few = common.broadcast_if_small(anchors)
+    if few is anchors:  # the join moves rows: beside each token then goes what can be in a window with it, not the whole text
+        first = F.greatest(F.col("place") - (LONGEST_ITEM - 1), F.lit(0))
+        cut = cut.withColumn("first", first).withColumn("tokens", F.slice("tokens", F.col("first") + 1, 2 * LONGEST_ITEM))
+    cut = cut.withColumn("anchor", F.coalesce(anchor(F.col("token")), F.lit(""))).drop("token")
+    met = cut.join(few, "anchor").withColumn("at", F.col("place") - F.col("shift"))
+    met = met.filter((F.col("at") >= 0) & (F.col("at") + F.col("width") <= F.col("n")))
+    met = met.filter((F.col("width") >= LEAST_INSIDE) | (F.col("width") == F.col("n")))
+    met = with_hash(met.select("doc_id", "at", "width", "least", "names", F.slice("tokens", F.col("at") - F.col("first") + 1, F.col("width")).alias("window")))
     met = met.select("doc_id", "at", "width", "least", "names", "hash", "value_hash")
     both = met.join(common.broadcast_if_small(asked.select("hash", "width", "least", "names", "item_id", "item_at", "value_hashes"), 100_000), ["hash", "width", "least", "names"])
     return both.select("doc_id", "at", "item_id", "item_at", F.array_contains("value_hashes", F.col("value_hash")).alias("same"))
@@ -143,6 +156,8 @@ def _oracle() -> str:
     slot = f"x[1] IN ('{NUMBER}', '{UNIT}') OR (names AND regexp_matches(x, {quoted(CAPITALISED)}))"
     shape = f"list_transform(w, lambda x: CASE WHEN x[1] IN ('{NUMBER}', '{UNIT}') THEN x[1] WHEN names AND regexp_matches(x, {quoted(CAPITALISED)}) THEN '{NAME}' ELSE lower(x) END)"
 
+    in_item = f"CASE WHEN names THEN {LEAST_IN_ITEM} ELSE {LEAST_IN_PLAIN_ITEM} END"
+
     def side(table: str, key: str) -> str:
         return f"SELECT {key}, toks, len(toks) AS n, names FROM (SELECT {key}, regexp_extract_all({text}, {quoted(TOKEN)}) AS toks FROM {table} WHERE text IS NOT NULL) CROSS JOIN (VALUES (false), (true)) f(names)"
 
@@ -151,11 +166,11 @@ def _oracle() -> str:
 
     return f"""
 WITH d AS ({side('documents', 'doc_id')}), i AS ({side('benchmark', 'item_id')}),
-iw AS ({told(f"SELECT *, toks[pos + 1 : pos + width] AS w FROM (SELECT item_id, toks, names, n, least(n, {WINDOW}) AS width, CASE WHEN n > {WINDOW} THEN {LEAST_LITERALS} ELSE {LEAST_IN_ITEM} END AS least_words, unnest(range(0, greatest(n - {WINDOW}, 0) + 1)) AS pos FROM i WHERE n >= {LEAST_ITEM})")}),
-whole AS ({told(f"SELECT DISTINCT item_id, toks, names, n, n AS width, {LEAST_IN_ITEM} AS least_words, 0::BIGINT AS pos, toks AS w FROM iw WHERE n BETWEEN {WINDOW + 1} AND {LONGEST_ITEM} AND width - len(vals) < {LEAST_LITERALS}")}),
+iw AS ({told(f"SELECT *, toks[pos + 1 : pos + width] AS w FROM (SELECT item_id, toks, names, n, least(n, {WINDOW}) AS width, CASE WHEN n > {WINDOW} THEN {LEAST_LITERALS} ELSE {in_item} END AS least_words, unnest(range(0, greatest(n - {WINDOW}, 0) + 1)) AS pos FROM i WHERE n > 0)")}),
+whole AS ({told(f"SELECT DISTINCT item_id, toks, names, n, n AS width, {in_item} AS least_words, 0::BIGINT AS pos, toks AS w FROM iw WHERE n BETWEEN {WINDOW + 1} AND {LONGEST_ITEM} AND width - len(vals) < {LEAST_LITERALS}")}),
 every AS (SELECT item_id, names, width, least_words, pos, shape, vals, w FROM iw UNION ALL SELECT item_id, names, width, least_words, pos, shape, vals, w FROM whole),
 item AS (SELECT * FROM every WHERE (NOT names OR len(list_filter(w, lambda x: regexp_matches(x, {quoted(CAPITALISED)}))) > 0) AND len(list_filter(shape, lambda x: x <> '{NAME}')) > 0),
-dw AS ({told("SELECT doc_id, names, width, pos, toks[pos + 1 : pos + width] AS w FROM (SELECT doc_id, names, toks, n, width, unnest(range(0, n - width + 1)) AS pos FROM d JOIN (SELECT DISTINCT width, names FROM item) USING (names) WHERE n >= width)")}),
+dw AS ({told(f"SELECT doc_id, names, width, pos, toks[pos + 1 : pos + width] AS w FROM (SELECT doc_id, names, toks, n, width, unnest(range(0, n - width + 1)) AS pos FROM d JOIN (SELECT DISTINCT width, names FROM item) USING (names) WHERE n = width OR n > width AND width >= {LEAST_INSIDE})")}),
 hit AS (SELECT dw.doc_id, item.item_id, dw.pos AS place, item.pos AS item_at, item.shape, item.names, item.least_words, dw.vals AS x, item.vals AS y, width - len(item.vals) >= least_words AS free,
  len(list_distinct(list_transform(range(1, len(item.vals) + 1), lambda k: dw.vals[k] || '|' || item.vals[k]))) AS pairs FROM dw JOIN item USING (shape, width, names)),
 ok AS (SELECT *, CASE WHEN free THEN list_transform(y, lambda v: list_position(y, v)::VARCHAR) ELSE y END AS agreed FROM hit WHERE CASE WHEN free THEN len(list_distinct(x)) = pairs AND len(list_distinct(y)) = pairs ELSE x = y END),

@@ -298,6 +298,22 @@ def test_every_unlabelled_document_is_learned_from(spark, monkeypatch):
     assert seen == [[8900.0, 3 * 8900.0]]
 
 
+def test_sums_by_tree(spark, monkeypatch):
+    """However many tasks there are, teams of a few add up to the same model."""
+    docs = spark.createDataFrame([(k, f"some words number {k}" if k % 2 else "## || @@ %% 11", "en", "a", 20) for k in range(900)] + [(7, "other words", "en", "a", 11)] * 3, "doc_id long, text string, lang string, source string, n_chars long").repartition(11)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(100)], "doc_id long, quality int, toxic int")
+    models = []
+    for fan_in in (64, 2):
+        monkeypatch.setattr(quality_classifier, "FAN_IN", fan_in)
+        models.append(quality_classifier.train(docs, labels))
+    assert models[0].words.n.tolist() == [50, 50]
+    for part in ("text", "meta"):
+        assert np.allclose(getattr(models[0], part).beta, getattr(models[1], part).beta, atol=1e-6)
+    parts = spark.range(0, 9, 1, 9).selectExpr("id as part", "array(double(id), double(1)) as sums")
+    assert quality_classifier.tree_sum(parts, 9).tolist() == [36.0, 9.0]
+    assert quality_classifier.tree_sum(parts.filter("part < 0"), 9) is None
+
+
 def test_quality_of_held_out_labels(spark):
     """Labels that the classifier did not learn from."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
@@ -632,6 +648,19 @@ def test_recall_of_reparameterised_questions(spark):
     assert not {d for d, _ in found if d >= 1000}
 
 
+def test_short_items(spark, monkeypatch):
+    """Also where the anchors are too many to be broadcast."""
+    items = [(1, "Compute 2 + 2."), (2, "What is 15 percent of 240?"), (3, "Why?"), (4, "Name it"), (5, "...")]
+    far = " ".join(f"w{chr(97 + k % 26)}x" for k in range(300))
+    docs = [(1, f"{far} Compute 2 + 2. {far}"), (2, "Compute 2 + 3."), (3, f"so: what is 30 percent of 90? {far}"), (4, "why"), (5, "Why not"), (6, "name it!"), (7, "name it now"), (8, "...")]
+    benchmark, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    expected = {(1, 1, 300, False), (3, 2, 1, True), (4, 3, 0, False), (6, 4, 0, False)}
+    for given in (common.broadcast_if_small, lambda df, rows=0: df):
+        monkeypatch.setattr(common, "broadcast_if_small", given)
+        found = decontamination.decontaminate(docs, benchmark).collect()
+        assert {(r.doc_id, r.item_id, r.first_word, r.reparameterised) for r in found} == expected
+
+
 def test_decontamination_finds_every_verbatim_item(spark, small, texts, result):
     found = {(r.doc_id, r.item_id) for r in result("op8_decontaminate")}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
@@ -644,7 +673,7 @@ def test_decontamination_of_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, LONG, 0), (2, "one two three", 0), (3, "same words here again and again same words", 0), (3, "same words here again and again same words", 0), (4, None, 0), (5, "", 0)], "item_id long, text string, same int")
     assert decontamination.decontaminate(empty, items).count() == 0
     found = {(r.doc_id, r.item_id): (r.first_word, r.reparameterised) for r in decontamination.decontaminate(odd, items).collect()}
-    assert found == {(6, 1): (0, False), (7, 1): (0, False), (8, 3): (0, False), (9, 3): (0, False)}
+    assert found == {(4, 2): (0, False), (6, 1): (0, False), (7, 1): (0, False), (8, 3): (0, False), (9, 3): (0, False)}
 
 
 # toxicity
