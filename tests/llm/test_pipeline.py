@@ -1,9 +1,15 @@
 """Each stage of the pipeline works on what the one before kept."""
 
+import re
+import string
+from itertools import combinations
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def test_stages(spark, small):
@@ -23,6 +29,42 @@ def test_stages(spark, small):
     docs.unpersist()
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, min(len(words), 1)))}
+
+
+def test_kept_of_near_duplicates_by_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    kept = sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, small).select("doc_id").collect())
+    assert kept == sorted(d for d in sets if root[d] == d) and len(kept) < len(sets)
+
+
+def test_kept_of_contaminated_by_sql(spark, small):
+    from codeloom.llm.decontamination import OP8_SQL
+
+    duck = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
+    dropped = {d for (d,) in duck.execute(f"SELECT DISTINCT doc_id FROM ({OP8_SQL})").fetchall()}
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, small).select("doc_id").collect()}
+    assert dropped and kept == {r.doc_id for r in docs.select("doc_id").collect()} - dropped
+
+
 def test_repeated_rows_and_empty_tables(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(20).select(*corpus_pipeline.COLUMNS)
     twice = docs.union(docs).withColumn("component_id", F.lit(1))
