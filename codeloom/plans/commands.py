@@ -34,14 +34,22 @@ def hotspots(g: Graph) -> DataFrame:
     return hotspots_of(g.changes, g.functions, g.calls)
 
 
-def leaf(decorator: Column) -> Column:
-    return F.substring_index(F.substring_index(F.ltrim(decorator, F.lit("@")), "(", 1), ".", -1)
+def full_name(decorator: Column) -> Column:
+    """A decorator without its mark and arguments."""
+    return F.trim(F.substring_index(F.ltrim(F.trim(decorator), F.lit("@ ")), "(", 1))
 
 
 def classified(functions: DataFrame) -> DataFrame:
-    """Functions whose decorator registers them with a framework, with the framework, category and base score."""
+    """Functions that one of their decorators registers with a framework: framework, category and base score of the highest, the first of equals, and all decorators that do (matched)."""
     table = F.create_map(*[x for k, v in FRAMEWORKS.items() for x in (F.lit(k), F.struct(F.lit(v[0]).alias("framework"), F.lit(v[1]).alias("category"), F.lit(v[2]).alias("base")))])
-    return functions.withColumn("role", F.try_element_at(table, leaf(F.col("decorator")))).filter("role is not null").select("*", "role.*").drop("role")
+
+    def role(name: Column) -> Column:
+        return F.try_element_at(table, F.substring_index(name, ".", -1))
+
+    known = F.filter(F.transform("decorators", full_name), lambda name: role(name).isNotNull())
+    rows = functions.withColumn("matched", F.array_distinct(known)).filter("size(matched) > 0").withColumn("roles", F.transform("matched", role))
+    highest = F.array_max(F.transform("roles", lambda r: r["base"]))
+    return rows.withColumn("role", F.get(F.filter("roles", lambda r: r["base"] == highest), F.lit(0))).select("*", "role.*").drop("role", "roles")
 
 
 @on_graph("""SELECT id, name, framework, score FROM (SELECT f.id, f.name, t.framework, coalesce(d.n, 0) AS n, round(t.base + least(coalesce(d.n, 0), 20) * 0.25, 2) AS score FROM functions f

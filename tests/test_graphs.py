@@ -179,6 +179,12 @@ def test_entry_points_by_decorator(spark):
     assert {(r.name, r.framework, r.base) for r in commands.classified(g.functions).collect()} == {("a", "flask", 5.0), ("b", "click", 4.0)}
 
 
+def test_the_highest_of_several_decorators(spark):
+    rows = [(1, ["@overload", "@celery.task", "@pytest.fixture(scope='x')", "@celery.task()"]), (2, ["@a.get('/x')", "@app.route('/y')"]), (3, ["@overload"]), (4, []), (5, None), (6, [" @ click.command ()", None])]
+    found = {r.id: (r.framework, r.category, r.base, r.matched) for r in commands.classified(spark.createDataFrame(rows, "id long, decorators array<string>")).collect()}
+    assert found == {1: ("celery", "task", 3.0, ["celery.task", "pytest.fixture"]), 2: ("fastapi", "http", 5.0, ["a.get", "app.route"]), 6: ("click", "cli", 4.0, ["click.command"])}
+
+
 def test_surprise(spark):
     member = spark.createDataFrame([(k, "a") for k in range(10)] + [(k, "b") for k in range(10, 20)] + [(20, "c"), (21, "c"), (22, "d"), (23, "d")], "id long, community string")
     found = topology.surprise_of(edges(spark, (0, 10), (20, 22), (20, 23), (21, 22)), member)
