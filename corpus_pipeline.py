@@ -60,7 +60,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("language", language), ("deduplicate", deduplicate), ("decontaminate", decontaminate), ("pack", pack)]
 
-#: Co-training and language models have no SQL; tests hold deduplication against brute force, decontamination against its SQL, quality and language against labels.
+#: Co-training and language models have no SQL; tests hold deduplication against brute force, decontamination against its SQL; op4 and op1 are held against labels they did not learn from.
 ORACLE_SQL = None
 
 
