@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..registry import on_graph, on_tables
+from ..registry import on_both, on_graph, on_tables
 from .graph import Graph, checkpoint, reach, top
 
 EXPORT_LIMIT = 500
@@ -142,12 +142,11 @@ def combined(g: Graph, vectors: DataFrame, least: float = 0.85) -> DataFrame:
 _COSINE = "list_dot_product(a.embedding, b.embedding) / greatest(sqrt(list_dot_product(a.embedding, a.embedding)) * sqrt(list_dot_product(b.embedding, b.embedding)), 1e-300)"
 
 
-@on_graph(f"""+{_NODES}, alike AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COSINE} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 0)
+@on_both(f"""+{_NODES}, alike AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COSINE} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 0)
 SELECT src, dst, type, 'extracted' AS provenance, 1.0::DOUBLE AS confidence FROM edges WHERE type IN ('CALLS', 'IMPORTS') UNION ALL SELECT 'function:' || a, 'function:' || b, 'SEMANTICALLY_SIMILAR', 'inferred', round(s, 4) FROM alike WHERE s > 0.3""")
-def combined_graph(g: Graph) -> DataFrame:
+def combined_graph(g: Graph, spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the vectors of even ids, which stand for functions that have one."""
-    folder = g.changes.inputFiles()[0].rsplit("/", 1)[0]
-    rows = g.functions.sparkSession.read.parquet(f"{folder}/embeddings.parquet").filter("vec_id % 2 = 0")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 2 = 0")
     return combined(g, rows.select(F.col("vec_id").alias("id"), "embedding"), 0.3)
 
 
@@ -174,6 +173,43 @@ def full_text_search(g: Graph) -> DataFrame:
     return full_text(g.functions.select("id", F.col("source").alias("text")), "promo hot")
 
 
+def snapshot(g: Graph, vectors: DataFrame) -> DataFrame:
+    """(part, label, n, percent): nodes of each label, edges of each type, and of functions those that have a vector (id), with their share."""
+    by_label = nodes(g).groupBy("label").agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), "label", "n", F.lit(None).cast("double").alias("percent"))
+    lines = edges(g).select("type").union(g.parameters.select(F.lit("HAS_PARAMETER"))).union(g.holders.select(F.lit("CONTAINS")))
+    by_type = lines.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("edge"), "type", "n", F.lit(None).cast("double"))
+    marked = g.functions.select("id").join(vectors.select("id").distinct().withColumn("has", F.lit(True)), "id", "left")
+    covered = marked.agg(F.count("has").alias("n"), F.count("*").alias("of")).select(F.lit("embedded"), F.lit("Function"), "n", F.when(F.col("of") == 0, 0.0).otherwise(F.round(F.col("n") * 100.0 / F.col("of"), 1)))
+    return by_label.union(by_type).union(covered)
+
+
+@on_both(f"""+{_NODES}, lines AS (SELECT type FROM edges UNION ALL SELECT 'HAS_PARAMETER' FROM parameters UNION ALL SELECT 'CONTAINS' FROM holders)
+SELECT 'node' AS part, label, count(*) AS n, NULL::DOUBLE AS percent FROM nodes GROUP BY label UNION ALL SELECT 'edge', type, count(*), NULL FROM lines GROUP BY type
+UNION ALL SELECT 'embedded', 'Function', count(*) FILTER (id IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0)), round(count(*) FILTER (id IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0)) * 100.0::DOUBLE / count(*), 1) FROM functions""")
+def graph_snapshot(g: Graph, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot(g, spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 2 = 0").select(F.col("vec_id").alias("id")))
+
+
+def drifted(g: Graph, files: DataFrame, since: str) -> DataFrame:
+    """(path, changed, via): other files that an edge of any type, either way, joins to something in these files (path), and that changed since a time: how often, and by which types."""
+    own = nodes(g).join(files.select("path").distinct(), "path", "left_semi").select("uid")
+    lines = edges(g)
+    ways = lines.union(lines.select("type", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = ways.join(own.withColumnRenamed("uid", "src"), "src", "left_semi").select("type", F.col("dst").alias("uid")).distinct()
+    near = near.join(nodes(g).select("uid", "path"), "uid").join(files.select("path").distinct(), "path", "left_anti")
+    near = near.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("via"))
+    recent = g.changes.filter(F.col("ts") >= F.lit(since).cast("timestamp")).groupBy("path").agg(F.count("*").alias("changed"))
+    return near.join(recent, "path").select("path", "changed", "via")
+
+
+@on_graph(f"""+{_NODES}, own AS (SELECT uid FROM nodes WHERE path IN ('/src/brand_13/promo.py', '/src/automobile/models.py')), ways AS (SELECT type, src, dst FROM edges UNION ALL SELECT type, dst, src FROM edges),
+near AS (SELECT DISTINCT type, path FROM ways JOIN nodes ON uid = dst WHERE src IN (SELECT uid FROM own) AND path NOT IN ('/src/brand_13/promo.py', '/src/automobile/models.py'))
+SELECT path, changed, via FROM (SELECT path, string_agg(type, ',' ORDER BY type) AS via FROM near GROUP BY path) JOIN (SELECT path, count(*) AS changed FROM changes WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' GROUP BY path) USING (path)""")
+def drift_all_edges(g: Graph) -> DataFrame:
+    files = g.functions.sparkSession.createDataFrame([("/src/brand_13/promo.py",), ("/src/automobile/models.py",)], "path string")
+    return drifted(g, files, "2024-01-20 00:00:00")
+
+
 def checks(g: Graph, vectors: DataFrame | None = None) -> DataFrame:
     """(check, ok, count): whether there are functions, calls and embeddings to answer from."""
     parts = [("functions", g.functions), ("classes", g.classes), ("calls", g.calls)]

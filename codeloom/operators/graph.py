@@ -23,6 +23,7 @@ class Graph:
     parameters: DataFrame  # function_id, arg
     changes: DataFrame  # path, ts, kind
     class_calls: DataFrame  # src (function id), dst (class id): calls of a class
+    holders: DataFrame  # variable_id, label ('function' or 'class'), id: what a variable is declared in, beside its file
 
 
 def load(spark: SparkSession, sf_dir: str) -> Graph:
@@ -63,7 +64,8 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
     files = functions.select("path").distinct().groupBy().agg(F.sort_array(F.collect_list("path")).alias("paths"))  # a row for each file: some thousands
     changes = t("events").crossJoin(F.broadcast(files)).select(F.expr("element_at(paths, cast(user_id % size(paths) as int) + 1)").alias("path"), "ts", F.col("event_type").alias("kind"))
     class_calls = line.filter("l_quantity = 48").select("l_orderkey", "l_partkey").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select(F.col("l_partkey").alias("src"), F.col("o_custkey").alias("dst"))
-    return Graph(functions, classes, variables, modules, calls, imports, inherits, methods, parameters, changes, class_calls)
+    holders = orders.filter("o_orderkey % 3 < 2").select(F.col("o_orderkey").alias("variable_id"), F.when(F.col("o_orderkey") % 3 == 0, "class").otherwise("function").alias("label"), F.col("o_custkey").alias("id"))
+    return Graph(functions, classes, variables, modules, calls, imports, inherits, methods, parameters, changes, class_calls, holders)
 
 
 #: The same graph as common table expressions, for checks by another engine.
@@ -76,6 +78,7 @@ calls AS (SELECT DISTINCT src, dst FROM (SELECT lag(l_partkey) OVER (PARTITION B
 imports AS (SELECT path, l_suppkey AS module_id, s_name AS imported_name, lower(s_name) AS alias, min(l_partkey) AS line_number FROM lineitem JOIN functions ON functions.id = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY path, l_suppkey, s_name),
 inherits AS (SELECT c_custkey AS child, c_custkey // 3 AS parent FROM customer WHERE c_custkey > 0),
 class_calls AS (SELECT l_partkey AS src, o_custkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity = 48),
+holders AS (SELECT o_orderkey AS variable_id, CASE WHEN o_orderkey % 3 = 0 THEN 'class' ELSE 'function' END AS label, o_custkey AS id FROM orders WHERE o_orderkey % 3 < 2),
 methods AS (SELECT DISTINCT o_custkey AS class_id, l_partkey AS function_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 49),
 parameters AS (SELECT DISTINCT l_partkey AS function_id, 'arg' || CAST(l_linenumber AS VARCHAR) AS arg FROM lineitem),
 files AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT path FROM functions)),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..registry import on_graph
+from ..registry import on_graph, on_tables
 from .graph import Graph, top
 
 #: Kinds of results in the ranked search and their scores in the project and in dependencies.
@@ -146,18 +146,26 @@ def importers(g: Graph) -> DataFrame:
     return top(rows.select("path", F.array_join(F.transform("i", lambda i: F.concat_ws(":", i["imported_name"], i["line_number"])), ",").alias("imports")), 20, "path")
 
 
-@on_graph("SELECT path, id, name, value, CASE WHEN is_dependency THEN 'dependency' ELSE 'file' END AS container FROM variables WHERE name = 'high_f' ORDER BY path, id LIMIT 50")
-def variable_containers(g: Graph) -> DataFrame:
-    return top(named(g.variables, "high_f").select("path", "id", "name", "value", F.when(F.col("is_dependency"), "dependency").otherwise("file").alias("container")), 50, "path", "id")
+def scopes(g: Graph, variables: DataFrame) -> DataFrame:
+    """(variable_id, label, name, path, line, is_dependency): what holds each variable (id): functions, classes, and its file, whose name is null."""
+    at = ["id", "name", "path", F.col("line_number").cast("long").alias("line"), "is_dependency"]
+    named_scopes = g.functions.select(F.lit("function").alias("label"), *at).union(g.classes.select(F.lit("class"), *at))
+    held = variables.select(F.col("id").alias("variable_id")).join(g.holders, "variable_id").join(named_scopes, ["label", "id"])
+    files = variables.select(F.col("id").alias("variable_id"), F.lit("file"), F.lit(None).cast("string"), "path", F.lit(None).cast("long"), "is_dependency")
+    return held.select("variable_id", "label", "name", "path", "line", "is_dependency").union(files).distinct()
+
 
+_SCOPES = """+named AS (SELECT 'function' AS label, id, name, path, line_number AS line, is_dependency FROM functions UNION ALL SELECT 'class', id, name, path, line_number, is_dependency FROM classes),
+scopes AS (SELECT h.variable_id, n.label, n.name, n.path, n.line, n.is_dependency FROM holders h JOIN named n USING (label, id) UNION ALL SELECT id, 'file', NULL, path, NULL, is_dependency FROM variables)"""
 
-def hierarchy(g: Graph, class_id: int) -> DataFrame:
-    """(relation, id, name): parents, children and methods of a class."""
-    names = g.classes.select("id", "name")
-    up = g.inherits.filter(F.col("child") == class_id).select(F.lit("parent").alias("relation"), F.col("parent").alias("id")).join(names, "id")
-    down = g.inherits.filter(F.col("parent") == class_id).select(F.lit("child").alias("relation"), F.col("child").alias("id")).join(names, "id")
-    own = g.methods.filter(F.col("class_id") == class_id).select(F.lit("method").alias("relation"), F.col("function_id").alias("id")).join(g.functions.select("id", "name"), "id")
-    return up.union(down).union(own).select("relation", "id", "name")
+
+@on_graph(f"{_SCOPES} SELECT coalesce(s.name, 'file_level') AS container, s.label AS container_type, s.path, s.line, v.id, v.value, s.is_dependency FROM variables v JOIN scopes s ON s.variable_id = v.id WHERE v.name = 'high_f' ORDER BY s.is_dependency, s.path, v.line_number, container_type, v.id LIMIT 20")
+def variable_containers(g: Graph) -> DataFrame:
+    """The functions, classes and files that contain the variables of a name."""
+    own = named(g.variables, "high_f")
+    rows = scopes(g, own).join(own.select(F.col("id").alias("variable_id"), "value", F.col("line_number").alias("variable_line")), "variable_id")
+    rows = top(rows, 20, "is_dependency", "path", "variable_line", "label", "variable_id")
+    return rows.select(F.coalesce("name", F.lit("file_level")).alias("container"), F.col("label").alias("container_type"), "path", "line", F.col("variable_id").alias("id"), "value", "is_dependency")
 
 
 @on_graph("SELECT 'parent' AS relation, c.id, c.name FROM inherits i JOIN classes c ON c.id = i.parent WHERE i.child = 7 UNION ALL SELECT 'child', c.id, c.name FROM inherits i JOIN classes c ON c.id = i.child WHERE i.parent = 7 UNION ALL SELECT 'method', f.id, f.name FROM methods m JOIN functions f ON f.id = m.function_id WHERE m.class_id = 7")
@@ -209,12 +217,29 @@ def module_deps(g: Graph) -> DataFrame:
     return top(co_imported(g, 5), 50, F.desc("n_files"), "module_id")
 
 
-@on_graph("SELECT v.id, v.path, v.is_dependency, EXISTS (SELECT 1 FROM functions f WHERE f.id = v.id) AS contained FROM variables v WHERE name = 'medium_p' ORDER BY is_dependency, path, id LIMIT 50")
+def module_dependencies_of(g: Graph, name: str, most: int = 50) -> DataFrame:
+    """(part, name, detail): files that import a module, with the line, and modules that such files import beside it, with the alias; the first `most` of each by name."""
+    own = g.modules.filter(F.col("name") == name).select(F.col("id").alias("module_id"))
+    hits = g.imports.join(own, "module_id", "left_semi")
+    importers = hits.select(F.lit("importer").alias("part"), F.col("path").alias("name"), F.col("line_number").cast("string").alias("detail")).distinct()
+    beside = g.imports.join(hits.select("path").distinct(), "path", "left_semi").join(own, "module_id", "left_anti")
+    others = beside.join(g.modules.select(F.col("id").alias("module_id"), "name"), "module_id").select(F.lit("import"), "name", F.col("alias")).distinct()
+    return top(importers, most, "name", "detail").union(top(others.toDF("part", "name", "detail"), most, "name", "detail"))
+
+
+@on_graph("""+hits AS (SELECT i.* FROM imports i JOIN modules m ON m.id = i.module_id WHERE m.name = 'Supplier#000000003'),
+a AS (SELECT DISTINCT path AS name, CAST(line_number AS VARCHAR) AS detail FROM hits ORDER BY 1, 2 LIMIT 50), b AS (SELECT DISTINCT m.name, i.alias AS detail FROM imports i JOIN modules m ON m.id = i.module_id WHERE i.path IN (SELECT path FROM hits) AND m.name <> 'Supplier#000000003' ORDER BY 1, 2 LIMIT 50)
+SELECT 'importer' AS part, name, detail FROM a UNION ALL SELECT 'import', name, detail FROM b""")
+def module_dependencies(g: Graph) -> DataFrame:
+    return module_dependencies_of(g, "Supplier#000000003")
+
+
+@on_graph(f"{_SCOPES} SELECT v.id, v.path, v.line_number, v.value, CASE s.label WHEN 'file' THEN 'module' ELSE s.label END AS scope_type, coalesce(s.name, 'module_level') AS scope_name, v.is_dependency FROM variables v JOIN scopes s ON s.variable_id = v.id WHERE v.name = 'medium_p'")
 def variable_scope(g: Graph) -> DataFrame:
-    own = named(g.variables, "medium_p").select("id", "path", "is_dependency")
-    inside = own.join(g.functions.select("id"), "id", "left_semi").withColumn("contained", F.lit(True))
-    orphans = own.join(g.functions.select("id"), "id", "left_anti").withColumn("contained", F.lit(False))
-    return top(inside.union(orphans), 50, "is_dependency", "path", "id")
+    """The variables of a name with each scope they stand in; that of a file is the module."""
+    own = named(g.variables, "medium_p")
+    rows = scopes(g, own).select(F.col("variable_id").alias("id"), F.when(F.col("label") == "file", "module").otherwise(F.col("label")).alias("scope_type"), F.coalesce("name", F.lit("module_level")).alias("scope_name"))
+    return own.select("id", "path", "line_number", "value", "is_dependency").join(rows, "id").orderBy("is_dependency", "path", "line_number", "scope_type")
 
 
 @on_graph("SELECT id, name, complexity FROM functions WHERE name = 'old rod' ORDER BY id LIMIT 1")
@@ -256,10 +281,20 @@ def hubs(g: Graph) -> DataFrame:
     return top(ends.groupBy("id").agg(F.count("*").alias("degree")).join(g.functions.select("id", "name"), "id"), 5, F.desc("degree"), "id")
 
 
-@on_graph("SELECT c.src, c.dst FROM calls c JOIN calls r ON r.src = c.dst AND r.dst = c.src WHERE c.src < c.dst")
-def mutual_recursion(g: Graph) -> DataFrame:
-    back = g.calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return g.calls.filter("src < dst").join(back, ["src", "dst"], "left_semi")
+def mutual(calls: DataFrame) -> DataFrame:
+    """(src, dst), src the smaller: functions that call each other."""
+    calls = calls.select("src", "dst").distinct()
+    back = calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return calls.filter("src < dst").join(back, ["src", "dst"], "left_semi")
+
+
+@on_tables("""WITH c AS (SELECT DISTINCT lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS src, l_partkey AS dst FROM lineitem)
+SELECT c.src, c.dst FROM c JOIN c r ON r.src = c.dst AND r.dst = c.src WHERE c.src < c.dst""")
+def mutual_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On all steps of an order, of which the graph's calls are a part, so that some go both ways."""
+    by_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    steps = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.lag("l_partkey").over(by_order).alias("src"), F.col("l_partkey").alias("dst"))
+    return mutual(steps.filter("src is not null"))
 
 
 @on_graph("SELECT count(*) FILTER (WHERE docstring = '') AS missing, count(*) FILTER (WHERE docstring <> '') AS present FROM functions")

@@ -207,7 +207,7 @@ _CENTROID = "c AS (SELECT label, list(m ORDER BY i) AS centroid FROM (SELECT lab
 @on_tables(f"WITH {_CENTROID} SELECT vec_id, e.label, round({_COS.format(a='embedding', b='centroid')}, 4) AS similarity FROM embeddings e JOIN c USING (label)")
 def centroid_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embeddings(spark, sf_dir)
-    own = rows.join(F.broadcast(centroids(rows, "label")), "label")  # a row for each of a few labels
+    own = rows.join(centroids(rows, "label"), "label")
     return own.select("vec_id", "label", F.round(v.cosine(F.col("embedding"), F.col("centroid")), 4).alias("similarity"))
 
 
@@ -296,7 +296,7 @@ def rule_better_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_module_content_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows far from the centroid of their module (label)."""
     rows = embeddings(spark, sf_dir)
-    own = rows.join(F.broadcast(centroids(rows, "label")), "label")
+    own = rows.join(centroids(rows, "label"), "label")
     return own.filter(v.cosine(F.col("embedding"), F.col("centroid")) < 0.1).select("vec_id")
 
 

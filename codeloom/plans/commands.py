@@ -95,7 +95,7 @@ def lock_overlaps(paths: DataFrame, locks: DataFrame, lane: str) -> DataFrame:
     """(lane, locked, path): files at or below a path that another lane has locked. Meets by directories above the file, an equality join."""
     path = F.split_part("path", F.lit(":"), F.lit(1))
     places = paths.select("path", F.explode(F.array_append(fn.ancestors(path), path)).alias("locked"))
-    return places.join(F.broadcast(locks.filter(F.col("lane") != lane)), "locked").select("lane", "locked", "path").distinct()
+    return places.join(locks.filter(F.col("lane") != lane), "locked").select("lane", "locked", "path").distinct()
 
 
 @on_graph("""SELECT DISTINCT l.lane, l.locked, f.path FROM functions f JOIN (VALUES ('a', '/src/brand_13'), ('b', '/src/brand_13/promo.py'), ('c', '/src/brand_1')) l(lane, locked) ON f.path = l.locked OR starts_with(f.path, l.locked || '/') WHERE l.lane <> 'c'""")
@@ -131,11 +131,11 @@ def replay_metrics(spark, sf_dir):
     return replay(events)
 
 
-@on_tables("""SELECT event_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-15 00:00:00')""")
+@on_tables("""SELECT event_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-02 00:00:00')""")
 def sync_missing(spark, sf_dir):
     """Commits of one line that the other does not have (clicks by users without an early purchase)."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    theirs = events.filter((F.col("event_type") == "purchase") & (F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp"))).select("user_id")
+    theirs = events.filter((F.col("event_type") == "purchase") & (F.col("ts") < F.lit("2024-01-02 00:00:00").cast("timestamp"))).select("user_id")
     return events.filter("event_type = 'click'").join(theirs, "user_id", "left_anti").select("event_id")
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
@@ -46,16 +47,25 @@ def first_changes(spark: SparkSession, folder: str, base: str = "HEAD", locked:
     return "locked", spark.createDataFrame([(x,) for x in locked], "path string")
 
 
+#: What stands before each commit of a log.
+RECORD = "\x1e"
+
+
 def log_text(folder: str, since: str = "90 days ago") -> str:
-    return git(folder, "log", f"--since={since}", "--name-only", "--pretty=format:@%H %ct")
+    """A record a commit, each behind the character 0x1e: a line `sha seconds`, then its files."""
+    return git(folder, "log", f"--since={since}", "--name-only", "--pretty=format:%x1e%H %ct")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(record) of a stored log, split where records begin, so that many tasks read one file."""
+    return spark.read.text(path, lineSep=RECORD).withColumnRenamed("value", "record")
 
 
-def commits(lines: DataFrame) -> DataFrame:
-    """(sha, ts, path) of a log (position, line): a line `@sha seconds` begins a commit, the others are its files."""
-    order = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)  # one log; of many, partition by theirs
-    head = F.when(F.col("line").startswith("@"), F.col("line"))
-    rows = lines.withColumn("head", F.last(head, ignorenulls=True).over(order)).filter(~F.col("line").startswith("@") & (F.trim("line") != ""))
-    return rows.select(F.expr("substring(split_part(head, ' ', 1), 2)").alias("sha"), F.timestamp_seconds(F.split_part("head", F.lit(" "), F.lit(2)).cast("long")).alias("ts"), F.col("line").alias("path"))
+def commits(records: DataFrame) -> DataFrame:
+    """(sha, ts, path) of a log's records (record). A record holds all it needs, so their order is of no account; those without files give no row."""
+    rows = records.select(F.filter(F.transform(F.split("record", "\n"), F.trim), lambda line: line != "").alias("lines")).filter("size(lines) > 1")
+    head = F.split(F.get("lines", F.lit(0)), " ")
+    return rows.select(head[0].alias("sha"), F.timestamp_seconds(head[1].cast("long")).alias("ts"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("path"))
 
 
 def churn(rows: DataFrame) -> DataFrame:
@@ -69,13 +79,13 @@ def commit_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn(events.select(F.col("event_id").cast("string").alias("sha"), "ts", F.concat(F.lit("/f"), (F.col("user_id") % 20).cast("string")).alias("path")))
 
 
-def packet(g: Graph, files: DataFrame, most: int = 50, patterns: tuple[str, ...] = ()) -> DataFrame:
+def packet(g: Graph, files: DataFrame, most: int = 50, patterns: tuple[str, ...] = (), is_test: Callable[[Column], Column] = fn.is_test_path) -> DataFrame:
     """(part, id, name, path, untested): a review's touched functions, each with whether no test calls it, and their direct callers and callees outside the change; the `most` most called of each part. Files that no function is indexed in come as `unindexed`, with their path alone."""
     from .discovery import ignored
 
     files = files.select("path").distinct().filter(~ignored(F.ltrim("path", F.lit("/")), list(patterns)))
     touched = g.functions.join(files, "path", "left_semi").select("id", "name", "path")
-    tests = g.functions.filter(fn.is_test_path(F.col("path"))).select(F.col("id").alias("src"))
+    tests = g.functions.filter(is_test(F.col("path"))).select(F.col("id").alias("src"))
     tested = g.calls.join(tests, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
     found = None
     for part, rows in (("touched", touched.select("id")), ("callers", hop(touched, reversed_edges(g.calls))), ("callees", hop(touched, g.calls))):
@@ -98,7 +108,7 @@ _FILES = "('/src/brand_13/promo.py', '/src/brand_13/small.py', '/src/new.py')"
 
 
 @on_graph(f"""+s AS (SELECT id FROM functions WHERE path IN {_FILES}), n AS (SELECT 'touched' AS part, id FROM s UNION SELECT 'callers', src FROM calls WHERE dst IN (SELECT id FROM s) AND src NOT IN (SELECT id FROM s) UNION SELECT 'callees', dst FROM calls WHERE src IN (SELECT id FROM s) AND dst NOT IN (SELECT id FROM s))
-SELECT part, n.id, name, path, CASE WHEN part = 'touched' THEN true END AS untested FROM n JOIN functions USING (id) QUALIFY row_number() OVER (PARTITION BY part ORDER BY (SELECT count(*) FROM calls WHERE dst = n.id) DESC, n.id) <= 50 UNION ALL SELECT 'unindexed', NULL, NULL, '/src/new.py', NULL""")
+SELECT part, n.id, name, path, CASE WHEN part = 'touched' THEN NOT EXISTS (SELECT 1 FROM calls c JOIN functions t ON t.id = c.src WHERE c.dst = n.id AND contains(t.path, '/promo')) END AS untested FROM n JOIN functions USING (id) QUALIFY row_number() OVER (PARTITION BY part ORDER BY (SELECT count(*) FROM calls WHERE dst = n.id) DESC, n.id) <= 50 UNION ALL SELECT 'unindexed', NULL, NULL, '/src/new.py', NULL""")
 def review_packet(g: Graph) -> DataFrame:
     files = g.functions.sparkSession.createDataFrame([(x,) for x in ("/src/brand_13/promo.py", "/src/brand_13/small.py", "/src/new.py", "/dist/a.js")], "path string")
-    return packet(g, files, patterns=("dist/",))
+    return packet(g, files, patterns=("dist/",), is_test=lambda path: path.contains("/promo"))

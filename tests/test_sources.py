@@ -264,9 +264,14 @@ def test_changes_of_a_repository(spark, tmp_path):
     kind, files = changes.first_changes(spark, str(tmp_path))
     assert kind == "diff" and [r.path for r in files.collect()] == ["a.py"]
     run("commit", "-am", "two")
-    lines = changes.log_text(str(tmp_path)).splitlines()
-    rows = changes.commits(spark.createDataFrame(list(enumerate(lines)), "position int, line string"))
-    assert [(r.path, r.commits) for r in changes.churn(rows).collect()] == [("a.py", 2)]
+    (tmp_path / "@types").mkdir()
+    (tmp_path / "@types" / "x.py").write_text("")
+    run("add", ".")
+    run("commit", "-m", "three")
+    run("commit", "--allow-empty", "-m", "four")
+    (tmp_path / "log").write_text(changes.log_text(str(tmp_path)))
+    rows = changes.commits(changes.read_log(spark, str(tmp_path / "log")))
+    assert {(r.path, r.commits) for r in changes.churn(rows).collect()} == {("a.py", 2), ("new.py", 1), ("@types/x.py", 1)}
     assert changes.changed_files(spark, str(tmp_path / "nowhere"), "diff").isEmpty()
     indexed = spark.createDataFrame([("a.py", "x = 1\n"), ("b.py", "z")], "path string, text string")
     hashed = indexed.selectExpr("path", "sha1(text) AS sha1")
