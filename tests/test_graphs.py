@@ -311,3 +311,14 @@ def test_projection_keeps_the_main_axis(spark):
 def test_advice_has_an_id_of_the_hour():
     said = commands.advise("lock", {"path": "a.py"}, "2024010112")
     assert said["text"].startswith("Another lane has locked a.py") and said["id"].startswith("adv_2024010112_")
+
+
+def test_a_class_has_its_parents_children_and_methods(spark):
+    from codeloom.facade import Engine
+
+    g = graph(spark, [(9, "run", "/a.py", None), (10, "other", "/a.py", None)])
+    classes = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C"), (4, "D")], "id long, name string")
+    inherits = spark.createDataFrame([(2, 1), (3, 2), (4, 1)], "child long, parent long")
+    methods = spark.createDataFrame([(2, 9), (1, 10)], "class_id long, function_id long")
+    found = Engine(replace(g, classes=classes, inherits=inherits, methods=methods), spark).analyse("hierarchy", "2")
+    assert sorted(map(tuple, found.collect())) == [("child", 3, "C"), ("method", 9, "run"), ("parent", 1, "A")]
