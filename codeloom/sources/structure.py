@@ -114,9 +114,13 @@ def by_file(*more: str) -> Window:
     return Window.partitionBy("path", *more).orderBy("pos")
 
 
+def from_end(*more: str) -> Window:
+    """What follows a token, read backwards: a frame that ends with the file is gone through anew for each row, one that begins with it once."""
+    return Window.partitionBy("path", *more).orderBy(F.desc("pos"))
+
+
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
 BEFORE = (Window.unboundedPreceding, -1)
-BEHIND = (1, Window.unboundedFollowing)
 
 
 def tokens(files: DataFrame) -> DataFrame:
@@ -159,11 +163,11 @@ def with_stops(rows: DataFrame) -> DataFrame:
     lang, t = F.col("language"), F.col("token")
     words = per_language(lang, lambda s: one_of(t, (*s.functions, *s.classes)) if s.ends == "brace" else one_of(t, ("do", "do:")) if s.ends == "do" else None)
     stop = t.isin("{", "}", ";", "=", "=>") | F.coalesce(words, F.lit(False))
-    following = by_file("inside").rowsBetween(*BEHIND)
+    following = from_end("inside").rowsBetween(*BEFORE)
     at = F.struct("pos", "token", "line")
     return rows.withColumns({
-        "stop": F.first(F.when(stop, at), ignorenulls=True).over(following),
-        "next_line": F.first(F.when(F.col("first"), F.struct("pos", F.col("above").alias("line"), F.col("sofar").alias("decisions"))), ignorenulls=True).over(following),
+        "stop": F.last(F.when(stop, at), ignorenulls=True).over(following),
+        "next_line": F.last(F.when(F.col("first"), F.struct("pos", F.col("above").alias("line"), F.col("sofar").alias("decisions"))), ignorenulls=True).over(following),
         "last_stop": F.max(F.when(stop, F.col("pos"))).over(by_file("inside").rowsBetween(*BEFORE)),
     })
 
@@ -283,8 +287,8 @@ def structure(files: DataFrame) -> Structure:
     asked = found.select("path", "inside", "pos", F.lit(True).alias("ask"), F.col("name"))
     both = asked.unionByName(first_bracket.withColumn("ask", F.lit(False)).withColumn("name", F.lit(None).cast("string")))
     nth = F.when(~F.col("ask"), F.col("pos"))
-    later = Window.partitionBy("path", "inside").orderBy("pos", F.col("ask")).rowsBetween(1, Window.unboundedFollowing)
-    opened = both.withColumn("head", F.first(nth, ignorenulls=True).over(later)).filter("ask").select("path", "pos", "name", "head")
+    later = Window.partitionBy("path", "inside").orderBy(F.desc("pos"), F.desc("ask")).rowsBetween(*BEFORE)
+    opened = both.withColumn("head", F.last(nth, ignorenulls=True).over(later)).filter("ask").select("path", "pos", "name", "head")
     found = found.join(opened, ["path", "pos", "name"])
     # A method of Go has its receiver in brackets of its own
     receivers = brackets.select("path", F.col("open").alias("head"), F.col("shut").alias("receiver_shut"))

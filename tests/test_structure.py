@@ -270,3 +270,11 @@ def test_ancestors_follow_prepends_includes_and_parents(spark):
     assert by["X"] == ["X", "Y"]
     methods = spark.createDataFrame([("M", "go"), ("B", "go"), ("Root", "stop"), ("P", "stop")], "name string, method string")
     assert {(r.name, r.method): r.owner for r in structure.looked_up(order, methods).collect()}["D", "go"] == "B"
+
+
+def test_no_window_reads_a_file_anew_for_each_token(spark, capsys):
+    """A frame up to the end of a file takes the square of its tokens."""
+    files = spark.createDataFrame([("/a/A.java", "java", "class A { int f(int a) { return g(a); } }")], "path string, language string, text string")
+    structure.with_stops(structure.tokens(files)).explain(True)
+    shown = capsys.readouterr().out.lower()
+    assert "windowframe" in shown and "unboundedfollowing" not in shown
