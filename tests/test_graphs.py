@@ -322,3 +322,10 @@ def test_a_class_has_its_parents_children_and_methods(spark):
     methods = spark.createDataFrame([(2, 9), (1, 10)], "class_id long, function_id long")
     found = Engine(replace(g, classes=classes, inherits=inherits, methods=methods), spark).analyse("hierarchy", "2")
     assert sorted(map(tuple, found.collect())) == [("child", 3, "C"), ("method", 9, "run"), ("parent", 1, "A")]
+
+
+def test_six_decimals_are_those_of_printf(spark):
+    from codeloom.functions.vectors import tsv
+
+    xs = np.array([2.0**-7, 3 * 2.0**-7, -(2.0**-7), 1e-9, -1e-9, 0.5, 1e12, 3.0000005], np.float32).tolist()
+    assert spark.createDataFrame([(xs,)], "a array<float>").select(tsv(F.col("a"))).first()[0] == "\t".join(f"{x:.6f}" for x in xs)
