@@ -134,7 +134,7 @@ def combined(g: Graph, vectors: DataFrame, least: float = 0.85) -> DataFrame:
     from .vectors import similar_pairs
 
     structural = edges(g).filter("type in ('CALLS', 'IMPORTS')").select("src", "dst", "type", F.lit("extracted").alias("provenance"), F.lit(1.0).alias("confidence"))
-    alike = similar_pairs(vectors.select(F.col("id").alias("vec_id"), "embedding"), least)
+    alike = similar_pairs(vectors.select(F.col("id").alias("vec_id"), "embedding"), least, single=True)
     alike = alike.select(uid("function", "a"), uid("function", "b"), F.lit("SEMANTICALLY_SIMILAR"), F.lit("inferred"), F.round("similarity", 4))
     return structural.union(alike)
 

@@ -329,3 +329,51 @@ def test_six_decimals_are_those_of_printf(spark):
 
     xs = np.array([2.0**-7, 3 * 2.0**-7, -(2.0**-7), 1e-9, -1e-9, 0.5, 1e12, 3.0000005], np.float32).tolist()
     assert spark.createDataFrame([(xs,)], "a array<float>").select(tsv(F.col("a"))).first()[0] == "\t".join(f"{x:.6f}" for x in xs)
+
+
+def far_apart(n, seed=5, size=8):
+    r = np.random.default_rng(seed)
+    return r.normal(size=(n, size)).astype(np.float32), r.normal(size=(n, size)).astype(np.float32)
+
+
+def cosines(x, y):
+    x, y = (m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True) for m in (x, y))
+    return x @ y.T
+
+
+NAMED = "id long, behaviour array<float>, naming array<float>"
+
+
+def test_naming_rules_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LEAST_ROWS", 16)
+    monkeypatch.setattr(vectors, "TILE", 5)
+    does, called = far_apart(150)
+    rows = spark.createDataFrame([(i, does[i].tolist(), called[i].tolist()) for i in range(150)], NAMED)
+    alike, names = cosines(does, does), cosines(called, called)
+    own = np.diag(cosines(does, called))
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if alike[i, j] >= 0.5 and names[i, j] < 0.1}
+    assert {(r.a, r.b) for r in vectors.inconsistent_naming(rows, 0.5, 0.1).collect()} == want
+    better = {}
+    for i in np.flatnonzero(own < 0.0):
+        good = [int(j) for j in np.argsort(-alike[i], kind="stable") if own[j] > 0.1 and alike[i, j] > 0.2][:3]
+        better |= {int(i): good} if good else {}
+    assert {r.id: r.exemplars for r in vectors.better_name(rows, 0.0, 0.1, 0.2).collect()} == better
+
+
+def test_vectors_are_sent_few_times(spark):
+    """Blocks of 2,048 rows, each sent to each other, made the shuffle grow with the square of the rows."""
+    rows = spark.range(20_000).select("id", F.array(F.sin("id").cast("float"), F.cos("id").cast("float")).alias("embedding"))
+    assert vectors.blocked(rows, -1.0).groupBy("block").count().count() <= 2 * vectors.FEW_BLOCKS
+    names = rows.select("id", F.col("embedding").alias("behaviour"), F.col("embedding").alias("naming"))
+    plan = vectors.inconsistent_naming(names.limit(10), 0.5, 0.1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_single_precision_as_the_sql_takes_it(spark, duck):
+    x, _ = far_apart(400, size=64)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {(r.a, r.b): r.similarity for r in vectors.similar_pairs(rows, 0.1, single=True).collect()}
+    assert found
+    for a, b in sorted(found)[:300]:
+        got = duck.execute("SELECT list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) FROM (SELECT ?::FLOAT[] AS a, ?::FLOAT[] AS b)", [x[a].tolist(), x[b].tolist()]).fetchone()
+        assert found[a, b] == got[0]
