@@ -377,3 +377,10 @@ def test_single_precision_as_the_sql_takes_it(spark, duck):
     for a, b in sorted(found)[:300]:
         got = duck.execute("SELECT list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) FROM (SELECT ?::FLOAT[] AS a, ?::FLOAT[] AS b)", [x[a].tolist(), x[b].tolist()]).fetchone()
         assert found[a, b] == got[0]
+
+
+def test_texts_that_hold_a_name(spark):
+    names = ["get", "get_query", "", "ab", "query", "none_such"]
+    texts = ["my_get_query", "ab", "xget", "", None]
+    found = rules.holding(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert sorted(map(tuple, found.collect())) == sorted((n, t) for n in names for t in texts if t is not None and n in t)
