@@ -384,3 +384,13 @@ def test_texts_that_hold_a_name(spark):
     texts = ["my_get_query", "ab", "xget", "", None]
     found = rules.holding(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(t,) for t in texts], "text string"))
     assert sorted(map(tuple, found.collect())) == sorted((n, t) for n in names for t in texts if t is not None and n in t)
+
+
+def test_an_audit_of_names_writes_functions_alone(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(rules, "checkpoint", lambda df: written.append(df) or df)
+    g = graph(spark, [(1, "run", "/a.py", None)])
+    rows = spark.createDataFrame([(1, [1.0, 0.0], [0.0, 1.0])], "id long, behaviour array<double>, naming array<double>")
+    files = spark.createDataFrame([("/a.py", [1.0, 0.0])], "path string, naming array<double>")
+    counted = rules.audit(g, rules.Settings(categories=("naming",)), embeddings=vectors.Named(rows, files))
+    assert {r.rule: r.offenders for r in counted.collect()}["misleading_name"] == 1 and len(written) == 1
