@@ -53,6 +53,8 @@ DISCOUNT, LEAST_COUNT = 0.75, 2
 START, END, STEPS = np.uint64(1), np.uint64(2), 8
 #: Tokens for each shard; tokens that a task sorts at a time; bytes of a model that may be broadcast.
 SHARD_TOKENS, GATHERED, BROADCAST_BYTES = 4_000_000, 2_500_000, 256_000_000
+#: Bytes of text that are expanded at a time, to about 100 times as much, beside a worker's copy of the model.
+SLICE_BYTES = 1_000_000
 U = np.uint64
 
 
@@ -98,8 +100,8 @@ def tokens(piece: words.Piece, rows: int) -> Tokens:
 
 
 def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
-    for batch in common.slices(batches, limit=words.PIECE_BYTES):
-        for piece in words.pieces(batch, words.BLANK, repeat=2):
+    for batch in common.slices(batches, limit=SLICE_BYTES):
+        for piece in words.pieces(batch, words.BLANK, repeat=2, limit=SLICE_BYTES):
             yield tokens(piece, batch.num_rows)
 
 
@@ -550,9 +552,9 @@ def score_by_broadcast(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, tries = shared.value
         known, opened = {row["shard"]: open_words(row) for row in vocabulary}, open_tries(tries)
-        for batch in common.slices(batches, limit=words.PIECE_BYTES):
+        for batch in common.slices(batches, limit=SLICE_BYTES):
             sums = [np.zeros(batch.num_rows) for _ in range(4)]
-            for piece in words.pieces(batch, words.BLANK, repeat=2):
+            for piece in words.pieces(batch, words.BLANK, repeat=2, limit=SLICE_BYTES):
                 unit = Unit.of(tokens(piece, batch.num_rows))
                 asked = asks(unit, shards)
                 answers = {k: answer(ask, known.get(k), opened.get(k)) for k, ask in asked.items()}
@@ -570,9 +572,9 @@ def score_by_join(docs: DataFrame, model: Model) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
-        for batch in common.slices(batches, limit=words.PIECE_BYTES):
+        for batch in common.slices(batches, limit=SLICE_BYTES):
             ids = batch.column("doc_id").to_pylist()
-            for piece in words.pieces(batch, words.BLANK, repeat=2):
+            for piece in words.pieces(batch, words.BLANK, repeat=2, limit=SLICE_BYTES):
                 unit = Unit.of(tokens(piece, batch.num_rows))
                 asked = [{"shard": k, "body": pickle.dumps(ask)} for k, ask in asks(unit, shards).items()]
                 yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([[at + k for k in range(len(ids))]]), pa.array([ids], pa.list_(pa.int64())), pa.array([pickle.dumps(unit)]), pa.array([asked], pa.list_(pa.struct([("shard", pa.int32()), ("body", pa.binary())])))], names=["unit", "rows", "ids", "body", "asks"])

@@ -58,7 +58,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0, base ** 1, ... modulo 2**64."""
     known = _POWERS.get(base)
     if known is None or len(known) < n:
-        known = np.full(max(n, PIECE_BYTES + 1), base, np.uint64)
+        known = np.full(max(n, min(1 << n.bit_length(), PIECE_BYTES + 1)), base, np.uint64)  # as many as pieces ask for, not all that they may
         known[0] = 1
         np.multiply.accumulate(known, out=known)
         if n <= PIECE_BYTES + 1:

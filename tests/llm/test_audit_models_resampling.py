@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -213,6 +214,22 @@ def test_scoring_odd_rows(spark, monkeypatch):
     assert language_model.score(docs.limit(0), model).count() == 0
 
 
+def test_a_slice_takes_little_memory_beside_the_model():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 1000) % 100_000) for _ in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    assert batch.nbytes > 3_000_000
+    words._POWERS.clear()
+    tracemalloc.start()
+    for t in language_model.read(iter([batch])):
+        language_model.asks(language_model.Unit.of(t), language_model.Shards(4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120_000_000
+
+
 def test_pieces_of_one_text_score_like_the_whole():
     text = " ".join(f"w{k % 7}" for k in range(400)) + " end"
     whole = pieces_of([text], words.BLANK, 1 << 20, 2)
