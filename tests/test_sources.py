@@ -325,3 +325,46 @@ def test_listings_of_c_and_callers_without_a_file(spark, small):
     assert exports.any_callers(g, name["name"], name.path).count() > 0
     assert exports.any_callers(g, name["name"], "/nowhere.py").count() >= exports.any_callers(g, name["name"], name.path).count()
     assert exports.full_text(g.functions.selectExpr("id", "source AS text").limit(0), "hot").count() == 0
+
+
+ODD = '''import os
+@dec
+def f(a, b="""
+class Not: pass
+"""):
+    if a:
+        return g(1,
+x(2))
+y = 1 + \\
+z
+try:
+    h()
+except E:
+    pass
+else:
+    k = h(3)
+class C(B):
+    def m(self): return self.f()
+for i in y: pass
+else: f(i)
+t = lambda q: q
+'''
+
+
+@pytest.mark.parametrize("text", [ODD, ODD.replace("\n", "\r\n"), ODD + "def (", ODD + '"""\nx', ODD.replace("x(2))", "x(2)"), "a = 1\n\x00", ""])
+def test_a_file_parsed_by_statements_has_the_elements_of_the_whole(text):
+    whole = python_code.parse_text("x.py", text, 1 << 30)
+    for size in (1, 40, 100):
+        assert python_code.parse_text("x.py", text, size) == whole
+    assert len(whole) == 1 or len(whole) > 10 or not text
+
+
+def test_only_the_tree_of_some_statements_is_held():
+    import tracemalloc
+
+    text = "".join(f"def f{k}(a, b):\n    if a and b:\n        return f{k}(a)\n" for k in range(20_000))
+    tracemalloc.start()
+    rows = sum(map(len, python_code.elements_of("x.py", text)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 40_000 and peak < 40_000_000
