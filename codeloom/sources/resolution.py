@@ -7,6 +7,7 @@ import builtins
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpoint
 from ..registry import on_tables
 from .python_code import parse, sources_of, symbol_index
 
@@ -96,7 +97,7 @@ def resolve_bases(elements: DataFrame, symbols: DataFrame) -> DataFrame:
 
 @on_tables("""SELECT '/src/n' || a.c_nationkey || '.py' AS path, 'f' || b.c_custkey AS name, '/src/n' || b.c_nationkey || '.py' AS target, CASE WHEN a.c_nationkey = b.c_nationkey THEN 'local' ELSE 'unique' END AS how FROM customer a JOIN customer b ON b.c_custkey = greatest(a.c_custkey - 1, 0)""")
 def resolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elements = parse(sources_of(spark, sf_dir))
+    elements = checkpoint(parse(sources_of(spark, sf_dir)))  # read by many joins, parsed once
     return resolve_calls(elements, symbol_index(elements)).select("path", "name", "target", "how")
 
 
@@ -110,5 +111,5 @@ def split_bases(elements: DataFrame, symbols: DataFrame) -> tuple[DataFrame, Dat
 
 @on_tables("""SELECT '/src/n' || c_nationkey || '.py' AS path, count(*) AS calls, 'function' AS caller_kind, 'function' AS called_kind FROM customer GROUP BY c_nationkey""")
 def call_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elements = parse(sources_of(spark, sf_dir))
+    elements = checkpoint(parse(sources_of(spark, sf_dir)))  # read by many joins, parsed once
     return buckets(resolve_calls(elements, symbol_index(elements)), elements).groupBy("path", "caller_kind", "called_kind").agg(F.count("*").alias("calls"))

@@ -368,3 +368,8 @@ def test_only_the_tree_of_some_statements_is_held():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 40_000 and peak < 40_000_000
+
+
+def test_resolution_parses_once(spark, small):
+    for query in (resolution.resolved_calls, resolution.call_buckets):
+        assert "MapIn" not in query(spark, small)._jdf.queryExecution().optimizedPlan().toString()
