@@ -10,7 +10,7 @@ inequality with the widest distance of a list), and only those are read too.
 Rows are upserted by id, in versions (sources.versions): an insert of the same rows
 again changes nothing. Queries are a stated set; what they ask of lists is counted, and
 broadcast while it is at most PROBES rows, so that rows stay where they are whatever a
-list holds. More are joined by list, where adaptive execution splits a large one. Null or empty vectors, and
+list holds. More meet rows by list, in blocks of bounded size. Null or empty vectors, and
 those of another length than the centroids, are not indexed and find nothing. Of equal
 distances the smaller id is nearer.
 """
@@ -22,14 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import on_tables
 from ..sources.versions import Versions
 from ..streaming.live import scratch
 from .graph import checkpoint
-from .vectors import embeddings, search_all
+from .vectors import BLOCK, CHUNK, FOUND, NONE, best_of, column_of, embeddings, found_batch, matrix, nearer, nearest_in, search_all
 
 #: Most rows that centroids are fitted on, rounds of k-means, and pairs of a query and a list that are broadcast.
 SAMPLE, ROUNDS, PROBES = 20_000, 12, 65_536
@@ -62,10 +62,6 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
 
 
-def l2(a: str, b: str) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-
 @dataclass
 class VectorIndex:
     """An index in a folder that all machines share."""
@@ -101,18 +97,18 @@ class VectorIndex:
 
     def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """(query, vec_id, distance, rank): the k nearest rows of those in the `probes` lists nearest to each query (vec_id, embedding)."""
-        return ranked(self._looked(self._probes(queries, probes)), k)
+        return ranked(self._looked(self._probes(queries, probes), k), k)
 
     def search_exact(self, queries: DataFrame, k: int, probes: int = 1) -> DataFrame:
         """The k nearest of all rows: probed lists first, then all that can hold a nearer one."""
         every = checkpoint(self._probes(queries, None).withColumn("turn", F.row_number().over(Window.partitionBy("query").orderBy("distance", "list"))))
-        first = checkpoint(ranked(self._looked(every.filter(F.col("turn") <= probes)), k))
+        first = checkpoint(ranked(self._looked(every.filter(F.col("turn") <= probes), k), k))
         bound = first.filter(F.col("rank") == k).select("query", F.col("distance").alias("bound"))
         reach = self.rows().groupBy("list").agg(F.max("distance").alias("widest"))  # a row for each list
         more = every.filter(F.col("turn") > probes).join(bound, "query", "left").join(F.broadcast(reach), "list")
         # a little more than the bound, for the rounding of distances
         more = more.filter(F.col("bound").isNull() | (F.col("distance") - F.col("widest") <= F.col("bound") * (1 + 1e-9) + 1e-9))
-        return ranked(first.select("query", "vec_id", "distance").union(self._looked(more)), k)
+        return ranked(first.select("query", "vec_id", "distance").union(self._looked(checkpoint(more), k)), k)
 
     def _probes(self, queries: DataFrame, probes: int | None) -> DataFrame:
         centres = self.centroids()
@@ -120,12 +116,42 @@ class VectorIndex:
         found = usable(queries).filter(F.size("embedding") == size).mapInArrow(nearest_lists(centres, probes or len(centres)), f"{ROW}, list int, distance double")
         return found.withColumnRenamed("vec_id", "query").withColumnRenamed("embedding", "target")
 
-    def _looked(self, asked: DataFrame) -> DataFrame:
-        """(query, vec_id, distance): queries against the rows of their lists."""
-        asked = asked.select("query", "target", "list")
-        small = asked.limit(PROBES + 1).count() <= PROBES
-        both = self.rows().select("vec_id", "embedding", "list").join(F.broadcast(asked) if small else asked, "list")
-        return both.select("query", "vec_id", l2("embedding", "target").alias("distance"))
+    def _looked(self, asked: DataFrame, k: int) -> DataFrame:
+        """(query, vec_id, distance): the k nearest at least of the rows in each query's lists, which meet as matrices."""
+        rows = self.rows().select("vec_id", "embedding", "list")
+        if asked.limit(PROBES + 1).count() <= PROBES:
+            return rows.mapInArrow(looking(asked.select("query", "list").toArrow(), asked.select("query", "target").dropDuplicates(["query"]).toArrow(), self.spark, k), FOUND)
+        most = [df.groupBy("list").count().agg(F.max("count")).first()[0] or 1 for df in (asked, rows)]
+        blocks, chunks = -(-most[0] // BLOCK), -(-most[1] // CHUNK)
+
+        def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+            return df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).groupBy("list", "block", "chunk")
+
+        queries = asked.select(F.col("query").alias("vec_id"), F.col("target").alias("embedding"), "list")
+        return dealt(queries, "block", blocks, "chunk", chunks).cogroup(dealt(rows, "chunk", chunks, "block", blocks)).applyInArrow(lambda left, right: nearest_in(left, right, k), FOUND)
+
+
+def looking(pairs: pa.Table, queries: pa.Table, spark: SparkSession, k: int):  # noqa: ANN201
+    """Rows against the queries that ask for their lists; pairs and queries were counted to be few."""
+    ids = queries["query"].to_numpy()
+    order = np.argsort(ids)
+    vectors = matrix(column_of(queries, "target"))[order] if len(ids) else np.zeros((0, 0))
+    at, lists = np.searchsorted(ids[order], pairs["query"].to_numpy()), pairs["list"].to_numpy()
+    shared = spark.sparkContext.broadcast((ids[order], vectors, {int(x): at[lists == x] for x in np.unique(lists)}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, asking = shared.value
+        best = NONE
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, m, lists = batch.column("vec_id").to_numpy(), matrix(batch.column("embedding")), batch.column("list").to_numpy()
+            for x in np.unique(lists).tolist():
+                if x in asking:
+                    best = nearer(best, best_of(ids[asking[x]], vectors[asking[x]], own[lists == x], m[lists == x], k), k)
+        yield found_batch(best)
+
+    return run
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -137,7 +163,7 @@ def nearest_lists(centres: np.ndarray, n: int):  # noqa: ANN201
         for batch in batches:
             if not batch.num_rows or not len(centres):
                 continue
-            d = distances(np.array(batch.column("embedding").to_pylist(), np.float64), centres)
+            d = distances(matrix(batch.column("embedding")), centres)
             near = np.argsort(d, axis=1, kind="stable")[:, :n]
             at = np.repeat(np.arange(len(d)), near.shape[1])
             out = batch.take(pa.array(at))

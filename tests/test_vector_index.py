@@ -53,3 +53,34 @@ def test_upserts_deletions_and_odd_rows(spark, tmp_path):
     empty = vi.VectorIndex(spark, str(tmp_path / "e"))
     empty.build(rows.limit(0), 4)
     assert empty.search(query, 3, 1).count() == 0
+
+
+def test_many_pairs_meet_in_blocks_of_lists(spark, rows, tmp_path, monkeypatch):
+    index = vi.VectorIndex(spark, str(tmp_path / "i"))
+    index.build(rows, 16)
+    queries = rows.filter("vec_id % 100 = 0")
+    monkeypatch.setattr(vi, "PROBES", 0)
+    monkeypatch.setattr(vi, "BLOCK", 3)
+    monkeypatch.setattr(vi, "CHUNK", 20)
+    df = index.search(queries, 5, 16)
+    assert "FlatMapCoGroupsInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert found(df) == exact(rows, queries, 5)
+
+
+def test_many_queries_take_little_memory_and_find_the_nearest():
+    import tracemalloc
+
+    from codeloom.operators.vectors import best_of
+
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(5000, 16))
+    m[1000:1020] = m[7]  # copies
+    tracemalloc.start()
+    q, i, d = best_of(np.arange(4096), m[:4096], np.arange(5000), m, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+    assert len(q) == 5 * 4096 and i[q == 7].tolist() == [7, 1000, 1001, 1002, 1003] and d[q == 7].max() == 0
+    true = np.sqrt(((m[:50, None] - m[None]) ** 2).sum(-1))
+    for k in range(50):
+        assert set(i[q == k][:3]) == set(np.lexsort((np.arange(5000), true[k]))[:3])
