@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..functions import vectors as v
 from ..registry import on_graph
-from .graph import Graph, top
+from .graph import Graph, checkpoint, top
 from .traversal import neighbourhood
 
 #: Texts in, vectors out. A provider is called with batches of at most BATCH.
@@ -20,16 +22,20 @@ Provider = Callable[[list[str]], np.ndarray]
 BATCH, SIZE = 64, 64
 
 
+@lru_cache(1 << 16)
+def places(word: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where a word and its three-letter parts go in a vector, and with what sign; words come again and again."""
+    hashes = [zlib.crc32(part.encode()) for part in [word, *(word[i : i + 3] for i in range(len(word) - 2))]]
+    return np.array([h % SIZE for h in hashes]), np.array([1.0 if h >> 31 else -1.0 for h in hashes])
+
+
 def hashing_provider(texts: list[str]) -> np.ndarray:
     """Vectors without a model: signed hashes of words and their three-letter parts, of length one."""
-    import zlib
-
     out = np.zeros((len(texts), SIZE))
-    for k, text in enumerate(texts):
-        for word in text.lower().split():
-            for part in [word, *(word[i : i + 3] for i in range(len(word) - 2))]:
-                h = zlib.crc32(part.encode())
-                out[k, h % SIZE] += 1 if h >> 31 else -1
+    found = [[places(word) for word in text.lower().split()] for text in texts]
+    rows = np.repeat(np.arange(len(texts)), [sum(len(at) for at, _ in x) for x in found])
+    if len(rows):
+        np.add.at(out, (rows, np.concatenate([at for x in found for at, _ in x])), np.concatenate([sign for x in found for _, sign in x]))
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -59,7 +65,7 @@ def search(g: Graph, vectors: DataFrame, query: str, k: int = 8, depth: int = 1,
     """(category, id, score): the k elements nearest to the query, then their neighbours in the graph."""
     target = F.array(*(F.lit(float(x)) for x in provider([query])[0]))
     hits = top(vectors.filter("embedding is not null").select("id", v.l2(F.col("embedding"), target).alias("distance")), k, "distance", "id")
-    hits = hits.select("id", v.similarity(F.col("distance")).alias("score"))
+    hits = checkpoint(hits.select("id", v.similarity(F.col("distance")).alias("score")))  # k rows that five joins read: all texts are embedded once
     near = neighbourhood(g, hits, depth).select("category", "id", F.lit(None).cast("double").alias("score"))
     return hits.select(F.lit("hit").alias("category"), "id", "score").union(near)
 

@@ -394,3 +394,10 @@ def test_an_audit_of_names_writes_functions_alone(spark, monkeypatch):
     files = spark.createDataFrame([("/a.py", [1.0, 0.0])], "path string, naming array<double>")
     counted = rules.audit(g, rules.Settings(categories=("naming",)), embeddings=vectors.Named(rows, files))
     assert {r.rule: r.offenders for r in counted.collect()}["misleading_name"] == 1 and len(written) == 1
+
+
+def test_hybrid_search_embeds_once(spark, small):
+    from codeloom.operators import hybrid
+    from codeloom.operators.graph import load
+
+    assert "MapIn" not in hybrid.hybrid_search(load(spark, small))._jdf.queryExecution().optimizedPlan().toString()
