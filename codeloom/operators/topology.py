@@ -7,7 +7,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import on_graph, on_tables
@@ -35,30 +35,48 @@ def coin(node: int, turn: int) -> int:
     return crc32(f"{node}:{turn}".encode())
 
 
-def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, depth: int = 0) -> dict[int, int]:
+#: A level of Louvain goes on while a round raises modularity by one part of this many.
+LEAST_RISE = 10_000
+
+
+def is_small(raised: int, total: int, depth: int) -> bool:
+    return 2 * raised * LEAST_RISE < total * total * 2**depth
+
+
+def sums_before(group: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """For each row the sum of k over the rows of its group that come before it."""
+    order = np.argsort(group, kind="stable")
+    ahead = np.cumsum(k[order]) - k[order]
+    first = np.append(True, np.diff(group[order]) != 0)
+    out = np.empty_like(k)
+    out[order] = ahead - ahead[first][np.cumsum(first) - 1]
+    return out
+
+
+def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, depth: int = 0, k: np.ndarray | None = None, total: int = 0) -> dict[int, int]:
     """Community of each node of an undirected graph, with edges a < b of weight w, by moves that raise modularity, level after level.
 
     All nodes of a round choose by the same state: the neighbouring community of the highest gain, their own
-    and then the smaller one in a tie. Of those that want to move a share does, drawn by a hash, the one with the
-    least hash always. A round that does not raise modularity is taken back and the share halved; one that does
-    doubles it, to a half at the most. A level ends when no node wants to move. Whole numbers only, so that
-    `louvain_of` gets the same from joins. The resolution is (3/2)**depth.
+    and then the smaller one in a tie. The moves are drawn in the order of a hash of the round. A community gives
+    in a round if the first move that touches it leads out of it, else it receives; only moves from one that
+    gives to one that receives are made. Of the moves that a community shares, a later one counts all earlier
+    ones as made, though some may not be: its gain can only be higher, as edges between nodes that move together
+    are left out. If it is still positive the node moves, so each round raises modularity and the first move is
+    always made. A level ends when no node wants to move or when a round has raised modularity by less than one
+    part in LEAST_RISE; the last level is one in which no node wants to move at all. Whole numbers only, so that
+    `louvain_of` gets the same from joins. The resolution is (3/2)**depth. k and total: weights of the nodes, by
+    their order, and of the whole graph, where the edges are those between communities of an earlier level.
     """
     up, down = 3**depth, 2**depth
     names, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
     w = np.concatenate((w, w))
     x, y = ends, np.roll(ends, len(a))
-    k = np.bincount(x, w, len(names)).astype(np.int64)
-    of, total = np.arange(len(names)), int(k.sum())  # names are sorted, so that the order of places is theirs
-    ids = names
+    if k is None:
+        k = np.bincount(x, w, len(names)).astype(np.int64)
+        total = int(k.sum())
+    of, ids = np.arange(len(names)), names  # names are sorted, so that the order of places is theirs
     while True:
-        n, home = len(ids), np.arange(len(ids))
-
-        def value(home: np.ndarray) -> int:
-            size = np.bincount(home, k, n).astype(np.int64)
-            return total * down * int(w[home[x] == home[y]].sum()) - up * int((size * size).sum())
-
-        best_value, turn, refused, moved = value(home), 0, 0, False
+        n, home, turn = len(ids), np.arange(len(ids)), 0
         while True:
             size = np.bincount(home, k, n).astype(np.int64)
             pairs, inverse = np.unique(np.concatenate((x * n + home[y], np.arange(n) * n + home)), return_inverse=True)
@@ -72,18 +90,22 @@ def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, depth: int = 0) -> dict
             if not len(want):
                 break
             coins = np.array([coin(i, turn) for i in ids[node[want]].tolist()])
-            goes = coins % (2 << refused) == 0
-            goes[np.lexsort((ids[node[want]], coins))[0]] = True
-            there = home.copy()
-            there[node[want[goes]]] = to[want[goes]]
-            now = value(there)
-            if now > best_value:
-                home, best_value, refused, moved = there, now, max(0, refused - 1), True
-            else:
-                refused += 1
+            want = want[np.lexsort((node[want], coins))]
+            mover, to, source = node[want], to[want], home[node[want]]
+            rises = gain[want] - gain[stays][mover]  # pairs are sorted: the own community of each node, by nodes
+            least = np.full((2, n), len(want))
+            np.minimum.at(least[0], source, np.arange(len(want)))
+            np.minimum.at(least[1], to, np.arange(len(want)))
+            gives = least[0] < least[1]
+            earlier = sums_before(source, k[mover] * gives[source]) + sums_before(to, k[mover] * ~gives[to])
+            goes = gives[source] & ~gives[to] & (rises > up * k[mover] * earlier)
+            raised = int((rises - up * k[mover] * earlier)[goes].sum())
+            home[mover[goes]] = to[goes]
             turn += 1
+            if is_small(raised, total, depth):
+                break
         of = home[of]
-        if not moved:
+        if not turn:
             return dict(zip(names.tolist(), ids[of].tolist(), strict=True))
         kept, places = np.unique(home, return_inverse=True)
         ids, of = ids[kept], np.searchsorted(kept, of)
@@ -113,85 +135,95 @@ def communities_of(edges: list[tuple[int, int]], depth: int = 0) -> dict[int, in
     return out
 
 
-def louvain_of(edges: DataFrame, depth: int = 0) -> DataFrame:
-    """`louvain` by joins, for graphs of any size: (id, community) from edges (a, b, w) with a < b."""
+#: Edges up to which one task gets the same result sooner.
+LOUVAIN_EDGES = 500_000
+
+
+def moves(near: DataFrame, home: DataFrame, total: int, depth: int, turn: int) -> DataFrame:
+    """(id, to, raised): the moves of a round of `louvain`, from edges (a, b, w, k of a) in both directions and nodes (id, k, c)."""
     up, down = 3**depth, 2**depth
-    near = checkpoint(edges.select("a", "b", "w").union(edges.select("b", "a", "w")))
-    nodes = checkpoint(near.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")))
+    sizes = home.groupBy("c").agg(F.sum("k").alias("size"))
+    held = home.join(sizes.hint("merge"), "c").select("id", "k", F.col("c").alias("to"), "size")
+    around = near.join(held.select(F.col("id").alias("b"), "to", "size").hint("merge"), "b").select("a", "k", "to", "size", "w", F.lit(False).alias("own"))
+    around = around.union(held.select("id", "k", "to", "size", F.lit(0).cast("long"), F.lit(True))).repartition("a")
+    links = around.groupBy("a", "to").agg(F.max("k").alias("k"), F.max("size").alias("size"), F.sum("w").alias("w"), F.max("own").alias("own"))
+    gain = F.lit(total * down) * F.col("w") - F.lit(up) * F.col("k") * (F.col("size") - F.when(F.col("own"), F.col("k")).otherwise(0))
+    links = links.withColumn("gain", gain)
+    best = links.groupBy(F.col("a").alias("id")).agg(F.max("k").alias("k"), F.max_by("to", F.struct("gain", "own", -F.col("to"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("own"), F.struct("to", "gain"))).alias("stays"))
+    drawn = F.crc32(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(turn))).cast("binary"))
+    want = best.filter("to <> stays.to").select("id", "k", "to", (F.col("gain") - F.col("stays.gain")).alias("rises"), drawn.alias("coin"), F.explode(F.array(F.struct(F.col("stays.to").alias("c"), F.lit(True).alias("out")), F.struct(F.col("to").alias("c"), F.lit(False).alias("out")))).alias("touched"))
+    want = want.select("id", "k", "to", "rises", "coin", "touched.*")
+    drawn_first = Window.partitionBy("c").orderBy("coin", "id")
+    touched = want.withColumn("right", F.col("out") == F.first("out").over(drawn_first))
+    touched = touched.withColumn("earlier", F.coalesce(F.sum(F.when(F.col("right"), F.col("k"))).over(drawn_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    both = touched.filter("right").groupBy("id").agg(F.count("*").alias("n"), F.max("k").alias("k"), F.max("to").alias("to"), F.max("rises").alias("rises"), F.sum("earlier").alias("earlier"))
+    return both.filter("n = 2").select("id", "to", (F.col("rises") - F.lit(up) * F.col("k") * F.col("earlier")).alias("raised")).filter("raised > 0")
+
+
+def louvain_of(edges: DataFrame, depth: int = 0, in_one_task: int = LOUVAIN_EDGES) -> DataFrame:
+    """`louvain` by joins, for graphs of any size: (id, community) from edges (a, b, w) with a < b. A round is one plan of joins of nodes and edges; a level that has few edges left goes to one task."""
+    both = checkpoint(edges.select("a", "b", "w").union(edges.select("b", "a", "w")))
+    nodes = checkpoint(both.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")))
     total = int(nodes.agg(F.sum("k")).first()[0])
     of = nodes.select("id", F.col("id").alias("community"))
-    while True:
-        home = nodes.select("id", "k", F.col("id").alias("c"))
 
-        def placed(home: DataFrame) -> DataFrame:
-            return near.join(home.select(F.col("id").alias("b"), F.col("c").alias("to")), "b").select("a", "to", "w")
+    def rest(batch: pd.DataFrame) -> pd.DataFrame:
+        weights = dict(zip(batch["a"].tolist(), batch["k"].tolist(), strict=True))
+        pairs = batch[batch["a"] < batch["b"]]
+        found = louvain(pairs["a"].to_numpy(), pairs["b"].to_numpy(), pairs["w"].to_numpy(), depth, np.array([weights[x] for x in sorted(weights)], np.int64), total)
+        return pd.DataFrame(found.items(), columns=["community", "c"])
 
-        def value(home: DataFrame) -> int:
-            inside = placed(home).join(home.select(F.col("id").alias("a"), F.col("c").alias("to")), ["a", "to"]).agg(F.sum("w")).first()[0]
-            size = home.groupBy("c").agg(F.sum("k").cast("decimal(19,0)").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
-            return total * down * int(inside or 0) - up * int(size)
-
-        best_value, turn, refused, moved = value(home), 0, 0, False
+    while True:
+        near = checkpoint(both.join(nodes.select(F.col("id").alias("a"), "k").hint("merge"), "a").select("a", "b", "w", "k"))
+        if near.count() <= 2 * in_one_task and 4 * 3**depth * total**2 < 2**63:  # numpy would not tell of numbers that are too large
+            last = near.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(rest, "community long, c long")
+            return checkpoint(of.join(last, "community", "left").select("id", F.coalesce("c", "community").alias("community")))
+        home, turn = nodes.select("id", "k", F.col("id").alias("c")), 0
         while True:
-            links = placed(home).union(home.select("id", "c", F.lit(0).cast("long"))).groupBy("a", "to").agg(F.sum("w").alias("w"))
-            size = home.groupBy(F.col("c").alias("to")).agg(F.sum("k").alias("size"))
-            choice = links.join(home.select(F.col("id").alias("a"), "k", "c"), "a").join(size, "to")
-            stays = F.col("to") == F.col("c")
-            gain = F.lit(total * down) * F.col("w") - F.lit(up) * F.col("k") * (F.col("size") - F.when(stays, F.col("k")).otherwise(0))
-            best = choice.groupBy(F.col("a").alias("id")).agg(F.max_by(F.struct("to", "c"), F.struct(gain, stays, -F.col("to"))).alias("x"))
-            want = checkpoint(best.filter("x.to <> x.c").select("id", F.col("x.to").alias("to"), F.crc32(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(turn))).cast("binary")).alias("coin")))
-            least = want.agg(F.min(F.struct("coin", "id")).alias("x")).first()[0]
-            if least is None:
+            home = checkpoint(home.select("id", "k", "c").join(moves(near, home, total, depth, turn).hint("merge"), "id", "left").select("id", "k", F.coalesce("to", "c").alias("c"), "raised"))
+            raised = home.agg(F.sum(F.col("raised").cast("decimal(38,0)"))).first()[0]
+            turn += raised is not None
+            if raised is None or is_small(int(raised), total, depth):
                 break
-            goes = want.filter((F.col("coin") % (2 << refused) == 0) | (F.col("id") == least.id)).select("id", "to")
-            there = checkpoint(home.join(goes, "id", "left").select("id", "k", F.coalesce("to", "c").alias("c")))
-            now = value(there)
-            if now > best_value:
-                home, best_value, refused, moved = there, now, max(0, refused - 1), True
-            else:
-                refused += 1
-            turn += 1
-        if not moved:
+        if not turn:
             return of
-        of = checkpoint(of.join(home.select(F.col("id").alias("community"), "c"), "community").select("id", F.col("c").alias("community")))
-        near = checkpoint(placed(home).join(home.select(F.col("id").alias("a"), "c"), "a").filter("c <> to").groupBy(F.col("c").alias("a"), F.col("to").alias("b")).agg(F.sum("w").alias("w")))
+        of = checkpoint(of.join(home.select(F.col("id").alias("community"), "c").hint("merge"), "community").select("id", F.col("c").alias("community")))
+        place = home.select("id", "c")
+        between = near.join(place.select(F.col("id").alias("b"), F.col("c").alias("to")).hint("merge"), "b").join(place.select(F.col("id").alias("a"), "c").hint("merge"), "a")
+        both = checkpoint(between.filter("c <> to").groupBy(F.col("c").alias("a"), F.col("to").alias("b")).agg(F.sum("w").alias("w")))
         nodes = checkpoint(home.groupBy(F.col("c").alias("id")).agg(F.sum("k").alias("k")))
 
 
-def cut_again(edges: DataFrame, depth: int = 0) -> DataFrame:
-    """`communities_of` by joins."""
+def cut_again(edges: DataFrame, in_one_task: int = LOUVAIN_EDGES, depth: int = 0) -> DataFrame:
+    """`communities_of` by joins, within one task, with the same result, while the edges are few. The edges are read several times."""
+    if edges.count() <= in_one_task:
+
+        def run(batch: pd.DataFrame) -> pd.DataFrame:
+            found = communities_of(sorted(zip(batch["src"].tolist(), batch["dst"].tolist(), strict=True)), depth)
+            return pd.DataFrame(sorted(found.items()), columns=["id", "community"])
+
+        return edges.select("src", "dst", F.lit(0).alias("part")).groupBy("part").applyInPandas(run, "id long, community long")
     weighed = checkpoint(edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("w")))
     every = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     if not weighed.isEmpty():
-        found = every.join(louvain_of(weighed, depth), "id", "left").select("id", F.coalesce("community", "id").alias("c"))
+        found = every.join(louvain_of(weighed, depth, in_one_task).hint("merge"), "id", "left").select("id", F.coalesce("community", "id").alias("c"))
     else:
         found = every.select("id", F.col("id").alias("c"))
     found = checkpoint(found)
     groups = found.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("community"))
-    out = checkpoint(found.join(groups, "c").select("id", "c", "n", "community"))
+    out = checkpoint(found.join(groups.hint("merge"), "c").select("id", "c", "n", "community"))
     most = max(3, int(LARGE_SHARE * out.count()))
     for c in [r.c for r in out.filter(F.col("n") > most).select("c").distinct().collect()]:  # three at the most
         inside = out.filter(F.col("c") == c).select("id")
-        part = edges.filter("src <> dst").join(inside.withColumnRenamed("id", "src"), "src", "left_semi").join(inside.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
-        finer = cut_again(part, depth + 1).withColumnRenamed("community", "finer")
-        out = checkpoint(out.join(finer, "id", "left").select("id", "c", "n", F.coalesce("finer", F.when(F.col("c") == c, F.col("id")), "community").alias("community")))
+        part = checkpoint(edges.filter("src <> dst").join(inside.withColumnRenamed("id", "src").hint("merge"), "src", "left_semi").join(inside.withColumnRenamed("id", "dst").hint("merge"), "dst", "left_semi").select("src", "dst"))
+        finer = cut_again(part, in_one_task, depth + 1).withColumnRenamed("community", "finer")
+        out = checkpoint(out.join(finer.hint("merge"), "id", "left").select("id", "c", "n", F.coalesce("finer", F.when(F.col("c") == c, F.col("id")), "community").alias("community")))
     return out.select("id", "community")
 
 
-#: Edges up to which one task gets the same result sooner.
-LOUVAIN_EDGES = 500_000
-
-
 def communities(edges: DataFrame, in_one_task: int = LOUVAIN_EDGES) -> DataFrame:
     """(id, community). Louvain by joins; within one task, with the same result, while the graph has few edges."""
-    if edges.limit(in_one_task + 1).count() > in_one_task:
-        return cut_again(edges)
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        found = communities_of(sorted(zip(batch["src"].tolist(), batch["dst"].tolist(), strict=True)))
-        return pd.DataFrame(sorted(found.items()), columns=["id", "community"])
-
-    return edges.select("src", "dst", F.lit(0).alias("part")).groupBy("part").applyInPandas(run, "id long, community long")
+    return cut_again(checkpoint(edges.select("src", "dst")), in_one_task)
 
 
 @on_graph()

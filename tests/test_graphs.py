@@ -1,6 +1,7 @@
 """Small hand-made graphs whose answers are known."""
 
 from dataclasses import fields, replace
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -209,6 +210,23 @@ def test_communities_are_the_same_at_every_size(spark):
     assert len({c for _, c in one}) > 1
 
 
+def test_communities_by_joins_take_few_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 400, (450, 2)) if a != b})
+    rounds, joined = [], topology.checkpoint
+    monkeypatch.setattr(topology, "checkpoint", lambda df: rounds.append(1) or (joined(df) if len(rounds) <= 60 else pytest.fail("too many rounds")))
+    mixed = {(r.id, r.community) for r in topology.communities(edges(spark, *pairs), 250).collect()}  # a level by joins, the rest in one task
+    assert mixed == set(topology.communities_of(pairs).items()) and 1 < len({c for _, c in mixed}) < 200
+
+
+def test_a_path_of_rising_weights_takes_few_rounds(monkeypatch):
+    turns = []
+    monkeypatch.setattr(topology, "coin", lambda node, turn: turns.append(turn) or crc32(f"{node}:{turn}".encode()))
+    a = np.arange(3000)
+    found = topology.louvain(a, a + 1, a + 1)
+    assert max(turns) < 60 and len(found) == 3001 and 10 < len(set(found.values())) < 100
+
+
 def test_density_clusters_of_two_clouds():
     rng = np.random.default_rng(0)
     points = np.concatenate((rng.normal(0, 0.1, (20, 2)), rng.normal(5, 0.1, (20, 2)), [[50.0, 50.0]]))
