@@ -414,6 +414,21 @@ def test_an_audit_of_names_writes_functions_alone(spark, monkeypatch):
     assert {r.rule: r.offenders for r in counted.collect()}["misleading_name"] == 1 and len(written) == 1
 
 
+def test_an_audit_holds_one_rule_at_a_time(spark, monkeypatch):
+    """The plan of a rule is counted and gone before the next rule is made."""
+    made = []
+    count = type(spark.range(1)).count
+    monkeypatch.setattr(type(spark.range(1)), "count", lambda df: made.append("counted") or count(df))
+
+    def rule(name, least):
+        return rules.Rule(name, lambda g: made.append(name) or g.functions.filter(F.col("id") >= least))
+
+    g = graph(spark, [(k, f"f{k}", "/a.py", None) for k in range(1, 6)])
+    counted = rules.audit(g, rules={x.id: x for x in (rule("three", 3), rule("none", 9), rule("all", 0))})
+    assert made == ["three", "counted", "none", "counted", "all", "counted"]
+    assert {r.rule: r.offenders for r in counted.collect()} == {"three": 3, "none": 0, "all": 5}
+
+
 def test_hybrid_search_embeds_once(spark, small):
     from codeloom.operators import hybrid
     from codeloom.operators.graph import load
