@@ -18,9 +18,11 @@ counted where both their pairs are kept, if the pairs were found small enough to
 broadcast; else all are counted and the same ones kept.
 
 Documents look up all of a slice's distinct n-grams at once. Models of at most
-BROADCAST_BYTES are broadcast. Beyond that, each slice of documents becomes a unit
+BROADCAST_BYTES are broadcast. Beyond that, each UNIT_TOKENS of documents become a unit
 that sends its distinct n-grams to the shards, gets their values back and is summed
-up: the same numbers by another way.
+up: the same numbers by another way. What is written of a unit is its words and which
+of them each token is; what goes to a shard and back are compressed deltas and codes,
+and where they belong in the unit is found again from its tokens.
 
 Levels are read in place, as NumPy views of the Arrow buffers or broadcast bytes that
 hold them; no file of one machine is involved. Keys of words have 64 bits; in tries a
@@ -51,8 +53,10 @@ from .elias_fano import CHILD, CHILD_BITS, Sequence, Trie
 DISCOUNT, LEAST_COUNT = 0.75, 2
 #: Keys of the marks of a text; steps of a quantised probability in an octave.
 START, END, STEPS = np.uint64(1), np.uint64(2), 8
-#: Tokens for each shard; tokens that a task sorts at a time; bytes of a model that may be broadcast.
-SHARD_TOKENS, GATHERED, BROADCAST_BYTES = 4_000_000, 2_500_000, 256_000_000
+#: Tokens for each shard; tokens that a task sorts at a time, of triples half as many; bytes of a model that may be broadcast, and of the pairs that triples are chosen by.
+SHARD_TOKENS, GATHERED, BROADCAST_BYTES, PAIR_BYTES = 2_000_000, 2_500_000, 160_000_000, 128_000_000
+#: Tokens of a unit of documents that asks shards.
+UNIT_TOKENS = 500_000
 #: Bytes of text that are expanded at a time, to about 100 times as much, beside a worker's copy of the model.
 SLICE_BYTES = 1_000_000
 U = np.uint64
@@ -171,14 +175,14 @@ def summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(values)
     values = values[order]
     at = np.flatnonzero(np.diff(values, prepend=~values[:1]))
-    return values[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+    return values[at], np.add.reduceat(counts[order], at, dtype=np.int64) if len(at) else counts[:0].astype(np.int64)
 
 
-def gathered(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+def gathered(parts: Iterator[np.ndarray], limit: int = GATHERED) -> Iterator[np.ndarray]:
     held: list[np.ndarray] = []
     for part in parts:
         held.append(part)
-        if sum(map(len, held)) >= GATHERED:
+        if sum(map(len, held)) >= limit:
             yield np.concatenate(held)
             held = []
     if sum(map(len, held)):
@@ -297,7 +301,7 @@ def count_triples(texts: DataFrame, pairs: DataFrame, shards: Shards, broadcast:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = open_tries(shared.value) if shared is not None else None
-        for rows in gathered(triples(t, kept) for t in read(batches)):
+        for rows in gathered((triples(t, kept) for t in read(batches)), GATHERED // 2):
             pair, place = ranks(rows[:, 0])
             which = shards.of_pair(pair)
             order = np.argsort(which.astype(np.uint32), kind="stable")  # pairs by shard, still ascending in each
@@ -318,15 +322,16 @@ def count_triples(texts: DataFrame, pairs: DataFrame, shards: Shards, broadcast:
         row = left.to_pylist()[0]
         pairs, n_pair, code = undeltas(row["keys"]), unplaned(row["counts"], np.uint64).astype(np.int64), np.frombuffer(row["codes"], np.uint8)
         found, counts = [], []
-        for part in right.to_pylist():
+        for part in (batch.slice(k, 1).to_pylist()[0] for batch in right.to_batches() for k in range(batch.num_rows)):
             keys = undeltas(part["keys"])
             place = np.minimum(np.searchsorted(pairs, keys), max(len(pairs) - 1, 0))
             known = pairs[place] == keys if len(pairs) else np.zeros(len(keys), bool)
             children = unplaned(part["children"], np.uint32)
             known = np.repeat(known, children)
             found.append((np.repeat(place, children).astype(np.uint64) << U(CHILD_BITS) | unplaned(part["last"], np.uint32).astype(np.uint64))[known])
-            counts.append(unplaned(part["counts"], np.uint32).astype(np.int64)[known])
+            counts.append(unplaned(part["counts"], np.uint32)[known])
         triples, n = summed(np.concatenate(found), np.concatenate(counts)) if found else (pairs[:0], n_pair[:0])
+        del found, counts
         triples, n = triples[n >= LEAST_COUNT], n[n >= LEAST_COUNT]
         owner = (triples >> U(CHILD_BITS)).astype(np.int64)
         triple_code = quantised((n - DISCOUNT) / n_pair[owner])
@@ -415,7 +420,7 @@ class Model:
     tries: DataFrame
 
 
-def train(texts: DataFrame, shard_tokens: int = SHARD_TOKENS, broadcast: int = BROADCAST_BYTES) -> Model:
+def train(texts: DataFrame, shard_tokens: int = SHARD_TOKENS, broadcast: int = PAIR_BYTES) -> Model:
     """texts: a column text, a row for each training text."""
     texts = texts.select("text")
     counts = count_words(texts)
@@ -432,6 +437,39 @@ def train(texts: DataFrame, shard_tokens: int = SHARD_TOKENS, broadcast: int = B
 # Scoring
 
 
+def squeezed(*arrays: np.ndarray) -> bytes:
+    body = pickle.dumps([(x.dtype.str, planes(x)) for x in arrays])
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> list[np.ndarray]:
+    body = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return [unplaned(x, np.dtype(kind)) for kind, x in pickle.loads(body)]
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=U(0))
+
+
+def joined(parts: list[tuple[Tokens, int]]) -> Tokens:
+    """Tokens of several slices behind each other, each with the number of rows before it."""
+    before = np.cumsum([0, *(len(t.keys) for t, _ in parts[:-1])])
+    return Tokens(np.concatenate([t.keys for t, _ in parts]), np.concatenate([t.at + n for (t, _), n in zip(parts, before, strict=True)]), np.concatenate([t.row + n for t, n in parts]))
+
+
+def packed(t: Tokens, rows: int) -> bytes:
+    keys, place = ranks(t.keys)
+    own = np.zeros(len(place), bool)
+    own[t.at] = True
+    return squeezed(steps(keys), narrow(place), np.packbits(own), narrow(np.bincount(t.row, minlength=rows)))
+
+
+def unpacked(data: bytes) -> Tokens:
+    keys, place, own, n = unsqueezed(data)
+    at = np.flatnonzero(np.unpackbits(own, count=len(place)))
+    return Tokens(np.cumsum(keys, dtype=np.uint64)[place], at, np.repeat(np.arange(len(n)), n))
+
+
 @dataclass
 class Unit:
     """The distinct n-grams of a slice of texts, each asked for once, and how its tokens read the answers."""
@@ -477,6 +515,20 @@ class Ask:
     last: np.ndarray
     triples_at: np.ndarray
 
+    def dump(self) -> bytes:
+        """What a shard must know: words, contexts and pairs ascend; of pairs each context, how many there are of it and the successors."""
+        behind = self.pairs >> U(CHILD_BITS)
+        at = np.flatnonzero(np.diff(behind, prepend=~behind[:1]))
+        return squeezed(steps(self.words), steps(self.contexts), steps(behind[at]), narrow(np.diff(at, append=len(behind))), (self.pairs & CHILD).astype(np.uint32), narrow(np.bincount(self.first, minlength=len(self.pairs))), self.last.astype(np.uint32))
+
+    @staticmethod
+    def load(data: bytes) -> Ask:
+        *ascending, successors, child, n, last = unsqueezed(data)
+        words_, contexts, behind = (np.cumsum(x, dtype=np.uint64) for x in ascending)
+        pairs = np.repeat(behind << U(CHILD_BITS), successors) | child
+        at = [np.arange(len(x)) for x in (words_, contexts, pairs, last)]
+        return Ask(words_, at[0], contexts, at[1], pairs, at[2], np.repeat(at[2], n), last.astype(np.uint64), at[3])
+
 
 def asks(unit: Unit, shards: Shards) -> dict[int, Ask]:
     of_pair = shards.of_pair(unit.pairs)
@@ -495,35 +547,40 @@ def asks(unit: Unit, shards: Shards) -> dict[int, Ask]:
     return found
 
 
+#: Codes of what no table holds: no probability, and all of the share left.
+NONE, ALL = 255, 65535
+
+
 def answer(ask: Ask, words_: dict | None, trie: Trie | None) -> list[np.ndarray]:
-    """Counts of words, shares that contexts leave, probabilities of pairs and shares they leave, probabilities of triples."""
-    n, left = np.zeros(len(ask.words), np.int64), np.ones(len(ask.contexts))
-    own, rest, deep = np.zeros(len(ask.pairs)), np.ones(len(ask.pairs)), np.zeros(len(ask.triples_at))
+    """Counts of words, and as codes: shares that contexts leave, probabilities of pairs and shares they leave, probabilities of triples."""
+    n, left = np.zeros(len(ask.words), np.int64), np.full(len(ask.contexts), ALL, np.uint16)
+    own, rest, deep = np.full(len(ask.pairs), NONE, np.uint8), np.full(len(ask.pairs), ALL, np.uint16), np.full(len(ask.triples_at), NONE, np.uint8)
     if words_ is not None:
         at = words_["words"].find(ask.words)
         n[at >= 0] = words_["counts"][at[at >= 0]]
         at = words_["contexts"].find(ask.contexts)
-        left[at >= 0] = words_["left"][at[at >= 0]] / 65535
+        left[at >= 0] = words_["left"][at[at >= 0]]
     if trie is not None:
         number = trie.find_pairs(ask.pairs)
         found = np.flatnonzero(number >= 0)
-        own[found] = probability(trie.pair_code[number[found]])
-        rest[found] = trie.pair_left[number[found]] / 65535
+        own[found] = trie.pair_code[number[found]]
+        rest[found] = trie.pair_left[number[found]]
         begins = np.zeros(len(number), bool)
         begins[found] = trie.has_triples(number[found])
         some = np.flatnonzero(begins[ask.first])
         at = trie.find_triples(number[ask.first[some]], ask.last[some])
-        deep[some[at >= 0]] = probability(trie.triple_code[at[at >= 0]])
+        deep[some[at >= 0]] = trie.triple_code[at[at >= 0]]
     return [n, left, own, rest, deep]
 
 
 def finish(unit: Unit, answers: dict[int, list[np.ndarray]], asked: dict[int, Ask], rows: int, total: int, distinct: int) -> list[np.ndarray]:
     """Tokens, known tokens, base score and score of each row."""
-    n, left = np.zeros(len(unit.keys), np.int64), np.ones(len(unit.keys))
-    own, rest, deep = np.zeros(len(unit.pairs)), np.ones(len(unit.pairs)), np.zeros(len(unit.first) + 1)  # the last one for no triple
+    n, left = np.zeros(len(unit.keys), np.int64), np.full(len(unit.keys), ALL, np.uint16)
+    own, rest, deep = np.full(len(unit.pairs), NONE, np.uint8), np.full(len(unit.pairs), ALL, np.uint16), np.full(len(unit.first) + 1, NONE, np.uint8)  # the last one for no triple
     for shard, ask in asked.items():
         for into, at, values in zip((n, left, own, rest, deep), (ask.words_at, ask.contexts_at, ask.pairs_at, ask.pairs_at, ask.triples_at), answers[shard], strict=True):
             into[at] = values
+    left, rest, own, deep = left / 65535, rest / 65535, probability(own), probability(deep)
     base = (n + 1.0) / (total + distinct + 1)
     share = np.where(unit.before >= 0, rest[unit.before] if len(rest) else 1.0, 1.0)
     p = deep[unit.triple] + share * (own[unit.pair] + left[unit.context] * base[unit.word])
@@ -571,35 +628,53 @@ def score_by_join(docs: DataFrame, model: Model) -> DataFrame:
     shards, total, distinct = model.shards, model.tokens, model.distinct
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 33
+        unit = row = TaskContext.get().partitionId() << 33
+        held, rows, ids = [], [], []
+
+        def ready() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([rows], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64())), pa.array([packed(joined(held), len(rows))], pa.binary())], names=["unit", "rows", "ids", "body"])
+
         for batch in common.slices(batches, limit=SLICE_BYTES):
-            ids = batch.column("doc_id").to_pylist()
+            own = batch.column("doc_id").to_pylist()
             for piece in words.pieces(batch, words.BLANK, repeat=2, limit=SLICE_BYTES):
-                unit = Unit.of(tokens(piece, batch.num_rows))
-                asked = [{"shard": k, "body": pickle.dumps(ask)} for k, ask in asks(unit, shards).items()]
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([[at + k for k in range(len(ids))]]), pa.array([ids], pa.list_(pa.int64())), pa.array([pickle.dumps(unit)]), pa.array([asked], pa.list_(pa.struct([("shard", pa.int32()), ("body", pa.binary())])))], names=["unit", "rows", "ids", "body", "asks"])
-                at += 1 << 20
-            at += len(ids)
+                held.append((tokens(piece, batch.num_rows), len(rows)))
+                rows, ids = rows + list(range(row, row + len(own))), ids + own
+                if sum(len(t.at) for t, _ in held) >= UNIT_TOKENS:
+                    yield ready()
+                    unit, held, rows, ids = unit + 1, [], [], []
+            row += len(own)
+        if held:
+            yield ready()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit, body in zip(batch.column("unit"), batch.column("body"), strict=True):
+                asked = asks(Unit.of(unpacked(body.as_py())), shards)
+                yield pa.RecordBatch.from_arrays([pa.array(list(asked), pa.int32()), pa.array([unit.as_py()] * len(asked), pa.int64()), pa.array([x.dump() for x in asked.values()], pa.binary())], names=["shard", "unit", "body"])
+        common.release()
 
     def look_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         tables = right.to_pylist()
         known = next((open_words(x) for x in tables if x["words"] is not None), None)
         trie = next((Trie.open(x) for x in tables if x["roots"] is not None), None)
-        bodies = [pickle.dumps(answer(pickle.loads(x), known, trie)) for x in left["body"].to_pylist()]
+        bodies = []
+        for body in left["body"]:
+            n, *codes = answer(Ask.load(body.as_py()), known, trie)
+            bodies.append(squeezed(narrow(n), *codes))
         return pa.table({"unit": left["unit"], "shard": left["shard"], "body": pa.array(bodies, pa.binary())})
 
     def finish_unit(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        unit = pickle.loads(row["body"])
-        answers = {x["shard"]: pickle.loads(x["body"]) for x in right.to_pylist()}
+        unit = Unit.of(unpacked(row["body"]))
+        answers = {k.as_py(): unsqueezed(x.as_py()) for k, x in zip(right["shard"], right["body"], strict=True)}
         n, known, base, score = finish(unit, answers, asks(unit, shards), len(row["ids"]), total, distinct)
         return pa.table({"row": pa.array(row["rows"], pa.int64()), "doc_id": pa.array(row["ids"], pa.int64()), "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "base_score": base, "score": score})
 
-    units = common.checkpoint(docs.select("doc_id", "text").mapInArrow(split, "unit long, rows array<long>, ids array<long>, body binary, asks array<struct<shard: int, body: binary>>"))
-    asked = units.select("unit", F.explode("asks").alias("ask")).select("unit", "ask.shard", "ask.body")
+    units = common.checkpoint(docs.select("doc_id", "text").mapInArrow(split, "unit long, rows array<long>, ids array<long>, body binary"))
+    asked = units.select("unit", "body").mapInArrow(ask, "shard int, unit long, body binary")
     tables = model.vocabulary.unionByName(model.tries, allowMissingColumns=True)
     answers = asked.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(look_up, "unit long, shard int, body binary")
-    done = units.select("unit", "rows", "ids", "body").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(finish_unit, "row long, " + SCORED)
+    done = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(finish_unit, "row long, " + SCORED)
     sums = [F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")]
     return done.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *sums).drop("row")
 

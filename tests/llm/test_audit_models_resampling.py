@@ -247,6 +247,33 @@ def test_pieces_of_one_text_score_like_the_whole():
     assert grams(whole) == grams(cut)
 
 
+def test_units_and_asks_are_small_and_come_back(spark, small):
+    """A unit's bytes, and what it asks of shards, are a few for each token, and hold all that finish reads."""
+    docs = common.table(spark, small, "documents").select("text").toArrow().to_batches()
+    parts = [(language_model.tokens(piece, batch.num_rows), k * 1000) for k, batch in enumerate(common.slices(iter(docs), limit=50_000)) for piece in words.pieces(batch, words.BLANK, repeat=2)]
+    t = language_model.joined(parts)
+    body = language_model.packed(t, int(t.row.max()) + 1)
+    back = language_model.unpacked(body)
+    assert all((getattr(t, x) == getattr(back, x)).all() for x in ("keys", "at", "row"))
+    shards = language_model.Shards(3, np.sort(language_model.Unit.of(t).keys[:1] >> np.uint64(24)), np.array([9]))
+    asked = language_model.asks(language_model.Unit.of(t), shards)
+    dumped = {k: x.dump() for k, x in asked.items()}
+    for k, x in asked.items():
+        y = language_model.Ask.load(dumped[k])
+        assert all((getattr(x, name) == getattr(y, name)).all() for name in ("words", "contexts", "pairs", "first", "last"))
+    assert len(body) + sum(map(len, dumped.values())) < 16 * len(t.at)
+
+
+def test_a_text_of_several_pieces_has_one_row_by_a_join(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "SLICE_BYTES", 2_000)
+    monkeypatch.setattr(language_model, "UNIT_TOKENS", 700)
+    docs = spark.createDataFrame([(1, "a b c d " * 2_000), (2, "a b a"), (3, None), (4, "b c d e " * 900)], "doc_id long, text string").coalesce(1)
+    model = language_model.train(docs)
+    by_join, plain = (sorted(map(tuple, language_model.score(docs, model, broadcast=n).collect())) for n in (0, 1 << 30))
+    assert [x[0] for x in by_join] == [1, 2, 3, 4]
+    assert all(x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-9) for x, y in zip(by_join, plain, strict=True))
+
+
 def test_model_tells_prose_from_its_shuffled_words(spark, small):
     docs = common.table(spark, small, "documents").select("doc_id", "text")
     model = language_model.train(docs.filter("doc_id % 2 = 0"))
