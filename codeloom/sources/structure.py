@@ -4,7 +4,8 @@ A file becomes rows of tokens by one pattern (strings and comments are tokens to
 what a parser would keep on a stack is kept in windows over them: the depth of a token
 is a running sum, the k-th opening of a depth belongs with its k-th closing, the scope
 around a token is at each depth the block last opened there. Nothing here reads a file
-token by token in Python; a file's tokens are sorted, not held.
+token by token in Python; a file's tokens are sorted, not held: its text is cut into
+pieces of PIECE tokens first, and only a piece's tokens are an array.
 
 Blocks are braces, or words with `end` (Ruby, Elixir), or for Haskell the lines up to the
 next one that begins at the margin. Templates count as strings, code inside them is not
@@ -47,6 +48,8 @@ PATTERNS = {
     "perl": pattern(r"#[^\n]*", TEXT, r"[$@%&]#?\w+|" + WORD),
     "haskell": pattern(r"--[^\n]*|\{-[\s\S]*?-\}", r'"(?:[^"\\]|\\.)*+"', r"[\p{L}_][\p{L}\p{N}_']*"),
 }
+#: Tokens and blanks of a piece of a text. Every character is of one of the two, so pieces leave nothing out and end where a token does.
+PIECE = 2000
 
 
 @dataclass(frozen=True)
@@ -126,11 +129,13 @@ BEFORE = (Window.unboundedPreceding, -1)
 def tokens(files: DataFrame) -> DataFrame:
     """(path, language, pos, token, line, first, depth, level, opens, closes, inside, ...): the code of files (path, language, text), a row a token."""
     lang = F.col("language")
-    split = F.lit(None).cast("array<string>")
+    cut = split = F.lit(None).cast("array<string>")
     for family, regex in PATTERNS.items():
-        names = tuple(n for n, s in LANGUAGES.items() if s.family == family)
-        split = F.when(one_of(lang, names), F.regexp_extract_all("text", F.lit(regex), F.lit(0))).otherwise(split)
-    rows = files.filter(F.col("text").isNotNull()).select("path", "language", F.posexplode(split).alias("pos", "token"))
+        known = one_of(lang, tuple(n for n, s in LANGUAGES.items() if s.family == family))
+        cut = F.when(known, F.regexp_extract_all("text", F.lit(f"(?:{regex}|\\s){{1,{PIECE}}}+"), F.lit(0))).otherwise(cut)
+        split = F.when(known, F.regexp_extract_all("piece", F.lit(regex), F.lit(0))).otherwise(split)
+    pieces = files.filter(F.col("text").isNotNull()).select("path", "language", F.posexplode(cut).alias("nth", "piece"))
+    rows = pieces.select("path", "language", "nth", F.posexplode(split).alias("at", "token")).select("path", "language", (F.col("nth") * PIECE + F.col("at")).alias("pos"), "token")
     breaks = F.length("token") - F.length(F.replace("token", F.lit("\n")))
     rows = rows.withColumn("line", (1 + F.coalesce(F.sum(breaks).over(by_file().rowsBetween(*BEFORE)), F.lit(0))).cast("long"))
     before = F.lag("token").over(by_file())
@@ -487,9 +492,9 @@ def looked_up(order: DataFrame, methods: DataFrame) -> DataFrame:
 
 def java_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, language, text): a class a nation, with a method a customer that calls a worker's; and the workers' files."""
-    one = F.format_string('  int f%d(int a, String b) {\n    // { not code\n    if (a > 1 && b != "}") { return helper.g%d(a); }\n    return a;\n  }\n', "c_custkey", F.col("c_custkey") % 3)
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_nationkey", F.struct("c_custkey", one.alias("one")).alias("x")).groupBy("c_nationkey").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    body = F.array_join(F.transform("x", lambda x: x["one"]), "")
+    one = '  int f%d(int a, String b) {\n    // { not code\n    if (a > 1 && b != "}") { return helper.g%d(a); }\n    return a;\n  }\n'
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey"))).alias("x"))
+    body = F.array_join(F.transform("x", lambda x: F.format_string(one, x["c_custkey"], x["c_custkey"] % 3)), "")
     head = F.format_string("import w.W;\npublic class N%d extends Base {\n  private W%d helper;\n", "c_nationkey", F.col("c_nationkey") % 3)
     files = rows.select(F.format_string("/src/N%d.java", "c_nationkey").alias("path"), F.concat(head, body, F.lit("}\n")).alias("text"))
     workers = rows.select((F.col("c_nationkey") % 3).alias("k")).distinct().select(F.format_string("/src/w/W%d.java", "k").alias("path"), F.format_string("class W%d {\n  int g0(int a) { return a; }\n  int g1(int a) { return a; }\n  int g2(int a) { return a; }\n}\n", "k").alias("text"))

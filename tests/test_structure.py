@@ -278,3 +278,28 @@ def test_no_window_reads_a_file_anew_for_each_token(spark, capsys):
     structure.with_stops(structure.tokens(files)).explain(True)
     shown = capsys.readouterr().out.lower()
     assert "windowframe" in shown and "unboundedfollowing" not in shown
+
+
+def test_pieces_of_a_text_have_its_tokens(spark, monkeypatch):
+    """A text is cut into pieces between tokens, whatever is open or never closed."""
+    odd = ['"never closed /* x', "a /* open\n b", 'x = """a\nb', "'a 'b' `c\nd` `e", "#[x] # y\n/x", "=begin\n=end\n=beginx a::b c: d", "\n \t\n\r\nété\U0001f600 == === !", "{- a -} -- b\n{- c", "   ", ""]
+    rows = [(path, language, text) for (path, language), text in SOURCES.items()] + [(f"/o/{k}-{language}", language, text) for k, text in enumerate(odd) for language in structure.LANGUAGES]
+    files = spark.createDataFrame(rows, "path string, language string, text string")
+
+    def found(size):
+        monkeypatch.setattr(structure, "PIECE", size)
+        return sorted(structure.tokens(files).select("path", "pos", "token", "line", "first", "n1", "p1").collect(), key=lambda r: r[:2])
+
+    whole = found(1_000_000)
+    assert len(whole) > 1000 and all(found(size) == whole for size in (1, 3))
+
+
+def test_no_array_of_a_whole_files_tokens(spark):
+    """A file of many tokens becomes rows by way of arrays of at most PIECE."""
+    from pyspark.sql import functions as F
+
+    files = spark.range(1).select(F.lit("/a.java").alias("path"), F.lit("java").alias("language"), F.expr("repeat('f(a, b);\n', 5000)").alias("text"))
+    plan = structure.tokens(files)._jdf.queryExecution().analyzed().toString()
+    arrays = [line for line in plan.splitlines() if "posexplode(" in line]
+    assert len(arrays) == 2 and f"{{1,{structure.PIECE}}}+" in arrays[1] and f"{{1,{structure.PIECE}}}+" not in arrays[0]
+    assert structure.tokens(files).count() == 35_000
